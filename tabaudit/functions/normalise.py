@@ -16,9 +16,9 @@ def gender_label(raw: Column) -> Column:
     return label_map(m.GENDER_TOKENS, F.upper(F.trim(raw.cast("string"))))
 
 
-def boolean_value(df: DataFrame, name: str) -> Column:
+def boolean_value(types: dict[str, str], name: str) -> Column:
     """0/1 exports (numbers or text) to boolean; missing stays missing."""
-    if dict(df.dtypes)[name] == "boolean":
+    if types[name] == "boolean":
         return F.col(name)
     text = F.lower(F.trim(F.col(name).cast("string")))
     return (
@@ -39,28 +39,29 @@ def normalise_records(df: DataFrame, record_id: Column | None = None) -> DataFra
     for raw, clean in m.RENAMED_AT_INGEST.items():
         if raw in df.columns:
             df = df.withColumnRenamed(raw, clean)
-    have = set(df.columns)
+    types = dict(df.dtypes)
+    have = set(types)
 
     def feature(name: str) -> Column:
         if name in m.BOOLEAN_FEATURES:
-            return boolean_value(df, name)
+            return boolean_value(types, name)
         if name == "gender":
             return gender_label(F.col(name))
         if name in m.ORDINAL_FEATURES:
-            code = as_number(df, name)
+            code = as_number(types, name)
             whole = F.when(code == F.rint(code), code.try_cast("int"))
             return label_map(m.ORDINAL_LABELS[name], whole)
         if name in m.ONE_DECIMAL_FEATURES:
-            return round_half_even(as_number(df, name), 1)
+            return round_half_even(as_number(types, name), 1)
         if name in m.WHOLE_NUMBER_FEATURES:
-            return round_half_even(as_number(df, name)).try_cast("bigint")
+            return round_half_even(as_number(types, name)).try_cast("bigint")
         return F.col(name)
 
     if record_id is None and "ID" in have:
         record_id = F.col("ID")
     context = [
         F.col(c)
-        for c in df.columns
+        for c in types
         if c not in m.RECORD_COLUMNS and c not in m.DROPPED_RAW_COLUMNS
     ]
     ids = [record_id.cast("bigint").alias("ID")] if record_id is not None else []
@@ -68,53 +69,52 @@ def normalise_records(df: DataFrame, record_id: Column | None = None) -> DataFra
     return df.select(*context, *ids, *feats)
 
 
-def membership_value(value: Column) -> Column:
-    """Comparable text of a cell value.
+def membership_text(name: str) -> str:
+    """SQL text of the comparable form of a cell value.
 
     Missing spellings collapse to one value and booleans to 1/0; every other
     value keeps its exact original text (neither trimmed nor lowered).
     """
-    text = value.cast("string")
-    key = F.lower(F.trim(text))
+    text = f"CAST(`{name}` AS STRING)"
+    key = f"lower(trim({text}))"
     return (
-        F.when(text.isNull() | key.isin("nan", "null", "none", ""), F.lit(MISSING))
-        .when(key.isin("true", "1"), F.lit("1"))
-        .when(key.isin("false", "0"), F.lit("0"))
-        .otherwise(text)
+        f"CASE WHEN {text} IS NULL OR {key} IN ('nan', 'null', 'none', '') THEN '{MISSING}' "
+        f"WHEN {key} IN ('true', '1') THEN '1' WHEN {key} IN ('false', '0') THEN '0' ELSE {text} END"
     )
 
 
-def copy_number(value: Column) -> Column:
-    """Numeric side of the exact-copy comparison: whole numbers, half to even."""
-    return F.rint(value) + F.lit(0.0)  # + 0.0 folds -0.0 into 0.0
+def membership_value(name: str) -> Column:
+    return F.expr(membership_text(name))
 
 
-def copy_text(value: Column) -> Column:
-    """Categorical side of the exact-copy comparison."""
-    return F.lower(F.trim(value.cast("string")))
-
-
-def equal_width_bin(value: Column, low: Column, high: Column, bins: int) -> Column:
-    """1-based equal-width bin, clipped to [1, bins]; 0 stands for missing.
+def bin_text(value: str, low: float, high: float, bins: int) -> str:
+    """SQL text of the 1-based equal-width bin of ``value``, clipped to [1, bins].
 
+    0 stands for missing, and a feature without spread has the single bin 1.
     The operation order (scale by the span first, then multiply) decides
     boundary values, so it must not be rearranged.
     """
-    position = F.floor((value - low) / F.nullif(high - low, F.lit(0.0)) * F.lit(float(bins)))
-    clipped = F.least(F.greatest(position + 1, F.lit(1)), F.lit(bins))
-    return (
-        F.when(value.isNull() | low.isNull(), F.lit(0))
-        .when(low == high, F.lit(1))
-        .otherwise(clipped)
-        .cast("int")
-    )
+    if low == high:
+        return f"CASE WHEN {value} IS NULL THEN 0 ELSE 1 END"
+    place = f"floor(({value} - double('{low!r}')) / (double('{high!r}') - double('{low!r}')) * double('{bins}')) + 1"
+    return f"CAST(CASE WHEN {value} IS NULL THEN 0 ELSE least(greatest({place}, 1), {bins}) END AS INT)"
 
 
 def bin_label(bin_number: Column) -> Column:
-    """Printed form of ``equal_width_bin``."""
+    """Printed form of a bin number."""
     return F.when(bin_number == 0, F.lit(MISSING)).otherwise(bin_number.cast("string"))
 
 
+def copy_number_text(value: str) -> str:
+    """Numeric side of the exact-copy comparison: whole numbers, half to even (-0.0 is 0.0)."""
+    return f"rint({value}) + 0D"
+
+
+def copy_label_text(name: str) -> str:
+    """Categorical side of the exact-copy comparison."""
+    return f"lower(trim(CAST(`{name}` AS STRING)))"
+
+
 def binary_label(value: Column, kind: str) -> Column:
     """Outcome label to 0/1 however it was written; unknown text is an error.
 

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from tabaudit.functions.columns import as_number
+from tabaudit.functions.columns import number_text
 
 CLIP_PERCENTILES = (0.005, 0.995)
 GRID_POINTS = 400
@@ -21,9 +21,10 @@ BANDWIDTH_SCALE = 1.5
 
 def value_counts(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
     """keys, feature, value, n of numeric features; values that are not numbers are dropped."""
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), as_number(df, c).alias("value")) for c in features])
+    types = dict(df.dtypes)
+    items = ", ".join(f"named_struct('feature', '{c}', 'value', {number_text(types, c)})" for c in features)
     return (
-        df.select(*keys, F.inline(items))
+        df.selectExpr(*keys, f"inline(array({items}))")
         .filter(F.col("value").isNotNull())
         .groupBy(*keys, "feature", "value")
         .agg(F.count(F.lit(1)).alias("n"))
@@ -121,8 +122,8 @@ def kernel_density(
 
 def level_counts(df: DataFrame, keys: list[str], features: list[str], missing: str | None = None) -> DataFrame:
     """keys, feature, level, n of categorical features; ``missing`` names nulls instead of dropping them."""
-    items = F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level")) for c in features])
-    rows = df.select(*keys, F.inline(items))
+    items = ", ".join(f"named_struct('feature', '{c}', 'level', CAST(`{c}` AS STRING))" for c in features)
+    rows = df.selectExpr(*keys, f"inline(array({items}))")
     rows = rows.withColumn("level", F.coalesce("level", F.lit(missing))) if missing else rows.filter("level is not null")
     return rows.groupBy(*keys, "feature", "level").agg(F.count(F.lit(1)).alias("n"))
 
@@ -158,14 +159,13 @@ def feature_types(df: DataFrame, features: list[str], declared_numeric: list[str
     Declared numeric features stay numeric while at least 80 % of their values
     are numbers; undeclared ones also need more than 15 distinct values.
     """
-    items = F.array(
-        *[
-            F.struct(F.lit(c).alias("feature"), F.col(c).cast("string").alias("level"), as_number(df, c).isNotNull().alias("ok"))
-            for c in features
-        ]
+    types = dict(df.dtypes)
+    items = ", ".join(
+        f"named_struct('feature', '{c}', 'level', CAST(`{c}` AS STRING), 'ok', ({number_text(types, c)}) IS NOT NULL)"
+        for c in features
     )
     per_level = (
-        df.select(F.inline(items)).filter(F.col("level").isNotNull()).groupBy("feature", "level", "ok")
+        df.selectExpr(f"inline(array({items}))").filter(F.col("level").isNotNull()).groupBy("feature", "level", "ok")
         .agg(F.count(F.lit(1)).alias("n"))
     )
     stats = per_level.groupBy("feature").agg(

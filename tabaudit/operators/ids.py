@@ -14,19 +14,20 @@ def number_within(
     df: DataFrame,
     group: list[str],
     order: list[str],
-    slice_of: Column,
+    slice_of: str,
     name: str = "ID",
 ) -> DataFrame:
     """Add 1..n per ``group`` in ``order``, splitting every group into slices.
 
-    ``slice_of`` must be non-decreasing in ``order`` (for instance the leading
+    ``slice_of`` (SQL text) must be non-decreasing in ``order`` (for instance the leading
     order column divided by a constant).  Rows are ranked inside
     (group, slice), and each slice starts after the rows of the slices before
     it, so a group holding a third of the table is spread over its slices.
-    Both joins sides are partitioned by the same keys: the wide side is
+    Both sides of the join are partitioned by the same keys: the wide side is
     shuffled once, the offsets are one row per slice.
     """
-    sliced = df.withColumn(_SLICE, slice_of)
+    columns = df.columns
+    sliced = df.selectExpr("*", f"{slice_of} AS {_SLICE}")
     keys = [*group, _SLICE]
     earlier = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
@@ -37,11 +38,10 @@ def number_within(
     )
     inside = Window.partitionBy(*keys).orderBy(*order)
     ranked = sliced.withColumn(name, F.row_number().over(inside))
-    left, right = ranked.alias("r"), offsets.alias("o")
-    same = [F.col(f"r.{k}").eqNullSafe(F.col(f"o.{k}")) for k in keys]
-    kept = [F.col(f"r.{c}").alias(c) for c in df.columns]
-    return left.join(right, same, "inner").select(
-        *kept, (F.col(f"r.{name}") + F.col(f"o.{_BEFORE}")).cast("bigint").alias(name)
+    same = " AND ".join(f"r.`{k}` <=> o.`{k}`" for k in keys)
+    kept = [f"r.`{c}`" for c in columns]
+    return ranked.alias("r").join(offsets.alias("o"), F.expr(same)).selectExpr(
+        *kept, f"CAST(r.`{name}` + o.{_BEFORE} AS BIGINT) AS `{name}`"
     )
 
 

@@ -24,8 +24,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit import model as m
-from tabaudit.functions.columns import as_number
-from tabaudit.functions.normalise import copy_number, copy_text, equal_width_bin, membership_value
+from tabaudit.functions.columns import as_number, number_text
+from tabaudit.functions.normalise import bin_text, copy_label_text, copy_number_text, membership_text
 
 # Population cells are broadcast only below this estimated size.
 BROADCAST_BYTES = 256 * 1024 * 1024
@@ -76,9 +76,9 @@ class Population:
 # ------------------------------------------------------------------ learning
 def population_bounds_row(frame: DataFrame, numeric: list[str]) -> DataFrame:
     """min/max of every numeric feature and the row count, in one pass."""
-    pairs = []
+    pairs, types = [], dict(frame.dtypes)
     for c in numeric:
-        value = as_number(frame, c)
+        value = as_number(types, c)
         pairs += [F.min(value).alias(f"min_{c}"), F.max(value).alias(f"max_{c}")]
     return frame.agg(F.count(F.lit(1)).alias("n_rows"), *pairs)
 
@@ -108,13 +108,20 @@ def level_cardinality(frame: DataFrame, categorical: list[str]) -> DataFrame:
 
 
 # --------------------------------------------------------------------- cells
-def _numeric_bin(df: DataFrame, pop: Population, name: str, bins: int) -> Column:
+_NUMBER, _LEVEL = "__x_", "__l_"
+
+
+def _bin(pop: Population, name: str, bins: int) -> str:
     low, high = pop.bounds[name]
-    if low is None:
-        return F.lit(0)
-    if low == high:
-        return F.when(as_number(df, name).isNull(), F.lit(0)).otherwise(F.lit(1))
-    return equal_width_bin(as_number(df, name), F.lit(float(low)), F.lit(float(high)), bins)
+    return "0" if low is None else bin_text(f"{_NUMBER}{name}", float(low), float(high), bins)
+
+
+def _readable(df: DataFrame, pop: Population, keep: list[str]) -> DataFrame:
+    """``keep`` plus readable numbers and comparable levels, computed once for all resolutions."""
+    _require(df, pop.numeric + pop.categorical)
+    types = dict(df.dtypes)
+    numbers = [f"{number_text(types, c)} AS {_NUMBER}{c}" for c in pop.numeric]
+    return df.selectExpr(*keep, *numbers, *[f"{membership_text(c)} AS {_LEVEL}{c}" for c in pop.categorical])
 
 
 def _require(df: DataFrame, columns: list[str]) -> None:
@@ -125,22 +132,13 @@ def _require(df: DataFrame, columns: list[str]) -> None:
 
 def cells(df: DataFrame, pop: Population, resolutions: list[int], keep: list[str]) -> DataFrame:
     """``keep`` columns plus one (bin, cell...) row per resolution."""
-    _require(df, pop.numeric + pop.categorical)
-    levels = [membership_value(F.col(c)).alias(f"cell_{c}") for c in pop.categorical]
-    per_resolution = F.array(
-        *[
-            F.struct(
-                F.lit(b).alias("bin"),
-                *[_numeric_bin(df, pop, c, b).alias(f"cell_{c}") for c in pop.numeric],
-            )
-            for b in resolutions
-        ]
-    )
-    numeric_cells = [f"cell_{c}" for c in pop.numeric]
-    return df.select(*keep, *levels, F.explode(per_resolution).alias("__r")).select(
-        *keep, F.col("__r.bin").alias("bin"), *[F.col(f"__r.{c}").alias(c) for c in numeric_cells],
-        *[f"cell_{c}" for c in pop.categorical],
+    per_resolution = ", ".join(
+        f"named_struct('bin', {b}, " + ", ".join(f"'cell_{c}', {_bin(pop, c, b)}" for c in pop.numeric) + ")"
+        for b in resolutions
     )
+    levels = [f"{_LEVEL}{c} AS cell_{c}" for c in pop.categorical]
+    readable = _readable(df, pop, keep)
+    return readable.selectExpr(*keep, *levels, f"inline(array({per_resolution}))").select(*keep, "bin", *pop.cell_columns)
 
 
 def population_cells(pop: Population, resolutions: list[int]) -> DataFrame:
@@ -148,29 +146,28 @@ def population_cells(pop: Population, resolutions: list[int]) -> DataFrame:
     return cells(pop.frame, pop, resolutions, []).distinct()
 
 
-def _cells_at(pop: Population, bins: int) -> DataFrame:
-    """Distinct cells of one resolution, with columns ``p_<feature>``."""
-    columns = [_numeric_bin(pop.frame, pop, c, bins).alias(f"p_{c}") for c in pop.numeric]
-    columns += [membership_value(F.col(c)).alias(f"p_{c}") for c in pop.categorical]
-    return pop.frame.select(*columns).distinct()
+def _cell_at(pop: Population, bins: int) -> str:
+    """SQL text of a record's cell at one resolution, as a struct led by the resolution."""
+    fields = [f"'bin', {bins}"] + [f"'{c}', {_bin(pop, c, bins)}" for c in pop.numeric]
+    fields += [f"'{c}', {_LEVEL}{c}" for c in pop.categorical]
+    return f"named_struct({', '.join(fields)})"
 
 
-def with_novelty(df: DataFrame, pop: Population, resolutions: list[int]) -> DataFrame:
-    """Add one boolean ``novel_b<bins>`` per resolution, by broadcast probes.
+def with_novelty(df: DataFrame, pop: Population, resolutions: list[int], keep: list[str]) -> DataFrame:
+    """``keep`` plus one boolean ``novel_b<bins>`` per resolution, by broadcast probes.
 
     Only for a population whose cells pass the size check; see ``novel_rows``
     for the form without a size limit.
     """
-    _require(df, pop.numeric + pop.categorical)
-    out = df.withColumns({f"__l_{c}": membership_value(F.col(c)) for c in pop.categorical})
+    structs = [_cell_at(pop, b) for b in resolutions]
+    out = _readable(df, pop, keep).selectExpr(*keep, *[f"{s} AS __cell_{b}" for b, s in zip(resolutions, structs)])
+    # The distinct cells of every resolution together, built and broadcast once:
+    # all probes below share the same exchange.
+    known = _readable(pop.frame, pop, []).selectExpr(f"explode(array({', '.join(structs)})) AS cell").distinct()
     for b in resolutions:
-        known = F.broadcast(_cells_at(pop, b).withColumn(f"__known_{b}", F.lit(True)))
-        same = [_numeric_bin(df, pop, c, b) == F.col(f"p_{c}") for c in pop.numeric]
-        same += [F.col(f"__l_{c}") == F.col(f"p_{c}") for c in pop.categorical]
-        out = out.join(known, same, "left").drop(*[f"p_{c}" for c in pop.numeric + pop.categorical])
-    return out.select(
-        *df.columns, *[F.col(f"__known_{b}").isNull().alias(f"novel_b{b}") for b in resolutions]
-    )
+        side = known.selectExpr(f"cell AS __known_{b}")
+        out = out.join(F.broadcast(side), F.col(f"__cell_{b}") == F.col(f"__known_{b}"), "left")
+    return out.selectExpr(*keep, *[f"__known_{b} IS NULL AS novel_b{b}" for b in resolutions])
 
 
 # --------------------------------------------------------------------- rates
@@ -185,7 +182,7 @@ def novelty_by_file(
     if broadcast is None:
         broadcast = pop.cells_fit_broadcast(resolutions)
     if broadcast:
-        flagged = with_novelty(records, pop, resolutions)
+        flagged = with_novelty(records, pop, resolutions, keys)
         counted = flagged.groupBy(*keys).agg(
             F.count(F.lit(1)).alias("n_rows"),
             *[F.count_if(F.col(f"novel_b{b}")).alias(f"n_{b}") for b in resolutions],
@@ -223,7 +220,7 @@ def novel_rows(
     if broadcast is None:
         broadcast = pop.cells_fit_broadcast(resolutions)
     if broadcast:
-        flagged = with_novelty(records, pop, resolutions)
+        flagged = with_novelty(records, pop, resolutions, keep)
         hits = F.array_compact(
             F.array(*[F.when(F.col(f"novel_b{b}"), F.lit(f"HR_b{b}")) for b in resolutions])
         )
@@ -265,9 +262,10 @@ def adjust_novelty(rates: DataFrame, pop: Population, resolutions: list[int] = m
 
 
 # -------------------------------------------------------------------- copies
-def _copy_columns(df: DataFrame, numeric: list[str], categorical: list[str], tag: str) -> list[Column]:
-    out = [copy_number(as_number(df, c)).alias(f"{tag}_{c}") for c in numeric]
-    return out + [copy_text(F.col(c)).alias(f"{tag}_{c}") for c in categorical]
+def _copy_columns(df: DataFrame, numeric: list[str], categorical: list[str], tag: str) -> list[str]:
+    types = dict(df.dtypes)
+    out = [f"{copy_number_text(number_text(types, c))} AS {tag}_{c}" for c in numeric]
+    return out + [f"{copy_label_text(c)} AS {tag}_{c}" for c in categorical]
 
 
 def copied_rows(
@@ -287,19 +285,18 @@ def copied_rows(
     _require(records, numeric + categorical)
     _require(training, numeric + categorical)
     feats = numeric + categorical
-    salt = F.pmod(F.xxhash64(*records.columns), F.lit(SALTS)).cast("int")
-    left = records.select("*", *_copy_columns(records, numeric, categorical, "__c"), salt.alias("__salt"))
+    columns = records.columns
+    salt = f"CAST(pmod(xxhash64({', '.join(columns)}), {SALTS}) AS INT) AS __salt"
+    left = records.selectExpr("*", *_copy_columns(records, numeric, categorical, "__c"), salt)
     right = (
-        training.select(
-            *[F.col(k).alias(f"__k_{k}") for k in chain], *_copy_columns(training, numeric, categorical, "__t")
-        )
+        training.selectExpr(*[f"{k} AS __k_{k}" for k in chain], *_copy_columns(training, numeric, categorical, "__t"))
         .distinct()
         .withColumn("__tsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
     )
     same = [F.col(f"__c_{c}").eqNullSafe(F.col(f"__t_{c}")) for c in feats]
     same += [F.col(k) == F.col(f"__k_{k}") for k in chain]
     same += [F.col("__salt") == F.col("__tsalt")]
-    return left.join(right, same, "left_semi").select(*records.columns)
+    return left.join(right, same, "left_semi").select(*columns)
 
 
 def copy_counts(
@@ -317,14 +314,12 @@ def copy_counts(
     """
     feats = [f"__c_{c}" for c in numeric + categorical]
     grouped = (
-        records.select(*keys, *_copy_columns(records, numeric, categorical, "__c"))
+        records.selectExpr(*keys, *_copy_columns(records, numeric, categorical, "__c"))
         .groupBy(*keys, *feats)
         .agg(F.count(F.lit(1)).alias("__n"))
     )
     known = (
-        training.select(
-            *[F.col(k).alias(f"__k_{k}") for k in chain], *_copy_columns(training, numeric, categorical, "__t")
-        )
+        training.selectExpr(*[f"{k} AS __k_{k}" for k in chain], *_copy_columns(training, numeric, categorical, "__t"))
         .distinct()
         .withColumn("__copy", F.lit(True))
     )

@@ -10,23 +10,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tabaudit import model as m
-from tabaudit.functions.columns import any_true, label_map, round_half_even
+from tabaudit.functions.columns import label_map, round_half_even
 from tabaudit.operators.ids import number_within
-from tabaudit.operators.rules import Record
+from tabaudit.operators.rules import either, with_readable
 
 # Length of an ID slice when rows of one file are numbered; a multiple of every
 # sensible batch size is not required, offsets are exact.
 ID_SLICE = 100_000
 
 
-def worth_review(df: DataFrame) -> Column:
-    """Any measured value outside its normal range; missing values say nothing."""
-    record = Record(df)
-    outside = [
-        (record.num(c) < low) | (record.num(c) > high)
-        for c, (low, high) in m.NORMAL_RANGE.items() if c in df.columns
-    ]
-    return any_true(outside)
+def worth_review(df: DataFrame) -> DataFrame:
+    """Records with a measured value outside its normal range; missing values say nothing."""
+    source, record, columns = with_readable(df)
+    outside = either([record.outside(c, *limits) for c, limits in m.NORMAL_RANGE.items() if c in columns])
+    return source.filter(outside or "false").select(*columns)
 
 
 def without_flagged(records: DataFrame, flagged: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,7 +36,7 @@ def review_batches(
 ) -> DataFrame:
     """Add ``position`` (1..n per file) and ``batch`` (0-based slices of ``batch_rows``)."""
     numbered = number_within(
-        candidates, file_keys, [order], F.floor(F.col(order) / F.lit(ID_SLICE)), name="position"
+        candidates, file_keys, [order], f"floor({order} / {ID_SLICE})", name="position"
     )
     return numbered.withColumn("batch", F.floor((F.col("position") - 1) / F.lit(batch_rows)).cast("bigint"))
 

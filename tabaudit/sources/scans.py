@@ -129,6 +129,17 @@ def read_metadata(spark: SparkSession, path: str) -> tuple[list[str], list[str]]
     return numeric, categorical
 
 
+def spread(df: DataFrame, *keys: str, small: int = 64) -> DataFrame:
+    """Spread a table of a few splits over all cores by a hash of ``keys``.
+
+    A table with at least as many splits as cores, or with more than ``small``
+    splits, is left as it is: shuffling it would cost more than it gains.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    splits = df.rdd.getNumPartitions()
+    return df.repartition(cores, *keys) if splits < min(cores, small) else df
+
+
 def list_files(spark: SparkSession, glob: str, folder_depth: int = 2, recursive: bool = False) -> DataFrame:
     """path, folder, file of the files a glob matches; contents are not read."""
     reader = spark.read.format("binaryFile")
