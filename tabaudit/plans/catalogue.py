@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabaudit.plans import record_queries
+from tabaudit.plans import chain_queries, record_queries, test_queries
 from tabaudit.plans.base import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (record_queries,):
+for _module in (record_queries, chain_queries, test_queries):
     QUERIES.update(_module.registry.entries)
