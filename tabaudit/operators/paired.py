@@ -7,9 +7,6 @@ of chains.
 
 from __future__ import annotations
 
-from functools import reduce
-from operator import add
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -17,10 +14,7 @@ from pyspark.sql.window import Window
 from tabaudit import model as m
 from tabaudit.functions.tails import kendall_p, wilcoxon_p
 from tabaudit.operators.subsets import cells_by_subset, subset_list
-
-
-def _total(columns: list[Column]) -> Column:
-    return reduce(add, columns, F.lit(0))
+from tabaudit.sources.sinks import reliable
 
 
 def tau_b(cells: DataFrame, keys: list[str], last: int = m.LAST_GENERATION) -> DataFrame:
@@ -31,47 +25,43 @@ def tau_b(cells: DataFrame, keys: list[str], last: int = m.LAST_GENERATION) -> D
     """
     ys = range(last + 1)
     by_x = cells.groupBy(*keys, "x").agg(
-        *[F.coalesce(F.sum(F.when(F.col("y") == j, F.col("n"))), F.lit(0)).alias(f"c{j}") for j in ys]
+        *[F.expr(f"coalesce(sum(CASE WHEN y = {j} THEN n END), 0L) AS c{j}") for j in ys]
     )
-    before = Window.partitionBy(*keys).orderBy("x").rowsBetween(Window.unboundedPreceding, -1)
-    seen = by_x.withColumns({f"b{j}": F.coalesce(F.sum(f"c{j}").over(before), F.lit(0)) for j in ys})
-    # prefix sums over y of what came before, one column per y
-    prefix = seen.withColumns({"p0": F.lit(0)})
-    for j in range(1, last + 2):
-        prefix = prefix.withColumn(f"p{j}", F.col(f"p{j-1}") + F.col(f"b{j-1}"))
-    concordant = _total([F.col(f"c{j}") * F.col(f"p{j}") for j in ys])
-    discordant = _total([F.col(f"c{j}") * (F.col(f"p{last+1}") - F.col(f"p{j+1}")) for j in ys])
-    rows = _total([F.col(f"c{j}") for j in ys])
-
-    def ties(t: Column, kind: int) -> Column:
-        if kind == 0:
-            return t * (t - 1) / 2.0
-        return t * (t - 1) * (t - 2) * 1.0 if kind == 1 else t * (t - 1) * (2 * t + 5) * 1.0
+    before = f"OVER (PARTITION BY {', '.join(keys)} ORDER BY x ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)"
+    seen = by_x.selectExpr("*", *[f"coalesce(sum(c{j}) {before}, 0L) AS b{j}" for j in ys])
+    # p<j>: points met before with a smaller y than j
+    prefix = seen.selectExpr(
+        *keys, *[f"c{j}" for j in ys], *[f"{' + '.join(f'b{i}' for i in range(j)) or '0L'} AS p{j}" for j in range(last + 2)],
+        f"{' + '.join(f'c{j}' for j in ys)} AS r",
+    )
+    concordant = " + ".join(f"c{j} * p{j}" for j in ys)
+    discordant = " + ".join(f"c{j} * (p{last + 1} - p{j + 1})" for j in ys)
+
+    def ties(t: str, kind: int) -> str:
+        t = f"CAST({t} AS DOUBLE)"
+        tail = {0: "/ 2", 1: f"* ({t} - 2)", 2: f"* (2 * {t} + 5)"}[kind]
+        return f"{t} * ({t} - 1) {tail}"
 
     sums = prefix.groupBy(*keys).agg(
-        F.sum(concordant).alias("con"), F.sum(discordant).alias("dis"), F.sum(rows).alias("n"),
-        *[F.sum(ties(rows, k)).alias(f"x{k}") for k in range(3)],
-        *[F.sum(f"c{j}").alias(f"t{j}") for j in ys],
+        F.expr(f"sum({concordant}) AS con"), F.expr(f"sum({discordant}) AS dis"), F.expr("sum(r) AS n"),
+        *[F.expr(f"sum({ties('r', k)}) AS x{k}") for k in range(3)],
+        *[F.expr(f"sum(c{j}) AS t{j}") for j in ys],
     )
-    y_ties = {f"y{k}": _total([ties(F.col(f"t{j}"), k) for j in ys]) for k in range(3)}
-    out = sums.withColumns(y_ties)
-    n = F.col("n").cast("double")
-    pairs = n * (n - 1)
-    scale = F.sqrt(pairs / 2 - F.col("x0")) * F.sqrt(pairs / 2 - F.col("y0"))
-    score = (F.col("con") - F.col("dis")).cast("double")
-    variance = (
-        (pairs * (2 * n + 5) - F.col("x2") - F.col("y2")) / 18.0
-        + 2.0 * F.col("x0") * F.col("y0") / F.nullif(pairs, F.lit(0.0))
-        + F.try_divide(F.col("x1") * F.col("y1"), 9.0 * pairs * (n - 2))
+    out = sums.selectExpr(
+        *keys, "n", "con", "dis", "x0", "x1", "x2",
+        *[f"{' + '.join(ties(f't{j}', k) for j in ys)} AS y{k}" for k in range(3)],
+        "CAST(n AS DOUBLE) * (n - 1) AS pairs",
     )
-    no_third = (pairs * (2 * n + 5) - F.col("x2") - F.col("y2")) / 18.0 + 2.0 * F.col("x0") * F.col("y0") / F.nullif(
-        pairs, F.lit(0.0)
+    scale = "(sqrt(pairs / 2 - x0) * sqrt(pairs / 2 - y0))"
+    variance = (
+        "((pairs * (2 * n + 5) - x2 - y2) / 18 + coalesce(try_divide(2 * x0 * y0, pairs), 0)"
+        " + coalesce(try_divide(x1 * y1, 9 * pairs * (n - 2)), 0))"
     )
-    return out.select(
-        *keys, "n", F.col("con").alias("concordant"), F.col("dis").alias("discordant"),
-        F.try_divide(score, scale).alias("tau"),
-        F.when(scale > 0, F.try_divide(score, F.sqrt(F.coalesce(variance, no_third)))).alias("tau_z"),
-        ((F.col("x0") == 0) & (F.col("y0") == 0)).alias("tau_untied"),
+    return out.selectExpr(
+        *keys, "n", "con AS concordant", "dis AS discordant",
+        f"try_divide(CAST(con - dis AS DOUBLE), {scale}) AS tau",
+        f"CASE WHEN {scale} > 0 THEN try_divide(CAST(con - dis AS DOUBLE), sqrt({variance})) END AS tau_z",
+        "x0 = 0 AND y0 = 0 AS tau_untied",
     )
 
 
@@ -104,16 +94,19 @@ def signed_rank(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def paired_timing(
-    pairs: DataFrame, universe: DataFrame, keys: list[str], last: int = m.LAST_GENERATION, p_values: bool = True
+    chains: DataFrame, keys: list[str], last: int = m.LAST_GENERATION, p_values: bool = True
 ) -> DataFrame:
-    """Timing tests of (x, y) generation pairs per key and leave-one-seed-out subset.
+    """Timing tests of two event generations per key and leave-one-seed-out subset.
 
-    ``pairs`` holds keys, dseed, mseed, x, y for chains with both events;
-    ``universe`` all chains of a key, which decides the list of subsets.  Fewer
+    ``chains`` holds keys, dseed, mseed, x, y; x and y are null unless both
+    events happened.  All chains of a key decide the list of subsets.  Fewer
     than two pairs give only n; equal generations everywhere skip Wilcoxon.
     """
-    base = pairs.groupBy(*keys, "dseed", "mseed", "x", "y").agg(F.count(F.lit(1)).alias("n"))
-    cells = cells_by_subset(base, universe, keys, ["x", "y"], ["n"])
+    # counted once and kept: everything below reads these few rows several times
+    base = reliable(chains.groupBy(*keys, "dseed", "mseed", "x", "y").agg(F.count(F.lit(1)).alias("n")))
+    universe = base.select(*keys, "dseed", "mseed").distinct()
+    pairs = base.filter("x IS NOT NULL AND y IS NOT NULL")
+    cells = reliable(cells_by_subset(pairs, universe, keys, ["x", "y"], ["n"]))
     over = [*keys, "subset"]
     tau = tau_b(cells, over, last)
     diffs = cells.groupBy(*over, (F.col("y") - F.col("x")).alias("d")).agg(F.sum("n").alias("n"))
@@ -150,28 +143,25 @@ def paired_timing(
     return out.drop("tau_untied", "wilcoxon_untied", "n_nonzero")
 
 
-def onset_failure_pairs(joined: DataFrame, keys: dict[str, Column]) -> tuple[DataFrame, DataFrame]:
-    """(pairs, universe) of onset versus failure for ``paired_timing``."""
-    labelled = joined.withColumns(keys)
-    universe = labelled.select(*keys, "dseed", "mseed").distinct()
-    both = labelled.filter(
-        F.coalesce((F.col("failure_event") == 1) & F.col("onset_crossed"), F.lit(False))
+def onset_failure_chains(joined: DataFrame, keys: dict[str, Column]) -> DataFrame:
+    """Chains with onset (x) and failure (y) generation for ``paired_timing``."""
+    both = "coalesce(failure_event = 1 AND onset_crossed, false)"
+    return joined.withColumns(keys).selectExpr(
+        *keys, "dseed", "mseed",
+        f"CASE WHEN {both} THEN onset_generation END AS x", f"CASE WHEN {both} THEN failure_time END AS y",
     )
-    pairs = both.select(*keys, "dseed", "mseed", F.col("onset_generation").alias("x"), F.col("failure_time").alias("y"))
-    return pairs, universe
 
 
-def onset_onset_pairs(
+def onset_onset_chains(
     onsets: DataFrame, left_metric: str, right_metrics: list[str], by_generator: bool = False,
     chain: list[str] = m.CHAIN_KEYS,
-) -> tuple[DataFrame, DataFrame]:
-    """(pairs, universe) of one metric's onset versus each of several others."""
+) -> DataFrame:
+    """Chains with one metric's onset (x) and each of several others' (y)."""
     keys = ["qa_metric"] + (["generator"] if by_generator else [])
     left = onsets.filter(F.col("metric") == left_metric).select(*chain, F.col("onset_generation").alias("x"))
     right = onsets.filter(F.col("metric").isin(*right_metrics)).select(
         *chain, F.col("metric").alias("qa_metric"), F.col("onset_generation").alias("y")
     )
-    both = left.join(right, chain)
-    universe = both.select(*keys, "dseed", "mseed").distinct()
-    pairs = both.filter(F.col("x").isNotNull() & F.col("y").isNotNull()).select(*keys, "dseed", "mseed", "x", "y")
-    return pairs, universe
+    return left.join(right, chain).selectExpr(
+        *keys, "dseed", "mseed", "CASE WHEN y IS NOT NULL THEN x END AS x", "CASE WHEN x IS NOT NULL THEN y END AS y"
+    )

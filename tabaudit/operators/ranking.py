@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from tabaudit import model as m
 from tabaudit.functions.tails import chi2_p
 from tabaudit.operators.subsets import cells_by_subset, group_members, subset_list
+from tabaudit.sources.sinks import reliable
 
 _PAIR = ["group", "dseed", "mseed"]
 
@@ -67,6 +68,7 @@ def rank_summary(ranks: DataFrame) -> DataFrame:
 
 def kendalls_w(ranks: DataFrame, p_values: bool = True) -> DataFrame:
     """Tie-corrected W and the Friedman statistic per group and leave-one-seed-out subset."""
+    ranks = reliable(ranks)
     complete = ranks.filter("complete").withColumns(
         # summed over a pair this is sum(t^3 - t) over its tie groups
         {"ties": (F.col("tied") * F.col("tied") - 1).cast("double"), "pairs": F.lit(1).cast("bigint")}

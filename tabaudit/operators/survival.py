@@ -126,32 +126,25 @@ def _quadratic_form(score: pd.Series, covariance: pd.Series) -> pd.Series:
     return pd.Series([one(u, v) for u, v in zip(score, covariance)], dtype="float64")
 
 
-def logrank_sums(events: DataFrame, groups: dict[str, list[str]] = m.GENERATOR_GROUPS) -> DataFrame:
+def logrank_sums(raw: DataFrame, groups: dict[str, list[str]] = m.GENERATOR_GROUPS) -> DataFrame:
     """Per (group, subset): generators present, O-E per position and its covariance matrix.
 
-    Columns z_<p> and v_<p>_<q>; both are sums over times, so one aggregation
+    ``raw`` are the ``risk_counts``.  Columns z_<p> and v_<p>_<q>; both are sums over times, so one aggregation
     of at most ``generations`` rows per subset.
     """
     width = max(len(g) for g in groups.values())
-    raw = risk_counts(events, groups)
     cells = cells_by_subset(
         raw, raw.select("group", "dseed", "mseed").distinct(), ["group"], ["generator", "position", "t"], ["n", "d"]
     )
     grid = _by_position(cells, [*_SUBSET, "t"], width)
     ps = range(width)
     n, d = _sum([f"n_{p}" for p in ps]), _sum([f"d_{p}" for p in ps])
-    grid = grid.withColumns({"N": n, "D": d})
-    shared = F.when(
-        F.col("N") > 1, F.col("D") * (F.col("N") - F.col("D")) / F.nullif(F.col("N") - 1.0, F.lit(0.0))
-    ).otherwise(F.lit(0.0))
-    sums = [F.max(F.col(f"n_{p}") > 0).alias(f"present_{p}") for p in ps]
+    shared = "CASE WHEN N > 1 THEN D * (N - D) / (N - 1) ELSE 0D END"
+    grid = grid.withColumns({"N": n, "D": d}).selectExpr("*", f"{shared} AS k")
+    sums = [F.expr(f"max(n_{p} > 0) AS present_{p}") for p in ps]
     for p in ps:
-        share = F.col(f"n_{p}") / F.col("N")
-        sums.append(F.sum(F.col(f"d_{p}") - F.col("D") * share).alias(f"z_{p}"))
-        for q in ps:
-            other = F.col(f"n_{q}") / F.col("N")
-            own = F.lit(1.0 if p == q else 0.0)
-            sums.append(F.sum(shared * share * (own - other)).alias(f"v_{p}_{q}"))
+        sums.append(F.expr(f"sum(d_{p} - D * n_{p} / N) AS z_{p}"))
+        sums += [F.expr(f"sum(k * n_{p} / N * ({float(p == q)}D - n_{q} / N)) AS v_{p}_{q}") for q in ps]
     return grid.groupBy(*_SUBSET).agg(*sums)
 
 
@@ -159,7 +152,8 @@ def logrank(events: DataFrame, groups: dict[str, list[str]] = m.GENERATOR_GROUPS
     """Omnibus log-rank test per group and subset; null statistic below two generators."""
     width = max(len(g) for g in groups.values())
     ps = range(width)
-    sums = logrank_sums(events, groups)
+    raw = reliable(risk_counts(events, groups))
+    sums = logrank_sums(raw, groups)
     present = sum((F.col(f"present_{p}").cast("int") for p in ps), F.lit(0))
     # positions without chains contribute a zero row, which the pseudo-inverse ignores
     score = F.array(*[F.col(f"z_{p}") for p in ps])
@@ -169,9 +163,7 @@ def logrank(events: DataFrame, groups: dict[str, list[str]] = m.GENERATOR_GROUPS
         *_SUBSET, present.alias("__k"),
         F.when(present >= 2, _quadratic_form(F.col("__u"), F.col("__v"))).alias("statistic"),
     )
-    everything = subset_list(
-        group_members(events, groups).select("group", "dseed", "mseed").distinct(), ["group"]
-    ).select(*_SUBSET)
+    everything = subset_list(raw.select("group", "dseed", "mseed").distinct(), ["group"]).select(*_SUBSET)
     out = everything.join(tested, _SUBSET, "left").select(
         *_SUBSET, F.lit("Omnibus log-rank").alias("test"), "statistic",
         F.when(F.col("__k") >= 2, F.col("__k") - 1).cast("bigint").alias("df"),
@@ -189,15 +181,13 @@ def _move_absent_first(sums: DataFrame, width: int) -> DataFrame:
     out = sums
     last = width - 1
     for p in range(last):
-        take = ~F.col(f"present_{last}") & F.col(f"present_{p}")
-        for q in range(p + 1, last):
-            take = take & ~F.col(f"present_{q}")
-        swapped = {f"z_{p}": F.when(take, F.col(f"z_{last}")).otherwise(F.col(f"z_{p}"))}
-        for q in range(width):
-            swapped[f"v_{p}_{q}"] = F.when(take, F.col(f"v_{last}_{q}")).otherwise(F.col(f"v_{p}_{q}"))
-            if q != p:
-                swapped[f"v_{q}_{p}"] = F.when(take, F.col(f"v_{q}_{last}")).otherwise(F.col(f"v_{q}_{p}"))
-        out = out.withColumns(swapped)
+        alone = "".join(f" AND NOT present_{q}" for q in range(p + 1, last))
+        take = f"NOT present_{last} AND present_{p}{alone}"
+        swapped = {f"z_{p}": f"z_{last}"} | {f"v_{p}_{q}": f"v_{last}_{q}" for q in range(width)}
+        swapped |= {f"v_{q}_{p}": f"v_{q}_{last}" for q in range(width) if q != p}
+        out = out.selectExpr(
+            *[f"CASE WHEN {take} THEN {swapped[c]} ELSE {c} END AS {c}" if c in swapped else c for c in sums.columns]
+        )
     return out
 
 
@@ -206,7 +196,7 @@ def logrank_pairwise(
 ) -> DataFrame:
     """Log-rank test of every two generators of a group, Holm-adjusted per subset."""
     width = max(len(g) for g in groups.values())
-    raw = risk_counts(events, groups)
+    raw = reliable(risk_counts(events, groups))
     cells = cells_by_subset(
         raw, raw.select("group", "dseed", "mseed").distinct(), ["group"], ["generator", "position", "t"], ["n", "d"]
     )
@@ -382,15 +372,15 @@ def cox_stratified(events: DataFrame, groups: dict[str, list[str]] = m.GENERATOR
     those tuples, whatever the number of chains.
     """
     width = max(len(g) for g in groups.values())
-    raw = risk_counts(events, groups)
+    raw = reliable(risk_counts(events, groups))
     universe = raw.select("group", "dseed", "mseed").distinct()
     vector = [f"{x}_{p}" for p in range(width) for x in ("n", "d")]
     sets = _by_position(raw, ["group", "dseed", "mseed", "t"], width)
     sets = sets.filter(_sum([f"d_{p}" for p in range(width)]) > 0).withColumn("sets", F.lit(1).cast("bigint"))
     cells = cells_by_subset(sets, universe, ["group"], vector, ["sets"])
-    chains = group_members(events, groups).select(
-        "group", "dseed", "mseed", "position", F.lit(1).cast("bigint").alias("chains"),
-        F.col("event").cast("bigint").alias("failures"),
+    # every chain is at risk at time 0 exactly once
+    chains = raw.groupBy("group", "dseed", "mseed", "position").agg(
+        F.max("n").alias("chains"), F.sum("d").alias("failures")
     )
     per_generator = cells_by_subset(chains, universe, ["group"], ["position"], ["chains", "failures"])
     status = per_generator.groupBy(*_SUBSET).agg(
@@ -431,6 +421,7 @@ def survival_comparison(events: DataFrame, groups: dict[str, list[str]] = m.GENE
     """All survival tests over groups and leave-one-seed-out subsets, in one table."""
     columns = ["group", "subset", "test", "comparison", "statistic", "df", "p", "p_holm"]
     listed = F.create_map(*[F.lit(x) for g, v in groups.items() for x in (g, " vs ".join(v))])
+    events = reliable(events)
     omnibus = logrank(events, groups).withColumns(
         {"comparison": F.try_element_at(listed, F.col("group")), "p_holm": F.lit(None).cast("double")}
     )

@@ -91,22 +91,22 @@ EVENTS_SQL = f"""{INCLINE_SQL},
 minority AS (SELECT {CHAIN_SQL}, generation, least(positive_share, 1 - positive_share) AS value FROM trajectory),
 paired_points AS (SELECT *, lead(auroc_like) OVER (PARTITION BY {CHAIN_SQL} ORDER BY generation) AS nxt,
                          lead(generation) OVER (PARTITION BY {CHAIN_SQL} ORDER BY generation) AS nxt_g FROM trajectory),
-lost AS (SELECT {CHAIN_SQL}, min(generation) AS g FROM paired_points WHERE auroc_like <= 0.45 AND nxt <= 0.45 AND nxt_g IS NOT NULL GROUP BY ALL),
-emptied AS (SELECT {CHAIN_SQL}, min(generation) AS g FROM minority WHERE value = 0 AND generation >= 4 GROUP BY ALL),
+lost AS (SELECT {CHAIN_SQL}, min(generation) AS g FROM paired_points WHERE auroc_like <= 0.3 AND nxt <= 0.3 AND nxt_g IS NOT NULL GROUP BY ALL),
+emptied AS (SELECT {CHAIN_SQL}, min(generation) AS g FROM minority WHERE value = 0 AND generation >= 18 GROUP BY ALL),
 points AS (SELECT {CHAIN_SQL}, count(*) AS n FROM trajectory GROUP BY ALL),
 events_of AS (SELECT {CHAIN_SQL}, CAST(coalesce(least(l.g, e.g), 19) AS BIGINT) AS time, CAST(coalesce(l.g, e.g) IS NOT NULL AS BIGINT) AS event,
     concat_ws('+', CASE WHEN l.g = least(l.g, e.g) THEN 'signal_loss' END, CASE WHEN e.g = least(l.g, e.g) THEN 'class_collapse' END) AS mechanism,
     n AS n_tstr_datapoints, n < 2 AS insufficient_tstr_data
   FROM points LEFT JOIN lost l USING ({CHAIN_SQL}) LEFT JOIN emptied e USING ({CHAIN_SQL}))"""
-# Class collapse counts from generation 4 on in these queries: nearly every
+# Class collapse counts from generation 18 on in these queries: nearly every
 # chain of the test table has an early generation without a purchase.
-_COLLAPSE_FROM = 4
+_COLLAPSE_FROM = 18
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     wide = v.trajectory(spark, folder)
     share = v.minority(wide).withColumn("value", F.when(F.col("generation") >= _COLLAPSE_FROM, F.col("value")).otherwise(F.lit(0.5)))
-    return events.failure_events(v.metric_rows(wide, "auroc_like"), share, threshold=0.45)
+    return events.failure_events(v.metric_rows(wide, "auroc_like"), share, threshold=0.3)
 
 
 def _joined(spark: SparkSession, folder: str) -> DataFrame:
@@ -218,8 +218,8 @@ def _timing_out(df: DataFrame, keys: list[str]) -> DataFrame:
 @query(f"""WITH {JOINED_SQL}, universe AS (SELECT 'flag_rate' AS metric, dseed, mseed FROM joined), {_subset_sql('universe', 'metric')},
 pairs AS (SELECT 'flag_rate' AS metric, dseed, mseed, onset_generation AS x, time AS y FROM joined WHERE event = 1 AND crossed), {_timing_sql('metric', '')}""")
 def paired_timing(spark: SparkSession, folder: str) -> DataFrame:
-    pairs, universe = paired.onset_failure_pairs(_joined(spark, folder), {"metric": F.lit("flag_rate")})
-    return _timing_out(paired.paired_timing(pairs, universe, ["metric"], p_values=False), ["metric"])
+    chains = paired.onset_failure_chains(_joined(spark, folder), {"metric": F.lit("flag_rate")})
+    return _timing_out(paired.paired_timing(chains, ["metric"], p_values=False), ["metric"])
 
 
 _METRIC_PAIRS = """
@@ -231,22 +231,22 @@ pairs AS (SELECT * FROM universe WHERE x IS NOT NULL AND y IS NOT NULL)"""
 
 @query(f"WITH {INCLINE_SQL}, {_METRIC_PAIRS}, {_subset_sql('universe', 'qa_metric')}, {_timing_sql('qa_metric', '')}")
 def paired_timing_metrics(spark: SparkSession, folder: str) -> DataFrame:
-    pairs, universe = paired.onset_onset_pairs(_onsets(spark, folder), "flag_rate", ["positive_share", "auroc_like"])
-    return _timing_out(paired.paired_timing(pairs, universe, ["qa_metric"], p_values=False), ["qa_metric"])
+    chains = paired.onset_onset_chains(_onsets(spark, folder), "flag_rate", ["positive_share", "auroc_like"])
+    return _timing_out(paired.paired_timing(chains, ["qa_metric"], p_values=False), ["qa_metric"])
 
 
 @query(f"WITH {INCLINE_SQL}, {_METRIC_PAIRS}, {_subset_sql('universe', 'qa_metric, generator')}, timing AS ({_timing_sql('qa_metric, generator', '')[1:].replace('rows_of AS', 'WITH rows_of AS', 1)}) SELECT * FROM timing WHERE subset = 'Full population'")
 def paired_timing_by_generator(spark: SparkSession, folder: str) -> DataFrame:
-    pairs, universe = paired.onset_onset_pairs(_onsets(spark, folder), "flag_rate", ["positive_share", "auroc_like"], by_generator=True)
-    out = paired.paired_timing(pairs, universe, ["qa_metric", "generator"], p_values=False)
+    chains = paired.onset_onset_chains(_onsets(spark, folder), "flag_rate", ["positive_share", "auroc_like"], by_generator=True)
+    out = paired.paired_timing(chains, ["qa_metric", "generator"], p_values=False)
     return _timing_out(out.filter(F.col("subset") == subsets.FULL), ["qa_metric", "generator"])
 
 
 @query()
 def paired_timing_p_values(spark: SparkSession, folder: str) -> DataFrame:
     """Test table with p values, exact for small samples without ties."""
-    pairs, universe = paired.onset_failure_pairs(_joined(spark, folder), {"metric": F.lit("flag_rate")})
-    out = paired.paired_timing(pairs, universe, ["metric"])
+    chains = paired.onset_failure_chains(_joined(spark, folder), {"metric": F.lit("flag_rate")})
+    out = paired.paired_timing(chains, ["metric"])
     return out.select("metric", "subset", "n_pairs", r6("tau"), r6("tau_p"), r6("wilcoxon_stat"), r6("wilcoxon_p"))
 
 
