@@ -59,9 +59,13 @@ def round_half_even(value: Column, places: int = 0) -> Column:
 
 
 def settle(value: Column, places: int = 6) -> Column:
-    """Stable rounding for published doubles: plain IEEE floor, no decimal text."""
+    """Stable rounding for published doubles: plain IEEE floor, no decimal text.
+
+    The offset is a little above one half, so that an exact tie rounds up even
+    when summation order moved it by an ulp.
+    """
     scale = float(10**places)
-    return F.floor(value * F.lit(scale) + F.lit(0.5)) / F.lit(scale)
+    return F.floor(value * F.lit(scale) + F.lit(0.500003)) / F.lit(scale)
 
 
 def safe_ratio(top: Column, bottom: Column) -> Column:

@@ -75,7 +75,7 @@ def crossing_counts(spark: SparkSession, folder: str) -> DataFrame:
 
 _WIDE = ", ".join(
     f"CAST(max(onset_generation) FILTER (metric = '{n}') AS BIGINT) AS {n}_spike_generation, "
-    f"floor(max(step_size) FILTER (metric = '{n}') * 1e6 + 0.5) / 1e6 AS {n}_spike_size" for n in v.ONSETS
+    f"floor(max(step_size) FILTER (metric = '{n}') * 1e6 + 0.500003) / 1e6 AS {n}_spike_size" for n in v.ONSETS
 )
 
 
