@@ -10,6 +10,7 @@ from tabaudit.functions.columns import label_map
 
 # Fixed naming patterns of run folders and data files.
 FOLDER_PATTERN = r"(?i)^(Step7pf[ap])_dseed(\d+)_synthcity_([A-Za-z0-9]+)_mseed(\d+)$"
+FOLDER_PATTERN_SQL = FOLDER_PATTERN.replace("\\", "\\\\")
 GENERATION_IN_NAME = r"gen_(\d+)"
 GENERATION_IN_FILE = r"_gen_(\d+)(?:[_.]|$)"
 
@@ -58,18 +59,19 @@ def with_chain_keys(df: DataFrame, folder: str = "folder") -> DataFrame:
     A folder that does not follow the naming pattern keeps null keys and its
     own name as chain label, so it can be reported instead of vanishing.
     """
-    name = F.col(folder)
-    dseed = _group(name, FOLDER_PATTERN, 2).try_cast("bigint")
-    mseed = _group(name, FOLDER_PATTERN, 4).try_cast("bigint")
-    base = F.upper(_group(name, FOLDER_PATTERN, 3))
-    variant = label_map(m.VARIANT_TOKENS, F.lower(_group(name, FOLDER_PATTERN, 1)))
-    return df.withColumns(
-        {
-            "base_generator": base,
-            "variant": variant,
-            "generator": generator_of(base, variant),
-            "dseed": dseed,
-            "mseed": mseed,
-            "chain": F.coalesce(chain_label(dseed, mseed), name),
-        }
+    # one match per row decides; the parts are then cut at fixed places
+    parts = f"CASE WHEN `{folder}` RLIKE '{FOLDER_PATTERN_SQL}' THEN split(`{folder}`, '_') END AS __parts"
+    variants = ", ".join(f"'{token}', '{variant}'" for token, variant in m.VARIANT_TOKENS.items())
+    core = "CASE WHEN variant = 'core' THEN '_CORE' ELSE '' END"
+    columns = df.columns
+    split = df.selectExpr("*", parts).selectExpr(
+        *columns,
+        "upper(__parts[3]) AS base_generator",
+        f"try_element_at(map({variants}), lower(__parts[0])) AS variant",
+        "try_cast(substring(__parts[1], 6) AS BIGINT) AS dseed",
+        "try_cast(substring(__parts[4], 6) AS BIGINT) AS mseed",
+    )
+    return split.selectExpr(
+        "*", f"base_generator || {core} AS generator",
+        f"coalesce('d' || CAST(dseed AS STRING) || ' / m' || CAST(mseed AS STRING), `{folder}`) AS chain",
     )

@@ -11,6 +11,7 @@ from tabaudit.functions.normalise import normalise_records
 from tabaudit.operators import novelty, pooling, rules
 from tabaudit.plans import views as v
 from tabaudit.plans.base import Registry, T_CTE, long_of, pooled_out, pooled_sql, r6, s6
+from tabaudit.sources.scans import spread
 
 registry = Registry()
 query = registry.query
@@ -78,7 +79,8 @@ SELECT ID, folder,
   CASE WHEN isnan(potassium) THEN NULL ELSE {_half_even('potassium * 10.0::DOUBLE')} / 10.0::DOUBLE END AS potassium
 FROM raw""")
 def records_normalised(spark: SparkSession, folder: str) -> DataFrame:
-    lines = v.table(spark, folder, "lineitem").withColumn("c", F.expr("CAST(round(l_extendedprice * 100) AS BIGINT)"))
+    table = spread(v.table(spark, folder, "lineitem"), "l_orderkey", "l_partkey")
+    lines = table.withColumn("c", F.expr("CAST(round(l_extendedprice * 100) AS BIGINT)"))
     raw = lines.select(
         F.expr("l_orderkey * 10 + l_linenumber").alias("ID"), F.expr(_FOLDER).alias("folder"),
         *[F.expr(e).alias(n) for n, e in _RAW.items()],
