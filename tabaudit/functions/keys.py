@@ -63,7 +63,7 @@ def with_chain_keys(df: DataFrame, folder: str = "folder") -> DataFrame:
     parts = f"CASE WHEN `{folder}` RLIKE '{FOLDER_PATTERN_SQL}' THEN split(`{folder}`, '_') END AS __parts"
     variants = ", ".join(f"'{token}', '{variant}'" for token, variant in m.VARIANT_TOKENS.items())
     core = "CASE WHEN variant = 'core' THEN '_CORE' ELSE '' END"
-    columns = df.columns
+    columns = [f"`{c}`" for c in df.columns]
     split = df.selectExpr("*", parts).selectExpr(
         *columns,
         "upper(__parts[3]) AS base_generator",

@@ -286,7 +286,7 @@ def copied_rows(
     _require(training, numeric + categorical)
     feats = numeric + categorical
     columns = records.columns
-    salt = f"CAST(pmod(xxhash64({', '.join(columns)}), {SALTS}) AS INT) AS __salt"
+    salt = f"CAST(pmod(xxhash64({', '.join(f'`{c}`' for c in columns)}), {SALTS}) AS INT) AS __salt"
     left = records.selectExpr("*", *_copy_columns(records, numeric, categorical, "__c"), salt)
     right = (
         training.selectExpr(*[f"{k} AS __k_{k}" for k in chain], *_copy_columns(training, numeric, categorical, "__t"))

@@ -12,10 +12,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tabaudit import model as m
-from tabaudit.functions.columns import finite
+from tabaudit.functions.columns import as_number, finite
 from tabaudit.functions.keys import (
     FOLDER_PATTERN, GENERATION_IN_FILE, file_name, generation_of, with_chain_keys,
 )
+from tabaudit.functions.normalise import boolean_value
 
 _PATH = "_metadata.file_path"
 
@@ -43,13 +44,66 @@ def record_schema(columns: list[str] | None = None) -> T.StructType:
 
 
 def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType | None = None, **options) -> DataFrame:
-    """CSV with header.  With a schema, columns are matched to each file's header by name."""
+    """CSV with header.  With a schema, every file's header must show the same columns in the same order."""
     reader = spark.read.option("header", True).option("mode", "PERMISSIVE").options(**options)
     if schema is None:
         return reader.csv(path)
     return reader.schema(schema).option("enforceSchema", False).csv(path)
 
 
+def read_variants(spark: SparkSession, root: str, below: str, pattern: str, generators: list[str] | None = None) -> DataFrame:
+    """All files ``root/<generator>/*/<below>/<pattern>`` as text columns.
+
+    Files of one generator variant share their columns, taken from one header
+    and checked against all others; variants with fewer columns get nulls.
+    A variant without files is left out.
+    """
+    out: DataFrame | None = None
+    for generator in generators or list(m.GENERATOR_VARIANTS):
+        glob = f"{root}/{generator}/*/{below}"
+        try:
+            columns = read_csv(spark, glob, pathGlobFilter=pattern).columns
+        except Exception as missing:
+            if "PATH_NOT_FOUND" in str(missing) or "UNABLE_TO_INFER_SCHEMA" in str(missing):
+                continue
+            raise
+        if not columns:
+            continue
+        text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
+        rows = _path_parts(read_csv(spark, glob, text, pathGlobFilter=pattern), 3)
+        out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
+    if out is None:
+        raise FileNotFoundError(f"no {below}/{pattern} below {root}")
+    return out
+
+
+def typed_records(text: DataFrame) -> DataFrame:
+    """Text columns of readable records to their types; unreadable numbers are null."""
+    df = text.withColumnsRenamed(m.RENAMED_AT_INGEST)
+    types = dict(df.dtypes)
+    out = []
+    for c in types:
+        if c in m.NUMERIC_FEATURES:
+            kind = "bigint" if c in m.WHOLE_NUMBER_FEATURES else "double"
+            out.append(as_number(types, c).try_cast(kind).alias(c))
+        elif c in m.BOOLEAN_FEATURES:
+            out.append(boolean_value(types, c).alias(c))
+        else:
+            out.append(as_number(types, c).try_cast("bigint").alias(c) if c == "ID" else F.col(c))
+    return df.select(*out)
+
+
+_CELLS = 256
+
+
+def _cells(spark: SparkSession, path: str, **options) -> DataFrame:
+    """(path, cells): every line of CSV files, header lines included, as an array of cells."""
+    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(_CELLS)])
+    names = ", ".join(f"c{i}" for i in range(_CELLS))
+    rows = spark.read.option("header", False).options(**options).schema(wide).csv(path)
+    return rows.selectExpr(f"array({names}) AS cells", f"{_PATH} AS path")
+
+
 def _renamed(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(m.RENAMED_AT_INGEST)
 
@@ -68,14 +122,14 @@ def _path_parts(df: DataFrame, file_depth: int) -> DataFrame:
     )
 
 
-def scan_records(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
-    """Generated records below ``root/<generator>/<chain>/SD/*.csv``.
+def scan_records(spark: SparkSession, root: str, generators: list[str] | None = None) -> DataFrame:
+    """Generated records below ``root/<generator>/<chain>/SD``.
 
     Files whose name has no generation are skipped.
     """
-    rows = _path_parts(read_csv(spark, f"{root}/*/*/SD/*.csv", schema), 3)
+    rows = read_variants(spark, root, "SD", "*gen_[0-9]*.csv", generators)
     keyed = with_chain_keys(rows.withColumn("generation", generation_of(F.col("file"))))
-    return without_nan(_renamed(keyed.filter(F.col("generation").isNotNull()).drop("role_folder")))
+    return typed_records(keyed.drop("role_folder"))
 
 
 def training_choice(files: DataFrame) -> DataFrame:
@@ -85,11 +139,11 @@ def training_choice(files: DataFrame) -> DataFrame:
     return usable.groupBy("folder").agg(best.alias("__b")).select("folder", "__b.file")
 
 
-def scan_training(spark: SparkSession, root: str, schema: T.StructType | None = None) -> DataFrame:
+def scan_training(spark: SparkSession, root: str, generators: list[str] | None = None) -> DataFrame:
     """Training records below ``root/<generator>/<chain>/RD``; chains without a file have no rows."""
-    rows = _path_parts(read_csv(spark, f"{root}/*/*/RD/*.csv", schema), 3)
+    rows = read_variants(spark, root, "RD", "reference_*_clin.csv", generators)
     chosen = training_choice(list_files(spark, f"{root}/*/*/RD/*.csv", 3))
-    return without_nan(_renamed(with_chain_keys(rows.join(chosen, ["folder", "file"], "left_semi").drop("role_folder"))))
+    return typed_records(with_chain_keys(rows.join(chosen, ["folder", "file"], "left_semi").drop("role_folder")))
 
 
 def scan_raw_exports(spark: SparkSession, root: str) -> DataFrame:
@@ -112,8 +166,8 @@ def scan_raw_exports(spark: SparkSession, root: str) -> DataFrame:
     return keyed.filter(F.col("role").isNotNull()).join(checked, "folder", "left_semi")
 
 
-def scan_population(spark: SparkSession, path: str, schema: T.StructType | None = None) -> DataFrame:
-    return without_nan(_renamed(read_csv(spark, path, schema)))
+def scan_population(spark: SparkSession, path: str) -> DataFrame:
+    return typed_records(read_csv(spark, path))
 
 
 def read_metadata(spark: SparkSession, path: str) -> tuple[list[str], list[str]]:
@@ -190,15 +244,22 @@ def scan_labels(spark: SparkSession, root: str, aliases: list[str] = m.LABEL_COL
     spelling in the same scan are matched too.
     """
     chosen = one_file_per(label_files(spark, root).filter("keep"), ["folder", "generation"], "labels")
-    schema = T.StructType([T.StructField(a, T.StringType()) for a in aliases])
-    rows = (
-        spark.read.option("header", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*.csv")
-        .option("enforceSchema", False).schema(schema).csv(root)
-        .select(F.coalesce(*[F.col(a) for a in aliases]).alias("readmission"), F.col(_PATH).alias("path"))
-    )
-    bare = F.regexp_replace(F.col("path"), "^file:/+", "file:/")
-    keyed = chosen.withColumn("path", F.regexp_replace(F.col("path"), "^file:/+", "file:/"))
-    return with_chain_keys(rows.withColumn("path", bare).join(keyed, "path"))
+    lines = _cells(spark, root, recursiveFileLookup=True, pathGlobFilter="*.csv").withColumn("path", _bare_path())
+    lines = lines.join(chosen.withColumn("path", _bare_path()), "path")
+    names = F.transform("cells", lambda c: F.lower(F.trim(c)))
+    places = [F.array_position(names, alias) for alias in aliases]
+    place = F.coalesce(*[F.nullif(p, F.lit(0)) for p in places])
+    placed = lines.withColumn("__place", place)
+    # one header line per file; data lines never hold the name of a label column
+    headers = placed.filter(F.col("__place").isNotNull()).select("path", F.col("__place").alias("__at"))
+    rows = placed.filter(F.col("__place").isNull()).join(headers, "path")
+    label = F.try_element_at("cells", F.col("__at").cast("int"))
+    return with_chain_keys(rows.select("folder", "generation", label.alias("readmission")))
+
+
+def _bare_path() -> Column:
+    """Paths of the two listings written the same way."""
+    return F.regexp_replace(F.col("path"), "^file:/+", "file:/")
 
 
 def scan_utility(spark: SparkSession, root: str) -> DataFrame:
@@ -220,8 +281,8 @@ def scan_utility(spark: SparkSession, root: str) -> DataFrame:
 def scan_quality(spark: SparkSession, root: str) -> DataFrame:
     """Per-chain quality tables ``root/*/<chain>/<chain>.csv``, else the only CSV of the folder.
 
-    Each file keeps its own columns: rows are read as text lines and values
-    matched through the header of their file.
+    Each file keeps its own columns: lines are read as arrays of cells and
+    matched through the header line of their file.
     """
     glob = f"{root}/*/*/*.csv"
     files = list_files(spark, glob, 2)
@@ -235,14 +296,16 @@ def scan_quality(spark: SparkSession, root: str) -> DataFrame:
         .otherwise(F.raise_error(F.concat(F.col("folder"), F.lit(": several quality tables"))).cast("string"))
     )
     chosen = counted.select("folder", choice.alias("file"))
-    lines = _path_parts(spark.read.text(glob), 2).select("folder", "file", F.col("value").alias("line"))
-    lines = lines.join(chosen, ["folder", "file"], "left_semi")
+    parts = F.split(F.col("path"), "/")
+    lines = _cells(spark, glob).select(
+        "cells", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file")
+    ).join(chosen, ["folder", "file"], "left_semi")
     # the header line is the one naming the generation column
-    names = F.transform(F.split(F.col("line"), ","), F.trim)
-    headers = lines.filter(F.array_contains(names, "generation")).select("folder", names.alias("__names"))
-    cells = F.split(F.col("line"), ",")
-    rows = lines.join(headers, "folder").filter(~F.array_contains(names, "generation"))
-    values = rows.select("folder", F.map_from_arrays("__names", F.slice(cells, 1, F.size("__names"))).alias("__v"))
+    named = lines.withColumn("__names", F.filter(F.transform("cells", F.trim), lambda c: c.isNotNull()))
+    is_header = F.array_contains("__names", "generation")
+    headers = named.filter(is_header).select("folder", "__names")
+    rows = named.filter(~is_header).drop("__names").join(headers, "folder")
+    values = rows.select("folder", F.map_from_arrays("__names", F.slice("cells", F.lit(1), F.size("__names"))).alias("__v"))
     keyed = with_chain_keys(values)
     long = keyed.select(
         "generator", "dseed", "mseed", F.try_element_at("__v", F.lit("generation")).try_cast("double").cast("int").alias("generation"),
