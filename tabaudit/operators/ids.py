@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_SLICE = "__slice"
-_BEFORE = "__before"
+_GROUP, _SLICE, _KEY = "__group", "__slice", "__key"
+_RANK, _BEFORE = "__rank", "__before"
 
 
 def number_within(
@@ -23,25 +23,25 @@ def number_within(
     order column divided by a constant).  Rows are ranked inside
     (group, slice), and each slice starts after the rows of the slices before
     it, so a group holding a third of the table is spread over its slices.
-    Both sides of the join are partitioned by the same keys: the wide side is
-    shuffled once, the offsets are one row per slice.
+    Window and join use the same key: the wide side is shuffled once, and the
+    offsets are one row per slice.
     """
     columns = df.columns
-    sliced = df.selectExpr("*", f"{slice_of} AS {_SLICE}")
-    keys = [*group, _SLICE]
-    earlier = Window.partitionBy(*group).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
+    # structs compare missing fields as equal, so files with null keys are numbered too
+    keys = ", ".join(f"`{g}`" for g in group)
+    sliced = df.selectExpr("*", f"struct({keys}) AS {_GROUP}", f"{slice_of} AS {_SLICE}")
+    earlier = Window.partitionBy(_GROUP).orderBy(_SLICE).rowsBetween(Window.unboundedPreceding, -1)
     offsets = (
-        sliced.groupBy(*keys)
+        sliced.groupBy(_GROUP, _SLICE)
         .agg(F.count(F.lit(1)).alias("__n"))
         .withColumn(_BEFORE, F.coalesce(F.sum("__n").over(earlier), F.lit(0)))
-        .drop("__n")
+        .select(F.struct(_GROUP, _SLICE).alias(_KEY), _BEFORE)
     )
-    inside = Window.partitionBy(*keys).orderBy(*order)
-    ranked = sliced.withColumn(name, F.row_number().over(inside))
-    same = " AND ".join(f"r.`{k}` <=> o.`{k}`" for k in keys)
-    kept = [f"r.`{c}`" for c in columns]
-    return ranked.alias("r").join(offsets.alias("o"), F.expr(same)).selectExpr(
-        *kept, f"CAST(r.`{name}` + o.{_BEFORE} AS BIGINT) AS `{name}`"
+    inside = Window.partitionBy(_KEY).orderBy(*order)
+    keyed = sliced.select(*columns, F.struct(_GROUP, _SLICE).alias(_KEY))
+    ranked = keyed.withColumn(_RANK, F.row_number().over(inside))
+    return ranked.join(offsets, _KEY).select(
+        *columns, (F.col(_RANK) + F.col(_BEFORE)).cast("bigint").alias(name)
     )
 
 

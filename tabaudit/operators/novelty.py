@@ -30,8 +30,9 @@ from tabaudit.functions.normalise import bin_text, copy_label_text, copy_number_
 # Population cells are broadcast only below this estimated size.
 BROADCAST_BYTES = 256 * 1024 * 1024
 _BYTES_PER_VALUE = 32
-# Copies of the cell side used to spread hot cells in the record-level join.
-SALTS = 32
+# Copies of the cell side that spread hot cells in the record-level joins; beyond
+# that, adaptive execution splits what is still too large.
+SALTS = 8
 
 
 @dataclass

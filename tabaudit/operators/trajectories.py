@@ -44,12 +44,13 @@ def chain_rates_gated(
     one = F.lit(1).alias("__one")
     totals = chains.groupBy(*scope, one).agg(F.count(F.lit(1)).alias("__chains"))
     covered = counts.groupBy(*scope, F.lit(1).alias("__one"), "generation").agg(F.count(F.lit(1)).alias("__with"))
-    kept = covered.join(totals, [*scope, "__one"]).filter(F.col("__with") / F.col("__chains") >= min_coverage)
-    # generations of a scope as one short array per scope, so the grid is an equi-join plus explode
+    kept = covered.join(F.broadcast(totals), [*scope, "__one"]).filter(F.col("__with") / F.col("__chains") >= min_coverage)
+    # Generations of a scope as one short array per scope: the grid is an equi-join
+    # plus explode.  One row per scope (all chains, or a generator) is broadcast.
     generations = kept.groupBy(*scope, "__one").agg(F.collect_set("generation").alias("__gs"))
     grid = (
         chains.withColumn("__one", F.lit(1))
-        .join(generations, [*scope, "__one"])
+        .join(F.broadcast(generations), [*scope, "__one"])
         .select(*chain, F.explode("__gs").alias("generation"))
     )
     filled = grid.join(counts, [*chain, "generation"], "left").join(rows_per_file, [*chain, "generation"], "left")

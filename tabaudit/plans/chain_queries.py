@@ -174,18 +174,18 @@ def resume_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- trajectories
-# A rule that some files and most of one generation never fire.
+# A rule that about half of the files never fire.
 SPARSE_SQL = f"""{rq.RULED_SQL},
 sizes AS (SELECT {KEY_SQL}, count(*) AS n_rows FROM synthetic GROUP BY ALL),
-sparse AS (SELECT {KEY_SQL}, ID FROM detail WHERE rule = 'low_cr' AND NOT (generation = 6 AND dseed <> 0)),
+sparse AS (SELECT {KEY_SQL}, ID FROM detail WHERE rule = 'circ_nomarkers'),
 counts AS (SELECT {KEY_SQL}, count(*) AS n_flagged FROM sparse GROUP BY ALL)"""
 
 
 def _sparse(spark: SparkSession, folder: str, ids: bool = False) -> tuple[DataFrame, DataFrame]:
-    masked = rules.apply_rules(v.records(spark, folder, "synthetic", ids), rules.rules_named("low_cr"))
-    hits = rules.rule_rows(masked, [*KEYS, "ID"], rules.rules_named("low_cr"))
+    masked = rules.apply_rules(v.records(spark, folder, "synthetic", ids), rules.rules_named("circ_nomarkers"))
+    hits = rules.rule_rows(masked, [*KEYS, "ID"], rules.rules_named("circ_nomarkers"))
     sizes = v.records(spark, folder, "synthetic").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"))
-    return hits.filter("NOT (generation = 6 AND dseed <> 0)"), sizes
+    return hits, sizes
 
 
 @query(f"""WITH {SPARSE_SQL}
@@ -257,21 +257,29 @@ def rate_cross_check(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # -------------------------------------------------------------- class balance
-# The label of half of the files is written as text.
-BALANCE_SQL = f"""{v.RECORDS_SQL},
-balance AS (SELECT {KEY_SQL}, count(*) AS n_rows, count_if(readmission) AS n_positive,
-                   count_if(readmission) / count(*) AS positive_share,
-                   least(count_if(readmission) / count(*), 1 - count_if(readmission) / count(*)) AS minority_share,
-                   count(DISTINCT readmission) AS n_classes FROM synthetic WHERE s_keep GROUP BY ALL)"""
-# Small files: 1 in 32 rows, so that single-class files exist.
-_KEEP = "ID % 32 = 1"
-BALANCE_SQL = BALANCE_SQL.replace("s_keep", _KEEP)
+# One file per chain and generation of the event stream; its label says whether
+# an event is a purchase.  The files are small, so single-class files exist.
+LABELS_SQL = """
+labelled_rows AS (SELECT CASE user_id % 4 WHEN 0 THEN 'ARF' WHEN 1 THEN 'CTGAN' WHEN 2 THEN 'DDPM' ELSE 'RTVAE' END AS generator,
+    CAST(floor(user_id / 4.0::DOUBLE) AS BIGINT) % 3 AS dseed, CAST(floor(user_id / 4.0::DOUBLE) AS BIGINT) AS mseed,
+    CAST(floor((extract(DAY FROM ts) - 1) * 20 / 30.0::DOUBLE) AS BIGINT) AS generation, event_type = 'purchase' AS positive, event_type FROM events)"""
+BALANCE_SQL = f"""{LABELS_SQL},
+balance AS (SELECT {KEY_SQL}, count(*) AS n_rows, count_if(positive) AS n_positive, count_if(positive) / count(*) AS positive_share,
+                   least(count_if(positive) / count(*), 1 - count_if(positive) / count(*)) AS minority_share,
+                   count(DISTINCT positive) AS n_classes FROM labelled_rows GROUP BY ALL)"""
+
+
+def _labelled_rows(spark: SparkSession, folder: str) -> DataFrame:
+    return v.table(spark, folder, "events").selectExpr(
+        "CASE user_id % 4 WHEN 0 THEN 'ARF' WHEN 1 THEN 'CTGAN' WHEN 2 THEN 'DDPM' ELSE 'RTVAE' END AS generator",
+        "CAST(floor(user_id / 4D) AS BIGINT) % 3 AS dseed", "CAST(floor(user_id / 4D) AS BIGINT) AS mseed",
+        "CAST(floor((day(ts) - 1) * 20 / 30D) AS BIGINT) AS generation",
+        "CASE WHEN event_type = 'purchase' THEN ' Yes' ELSE 'n' END AS Readmitted",
+    )
 
 
 def _balance(spark: SparkSession, folder: str) -> DataFrame:
-    rows = v.records(spark, folder, "synthetic", ids=True).filter(_KEEP)
-    text = rows.withColumn("Readmitted", F.when(F.col("readmission"), F.lit(" Yes")).otherwise(F.lit("n"))).drop("readmission")
-    return labels.class_balance(text, KEYS)
+    return labels.class_balance(_labelled_rows(spark, folder), KEYS)
 
 
 @query(f"WITH {BALANCE_SQL} SELECT {KEY_SQL}, n_rows, n_positive, {s6('positive_share')}, {s6('minority_share')}, n_classes FROM balance")
@@ -279,9 +287,13 @@ def class_balance(spark: SparkSession, folder: str) -> DataFrame:
     return _balance(spark, folder).select(*KEYS, "n_rows", "n_positive", r6("positive_share"), r6("minority_share"), "n_classes")
 
 
-@query(f"WITH {BALANCE_SQL} SELECT generator, dseed, mseed, min(n_positive) AS n_positive, count(*) AS n_generations FROM balance GROUP BY ALL HAVING count(DISTINCT n_positive) <= 1")
+@query("""WITH per_file AS (SELECT l_orderkey, l_linenumber, count_if(l_returnflag = 'A') AS n_positive FROM lineitem GROUP BY ALL)
+SELECT l_orderkey, min(n_positive) AS n_positive, count(*) AS n_generations FROM per_file GROUP BY l_orderkey HAVING count(DISTINCT n_positive) <= 1""")
 def class_balance_frozen(spark: SparkSession, folder: str) -> DataFrame:
-    return labels.frozen_chains(_balance(spark, folder), v.CHAIN)
+    """Orders stand for chains and line numbers for generations: many never change."""
+    rows = v.table(spark, folder, "lineitem").selectExpr("l_orderkey", "l_linenumber AS generation", "l_returnflag = 'A' AS target")
+    balance = labels.class_balance(rows, ["l_orderkey", "generation"])
+    return labels.frozen_chains(balance, ["l_orderkey"])
 
 
 @query(f"""WITH {BALANCE_SQL}, first_hit AS (SELECT generator, dseed, mseed, min(generation) AS g FROM balance WHERE minority_share = 0 GROUP BY ALL)
@@ -304,14 +316,12 @@ def label_balance(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*KEYS, "n_classes", r6("minority_fraction"))
 
 
-@query(f"""WITH {v.TRAJECTORY_SQL}, {BALANCE_SQL},
-collapsed AS (SELECT generator, generation, count(*) AS n_files, count_if(n_classes <= 1) AS n_collapsed FROM balance GROUP BY ALL)
-SELECT * FROM collapsed""".replace(v.TRAJECTORY_SQL + ", ", ""))
+@query(f"""WITH {BALANCE_SQL}
+SELECT generator, generation, count(*) AS n_files, count_if(n_classes <= 1) AS n_collapsed FROM balance GROUP BY ALL""")
 def collapse_marks(spark: SparkSession, folder: str) -> DataFrame:
-    rows = v.records(spark, folder, "synthetic", ids=True).filter(_KEEP)
-    balance = labels.label_balance(rows, KEYS, "readmission")
-    files = rows.select(*KEYS).distinct()
-    marked = labels.attach_collapse(files, balance, KEYS)
+    rows = _labelled_rows(spark, folder)
+    balance = labels.label_balance(rows, KEYS, "Readmitted")
+    marked = labels.attach_collapse(rows.select(*KEYS).distinct(), balance, KEYS)
     return marked.groupBy("generator", "generation").agg(
         F.count(F.lit(1)).alias("n_files"), F.count_if("class_collapse").alias("n_collapsed")
     )

@@ -431,21 +431,18 @@ def rule_counts_zero_filled(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------- range check and silence
 _RANGE_BOUNDS = ", ".join(f"min({c}) AS lo_{c}, max({c}) AS hi_{c}" for c in m.RANGE_CHECK_NUMERIC)
 _POP_LEVELS = ", ".join(f"list(DISTINCT {c}) AS lv_{c}" for c in m.RANGE_CHECK_CATEGORICAL)
-# The population of this check is the part of it below a price level, so that offenders exist.
-_NARROW = "glucose < 600 AND icd9 IS DISTINCT FROM 'Digestive'"
 _OFFENDERS = ", ".join(
     [f"CASE WHEN {c} < lo_{c} OR {c} > hi_{c} THEN '{c}' END" for c in m.RANGE_CHECK_NUMERIC]
     + [f"CASE WHEN {c} IS NOT NULL AND NOT list_contains(lv_{c}, {c}) THEN '{c}' END" for c in m.RANGE_CHECK_CATEGORICAL]
 )
 OUT_OF_POPULATION_SQL = f"""WITH {v.RECORDS_SQL},
-pop AS (SELECT {_RANGE_BOUNDS}, {_POP_LEVELS} FROM records WHERE role = 'population' AND {_NARROW}),
+pop AS (SELECT {_RANGE_BOUNDS}, {_POP_LEVELS} FROM records WHERE role = 'population'),
 checked AS (SELECT {KEY_SQL}, ID, array_to_string(list_filter([{_OFFENDERS}], lambda x: x IS NOT NULL), '; ') AS offenders FROM synthetic, pop)
 SELECT * FROM checked WHERE offenders <> ''"""
 
 
 def _out_of_population(spark: SparkSession, folder: str, literal_limit: int) -> DataFrame:
-    population = v.records(spark, folder, "population").filter(_NARROW.replace("IS DISTINCT FROM", "<=>").replace(
-        "icd9 <=> 'Digestive'", "NOT (icd9 <=> 'Digestive')"))
+    population = v.records(spark, folder, "population")
     pop = novelty.Population.learn(population, m.RANGE_CHECK_NUMERIC, [])
     levels = novelty.feature_levels(population, m.RANGE_CHECK_CATEGORICAL)
     out = rules.out_of_population(

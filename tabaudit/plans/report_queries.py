@@ -178,12 +178,12 @@ def density_histogram(spark: SparkSession, folder: str) -> DataFrame:
 
 @query(f"""WITH {DIST_SQL},
 moments AS (SELECT generator, feature, series, generation, count(*) AS n, stddev_samp(value) * count(*) ** (-0.2) * 1.5 AS h FROM series GROUP BY ALL HAVING count(*) >= 5 AND max(value) > min(value)),
-grid AS (SELECT m.*, lo + (hi - lo) * i / 19.0::DOUBLE AS x, i AS point FROM moments m JOIN ranges USING (generator, feature), range(20) r(i))
+grid AS (SELECT m.*, lo + (hi - lo) * i / 399.0::DOUBLE AS x, i AS point FROM moments m JOIN ranges USING (generator, feature), range(400) r(i))
 SELECT generator, feature, series, CAST(generation AS BIGINT) AS generation, point, {s6('max(x)', 'x')}, {s6('sum(exp(-0.5 * ((x - value) / h) ** 2)) / (max(n) * max(h) * sqrt(2 * pi()))', 'density')}
 FROM grid JOIN series USING (generator, feature, series, generation) GROUP BY generator, feature, series, generation, point""")
 def kde_grid(spark: SparkSession, folder: str) -> DataFrame:
     counts = _value_counts(spark, folder)
-    out = di.kernel_density(counts, _ranges(counts), _PANEL, _SERIES, points=20)
+    out = di.kernel_density(counts, _ranges(counts), _PANEL, _SERIES)
     return out.select(*_PANEL, *_SERIES, long_of("point"), r6("x"), r6("density"))
 
 
