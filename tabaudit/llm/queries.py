@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm import mixing, sharding, token_output
+from tabaudit.llm import mixing, secrets, sharding, token_output, warc
 from tabaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,22 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    found = secrets.scan(docs, secrets.identifiers(docs))
+    kinds = lambda *names: F.filter("spans", lambda s: s["kind"].isin(*names))
+    counts = [F.size(kinds(k)).cast("long").alias(f"n_{k}") for k in secrets.KINDS]
+    base = F.sha2(secrets.digest(kinds(*secrets.KINDS[:3])), 256).alias("base_sha256")
+    return found.select(F.col("id").alias("doc_id"), *counts[:3], base, secrets.digest(F.col("spans")).alias("spans"), counts[3])
+
+
+@query
+def op5_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    archives = warc.write_archives(table(spark, sf_dir, "pages"))
+    return warc.read_archives(archives.files, payloads=False).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to", "url")
+
+
 @query
 def op7_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = token_output.write_token_files(table(spark, sf_dir, "documents"), tokenizer_path())

@@ -132,14 +132,14 @@ class PieceEncoder:
         return np.concatenate(parts), counts
 
 
-_ENCODERS: dict[tuple[str, int], PieceEncoder] = {}
-
-
 def _encoder(path: str, width: int) -> PieceEncoder:
-    """One per Python worker: what it has learned serves the next task too."""
-    if (path, width) not in _ENCODERS:
-        _ENCODERS[path, width] = PieceEncoder(path, width)
-    return _ENCODERS[path, width]
+    """One per Python worker, kept with the library: what it has learned serves the next task too."""
+    import tokenizers
+
+    kept = tokenizers.__dict__.setdefault("_piece_encoders", {})
+    if (path, width) not in kept:
+        kept[path, width] = PieceEncoder(path, width)
+    return kept[path, width]
 
 
 @dataclass(frozen=True)
