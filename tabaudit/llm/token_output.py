@@ -241,4 +241,5 @@ def read_token_files(files: TokenFiles, tell: Callable[[np.ndarray], int] | None
                     names=["doc_id", "start", "n_tokens", "ids_crc32"],
                 )
 
-    return bases.repartition("part").mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
+    # a task for each part: their sizes say nothing of the work
+    return bases.repartition(max(1, files.manifest.count())).mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")

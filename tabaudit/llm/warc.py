@@ -141,7 +141,7 @@ def links_of_range(data: bytes, begin: int, end: int, size: int) -> list[tuple[i
 
 def _ranges(files: DataFrame, range_bytes: int) -> DataFrame:
     parts = files.where("size > 0").select("file", "size", F.explode(F.sequence(F.lit(0).cast("long"), F.col("size") - 1, F.lit(range_bytes).cast("long"))).alias("begin"))
-    return parts.repartition("file", "begin")
+    return parts.repartition(max(1, parts.count()))  # a task for each range: rows are small, the work is not
 
 
 def reachable(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
@@ -225,5 +225,5 @@ def read_archives(files: DataFrame, payloads: bool = True, range_bytes: int = RA
             if out:
                 yield pa.RecordBatch.from_pylist(out, schema)
 
-    starts = reachable(files, range_bytes).repartition("file", "offset")
-    return starts.mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
+    starts = reachable(files, range_bytes)
+    return starts.repartition(max(1, starts.count())).mapInArrow(read, "page_id long, url string, payload_bytes long, payload_digest string, record_type string, refers_to long, payload binary")
