@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm import mixing, secrets, sharding, simhash, token_output, warc
+from tabaudit.llm import decontamination, mixing, secrets, sharding, simhash, token_output, warc
 from tabaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,6 +25,24 @@ def tokenizer_path(name: str = "byte_bpe_50k.json") -> str:
     return public_tokenizers.path(name)
 
 
+@query
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = decontamination.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(F.col("id").alias("doc_id"), F.col("item").alias("item_id"), "matched", F.col("n").alias("item_shingles"), "containment")
+
+
+#: Containment by definition: all shingles of all documents against those of the items.
+SQL["op1_decontamination"] = r"""
+WITH dw AS (SELECT doc_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM documents),
+iw AS (SELECT item_id, list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda w: w <> '') AS w FROM benchmark),
+ii AS (SELECT item_id, w, least(len(w), 5) AS k FROM iw WHERE len(w) > 0),
+i AS (SELECT DISTINCT item_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s FROM ii),
+d AS (SELECT DISTINCT doc_id, k, unnest(list_transform(range(1, len(w) - k + 2), lambda j: array_to_string(w[j:j + k - 1], ' '))) AS s FROM dw, (SELECT DISTINCT k FROM ii) WHERE len(w) >= k),
+n AS (SELECT item_id, count(*) AS n FROM i GROUP BY item_id)
+SELECT doc_id, item_id, count(*) AS matched, any_value(n.n) AS item_shingles, count(*) / any_value(n.n) AS containment
+FROM d JOIN i USING (k, s) JOIN n USING (item_id) GROUP BY doc_id, item_id HAVING count(*) >= ceil(0.8 * any_value(n.n) - 1e-9)"""
+
+
 @query
 def op2_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
