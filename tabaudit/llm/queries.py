@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm import decontamination, mixing, permutation_index, secrets, sharding, simhash, suffix_dedup, token_output, warc
+from tabaudit.llm import decontamination, mixing, permutation_index, quality, secrets, sharding, simhash, suffix_dedup, token_output, warc
 from tabaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -111,3 +111,11 @@ m AS (SELECT d.doc_id, d.size::BIGINT AS size, t.source_size, t.target, CASE WHE
              ('0x' || md5('mix-1:' || coalesce(doc_id::VARCHAR, 'null'))[1:12])::BIGINT::DOUBLE / 281474976710656.0 AS draw
       FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source)
 SELECT doc_id, size, source_size, target, (size * (floor(rate) + CASE WHEN draw < rate - floor(rate) THEN 1 ELSE 0 END))::BIGINT AS taken FROM m"""
+
+
+@query
+def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    rows, names = quality.scored(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
+    score = F.col(names["score"])
+    return rows.select("doc_id", F.col(names["text_score"]).alias("text_score"), F.col(names["metadata_score"]).alias("metadata_score"), score.alias("score"), quality.keep(score).alias("keep"))
