@@ -74,22 +74,34 @@ def record(page_id: int | None, url: str | None, payload: bytes, refers_to: int
     return "\r\n".join(lines).encode() + _TAIL + block + _TAIL
 
 
+def _pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    import zstandard
+
+    pack = zstandard.ZstdCompressor(level=3).compress
+    for batch in batches:
+        packed = pa.array([pack(p) for p in batch.column("payload").to_pylist()], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column("id"), batch.column("url"), packed, batch.column("digest"), batch.column("n_bytes")], names=["id", "url", "packed", "digest", "n_bytes"])
+
+
 def write_archives(pages: DataFrame, folder: str | None = None, id_column: str = "page_id", url_column: str = "url", payload_column: str = "html", least_revisit: int = 0, file_bytes: int = FILE_BYTES) -> Archives:
     """Write a record for every row below ``folder``."""
     spark = pages.sparkSession
     folder = folder or shared_folder(spark, "warc")
-    rows = pages.select(
-        col(id_column).cast("long").alias("id"), col(url_column).alias("url"), F.coalesce(F.encode(col(payload_column), "UTF-8"), F.lit(b"")).alias("payload")
-    ).withColumn("digest", F.sha1("payload"))
-    eligible = F.octet_length("payload") >= least_revisit
-    last = rows.where(eligible).groupBy(F.col("digest").alias("last_digest")).agg(F.max("id").alias("last_id"), F.count("*").alias("n")).where("n > 1").drop("n")
-    linked = rows.join(last, (F.col("digest") == F.col("last_digest")) & eligible, "left")
+    rows = pages.select(col(id_column).cast("long").alias("id"), col(url_column).alias("url"), F.coalesce(F.encode(col(payload_column), "UTF-8"), F.lit(b"")).alias("payload"))
+    hashed = rows.withColumns({"digest": F.unhex(F.sha1("payload")), "n_bytes": F.octet_length("payload")})
+    last = hashed.where(F.col("n_bytes") >= least_revisit).groupBy(F.col("digest").alias("last_digest")).agg(F.max("id").alias("last_id"), F.count("*").alias("n")).where("n > 1").drop("n")
+    # payloads meet the largest ids of their digests in a shuffle, and are packed for it
+    packed = hashed.mapInArrow(_pack, "id long, url string, packed binary, digest binary, n_bytes int")
+    linked = packed.join(last, (F.col("digest") == F.col("last_digest")) & (F.col("n_bytes") >= least_revisit), "left")
     refers = F.when(F.col("id").isNull() | (F.col("id") < F.col("last_id")), F.col("last_id"))
-    plan = linked.select("id", "url", "payload", refers.alias("refers_to"))
+    plan = linked.select("id", "url", "packed", refers.alias("refers_to"))
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, attempt = TaskContext.get().partitionId(), uuid.uuid4().hex
         store, root = open_store(folder)
+        import zstandard
+
+        unpack = zstandard.ZstdDecompressor().decompress
         stream, names, sizes = None, [], []
         for batch in batches:
             for row in batch.to_pylist():
@@ -101,7 +113,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_column: str =
                     names.append(f"part-{part:06d}-{len(names):06d}-{attempt}.warc")
                     sizes.append(0)
                     stream = store.open_output_stream(f"{root}/{names[-1]}")
-                data = record(row["id"], row["url"], row["payload"], row["refers_to"])
+                data = record(row["id"], row["url"], unpack(row["packed"]), row["refers_to"])
                 stream.write(data)
                 sizes[-1] += len(data)
         if stream is not None:
