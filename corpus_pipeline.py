@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from tabaudit.llm import decontamination, mixing, quality, queries, simhash, token_output
-from tabaudit.llm.common import shared_folder, table
+from tabaudit.llm.common import col, shared_folder, table
 
 
 def accept_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,7 +30,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each document as often as the target weight of its source asks for."""
     mixed, names = mixing.mix(docs)
-    return mixing.emit(mixed, names["copies"]).select(*docs.columns)
+    return mixing.emit(mixed, names["copies"]).select(*[col(c) for c in docs.columns])
 
 
 def write_tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -30,6 +30,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tabaudit.llm.common import col, fresh, slices
 
@@ -243,15 +244,18 @@ def scored(docs: DataFrame, model: CoTrained, columns: Columns = Columns()) -> t
     names = dict(zip(("text_score", "metadata_score", "score"), fresh(docs, "text_score", "metadata_score", "score")))
     c = columns
 
+    # by place, since a column may have any name
+    plain = [f"c{i}" for i in range(len(docs.columns))]
+    place = Columns(*[plain[docs.columns.index(n)] for n in (c.id, c.text, c.language, c.source, c.n_chars)])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, c.text, SLICE_BYTES):
-            found = model.scores(*_features_of(batch, c))
-            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in found)], names=[*batch.schema.names, *names.values()])
+        for batch in slices(batches, place.text, SLICE_BYTES):
+            found = model.scores(*_features_of(batch, place))
+            yield pa.RecordBatch.from_arrays([*batch.columns, *(pa.array(x) for x in found)], names=[*batch.schema.names, *names])
 
-    schema = docs.select("*", *[F.lit(0.0).alias(n) for n in names.values()]).schema
-    for f in schema.fields:
-        f.nullable = True
-    return docs.mapInArrow(run, schema), names
+    rows = docs.toDF(*plain)
+    schema = T.StructType([*(T.StructField(f.name, f.dataType) for f in rows.schema.fields), *(T.StructField(role, T.DoubleType()) for role in names)])
+    return rows.mapInArrow(run, schema).toDF(*docs.columns, *names.values()), names
 
 
 def accepted(docs: DataFrame, model: CoTrained, columns: Columns = Columns(), least: float = KEEP) -> DataFrame:
