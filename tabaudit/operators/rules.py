@@ -329,7 +329,7 @@ def rule_rows(masked: DataFrame, keep: list[str], rules: list[Rule] = RULES) ->
 
 def split_tags(tag_text: Column) -> Column:
     """'a; b' to its trimmed, non-empty parts."""
-    parts = F.transform(F.split(F.coalesce(tag_text, F.lit("")), ";"), F.trim)
+    parts = F.transform(F.split(F.coalesce(tag_text, F.lit("")), ";"), lambda t: F.trim(t))
     return F.filter(parts, lambda t: t != "")
 
 
@@ -394,7 +394,9 @@ def out_of_population(
 
     ``levels`` is the distinct (feature, level) table.  Up to ``literal_limit``
     pairs it becomes an in-memory set inside the projection; beyond that each
-    feature is probed by a join, which has no size limit.
+    feature is probed by a join, which has no size limit.  In both forms a
+    feature that the population never fills has no level, so any value offends;
+    a column that the population lacks is left out of ``categorical``.
     """
     source, record, types = with_readable(df)
     numeric = [c for c in m.RANGE_CHECK_NUMERIC if bounds.get(c, (None,))[0] is not None and c in types]
@@ -409,8 +411,9 @@ def out_of_population(
         for row in known:
             by_feature.setdefault(row["feature"], []).append(text_literal(row["level"]))
         found += [
-            f"CASE WHEN CAST(`{c}` AS STRING) NOT IN ({', '.join(by_feature[c])}) THEN '{c}' END"
-            for c in cats if c in by_feature
+            f"CASE WHEN CAST(`{c}` AS STRING) NOT IN ({', '.join(by_feature[c])}) THEN '{c}' END" if c in by_feature
+            else f"CASE WHEN `{c}` IS NOT NULL THEN '{c}' END"
+            for c in cats
         ]
     else:
         for c in cats:

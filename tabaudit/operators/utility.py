@@ -46,18 +46,19 @@ def parse_utility(raw: DataFrame, json_column: str, keys: list[str]) -> DataFram
     return utility_metrics(parsed.select(*keys, "__d.*"), keys)
 
 
-def flat_numbers(raw: DataFrame, json_column: str, keys: list[str], depth: int = 4) -> DataFrame:
+def flat_numbers(raw: DataFrame, json_column: str, keys: list[str], depth: int = 12) -> DataFrame:
     """(keys, path, value) of every number in a JSON column, with dotted paths.
 
-    Expands one nesting level per step up to ``depth``; array positions are
-    written as [i].
+    Expands one nesting level per step, leaves stay; array positions are
+    written as [i].  A document nested deeper than ``depth`` fails the job.
     """
+    def containers(text: Column) -> tuple[Column, Column]:
+        members = F.map_entries(F.when(text.startswith("{"), F.from_json(text, "map<string,string>")))
+        return members, F.when(text.startswith("["), F.from_json(text, "array<string>"))
+
     level = raw.select(*keys, F.lit("").alias("path"), F.col(json_column).alias("__json"))
-    found: list[DataFrame] = []
     for _ in range(depth):
-        text = F.trim(F.col("__json"))
-        members = F.map_entries(F.when(text.startswith("{"), F.from_json(text, "map<string,string>")))
-        elements = F.when(text.startswith("["), F.from_json(text, "array<string>"))
+        members, elements = containers(F.trim(F.col("__json")))
         dotted = F.transform(
             members,
             lambda e: F.struct(
@@ -71,13 +72,13 @@ def flat_numbers(raw: DataFrame, json_column: str, keys: list[str], depth: int =
                 F.concat(F.col("path"), F.lit("["), i.cast("string"), F.lit("]")).alias("path"), v.alias("__json")
             ),
         )
-        level = level.select(*keys, F.inline(F.coalesce(dotted, indexed)))
-        value = F.col("__json").try_cast("double")
-        found.append(level.filter(value.isNotNull()).select(*keys, "path", value.alias("value")))
-    out = found[0]
-    for step in found[1:]:
-        out = out.unionByName(step)
-    return out
+        leaf = F.array(F.struct(F.col("path"), F.col("__json")))
+        level = level.select(*keys, F.inline(F.coalesce(dotted, indexed, leaf)))
+    left = F.coalesce(*[F.size(c) for c in containers(F.trim(F.col("__json")))])
+    value = F.when(left > 0, F.raise_error(F.format_string("JSON below %s is nested deeper than " + str(depth), F.col("path"))).cast("double")).otherwise(
+        F.col("__json").try_cast("double")
+    )
+    return level.select(*keys, "path", value.alias("value")).filter(F.col("value").isNotNull())
 
 
 def tidy(wide: DataFrame, metrics: list[str]) -> DataFrame:

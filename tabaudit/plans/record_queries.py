@@ -222,15 +222,19 @@ def novelty_ids_shuffled(spark: SparkSession, folder: str) -> DataFrame:
 # ------------------------------------------------------------------- copies
 _ROUND = ", ".join(f"{_half_even(c)} AS r_{c}" for c in v.PROFILE_NUMERIC)
 _LOWER = ", ".join(f"lower(trim({c})) AS r_{c}" for c in v.PROFILE_CATEGORICAL)
+_ROUNDED_NAMES = ", ".join(f"r_{c}" for c in v.PROFILE_NUMERIC + v.PROFILE_CATEGORICAL)
 _MATCH = " AND ".join(f"s.r_{c} IS NOT DISTINCT FROM t.r_{c}" for c in v.PROFILE_NUMERIC + v.PROFILE_CATEGORICAL)
 COPY_SQL = f"""{v.PROFILE_SQL},
 rounded AS (SELECT *, {_ROUND}, {_LOWER} FROM profile),
-copied AS (SELECT s.*, EXISTS (SELECT 1 FROM rounded t WHERE t.role = 'training' AND t.generator = s.generator
-                               AND t.dseed = s.dseed AND t.mseed = s.mseed AND {_MATCH}) AS is_copy
-           FROM rounded s WHERE s.role = 'synthetic')"""
+taught AS (SELECT DISTINCT generator, dseed, mseed, {_ROUNDED_NAMES} FROM rounded WHERE role = 'training'),
+hits AS (SELECT s.* FROM rounded s SEMI JOIN taught t ON t.generator = s.generator AND t.dseed = s.dseed AND t.mseed = s.mseed AND {_MATCH}
+         WHERE s.role = 'synthetic')"""
 
 
-@query(f"WITH {COPY_SQL} SELECT {KEY_SQL}, count(*) AS n_rows, count_if(is_copy) AS n_copies, {s6('count_if(is_copy) / count(*)', 'copy_rate')} FROM copied GROUP BY ALL")
+@query(f"""WITH {COPY_SQL},
+n AS (SELECT {KEY_SQL}, count(*) AS n_rows FROM profile WHERE role = 'synthetic' GROUP BY ALL),
+c AS (SELECT {KEY_SQL}, count(*) AS n FROM hits GROUP BY ALL)
+SELECT {KEY_SQL}, n_rows, coalesce(c.n, 0) AS n_copies, {s6('coalesce(c.n, 0) / n_rows', 'copy_rate')} FROM n LEFT JOIN c USING ({KEY_SQL})""")
 def copy_rate_by_file(spark: SparkSession, folder: str) -> DataFrame:
     out = novelty.copy_counts(
         v.profile(spark, folder, "synthetic"), v.profile(spark, folder, "training"), v.CHAIN, KEYS,
@@ -239,7 +243,7 @@ def copy_rate_by_file(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*KEYS, "n_rows", "n_copies", r6("copy_rate"))
 
 
-@query(f"WITH {COPY_SQL} SELECT {KEY_SQL}, 'Copy' AS metric, ID FROM copied WHERE is_copy")
+@query(f"WITH {COPY_SQL} SELECT {KEY_SQL}, 'Copy' AS metric, ID FROM hits")
 def copy_ids(spark: SparkSession, folder: str) -> DataFrame:
     out = novelty.copied_rows(
         v.profile(spark, folder, "synthetic", ids=True), v.profile(spark, folder, "training"), v.CHAIN,

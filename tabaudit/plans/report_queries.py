@@ -10,7 +10,7 @@ from tabaudit.operators import distributions as di
 from tabaudit.operators import events, novelty, onset, overlap, paired, pooling, ranking, rules
 from tabaudit.plans import record_queries as rq
 from tabaudit.plans import tables
-from tabaudit.plans import test_queries as tq
+from tabaudit.plans import statistic_queries as tq
 from tabaudit.plans import views as v
 from tabaudit.plans.base import Registry, T_CTE, long_of, r6, s6
 
