@@ -51,7 +51,9 @@ def read_csv(spark: SparkSession, path: str | list[str], schema: T.StructType |
     return reader.schema(schema).option("enforceSchema", False).csv(path)
 
 
-def read_variants(spark: SparkSession, root: str, below: str, pattern: str, generators: list[str] | None = None) -> DataFrame:
+def read_variants(
+    spark: SparkSession, root: str, below: str, pattern: str, generators: list[str] | None = None, file_depth: int = 3
+) -> DataFrame:
     """All files ``root/<generator>/*/<below>/<pattern>`` as text columns.
 
     Files of one generator variant share their columns, taken from one header
@@ -70,7 +72,7 @@ def read_variants(spark: SparkSession, root: str, below: str, pattern: str, gene
         if not columns:
             continue
         text = T.StructType([T.StructField(c, T.StringType()) for c in columns])
-        rows = _path_parts(read_csv(spark, glob, text, pathGlobFilter=pattern), 3)
+        rows = _path_parts(read_csv(spark, glob, text, pathGlobFilter=pattern), file_depth)
         out = rows if out is None else out.unionByName(rows, allowMissingColumns=True)
     if out is None:
         raise FileNotFoundError(f"no {below}/{pattern} below {root}")
@@ -93,13 +95,21 @@ def typed_records(text: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-_CELLS = 256
+def _width(spark: SparkSession, path: str, **options) -> int:
+    """Most cells that a line of these CSV files can have: its commas and one."""
+    lines = spark.read.options(**options).text(path)
+    found = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))))).first()[0]
+    return (found or 0) + 1
 
 
 def _cells(spark: SparkSession, path: str, **options) -> DataFrame:
-    """(path, cells): every line of CSV files, header lines included, as an array of cells."""
-    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(_CELLS)])
-    names = ", ".join(f"c{i}" for i in range(_CELLS))
+    """(path, cells): every line of CSV files, header lines included, as an array of cells.
+
+    As wide as the widest line, so no cell is lost; the others end in nulls.
+    """
+    width = _width(spark, path, **options)
+    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
+    names = ", ".join(f"c{i}" for i in range(width))
     rows = spark.read.option("header", False).options(**options).schema(wide).csv(path)
     return rows.selectExpr(f"array({names}) AS cells", f"{_PATH} AS path")
 
@@ -146,24 +156,36 @@ def scan_training(spark: SparkSession, root: str, generators: list[str] | None =
     return typed_records(with_chain_keys(rows.join(chosen, ["folder", "file"], "left_semi").drop("role_folder")))
 
 
+def raw_export_roots(spark: SparkSession, root: str) -> list[str]:
+    """Names of the export folders below ``root``: one per generator variant, so a short list."""
+    files = list_files(spark, f"{root}/*_export/*/data/decoded/*.csv", 5)
+    return sorted(r[0] for r in files.select("folder").distinct().collect())
+
+
+def _is_training(name: Column) -> Column:
+    return name.startswith("reference_") & name.contains("gen_0")
+
+
+def raw_training_counts(spark: SparkSession, root: str) -> DataFrame:
+    """(folder, n_training_files): chains with other than one generation-0 reference file get no training rows."""
+    files = list_files(spark, f"{root}/*_export/*/data/decoded/*.csv", 4)
+    return files.groupBy("folder").agg(F.count_if(_is_training(F.col("file"))).alias("n_training_files"))
+
+
 def scan_raw_exports(spark: SparkSession, root: str) -> DataFrame:
     """Raw exports ``root/<prefix>_<generator>_export/<chain>/data/decoded/*.csv`` with a role column.
 
-    Fails when a chain has no single generation-0 reference file.
+    Every export folder has its own columns; those that one lacks are null.  A
+    chain without a single generation-0 reference file keeps its synthetic
+    rows and has no training rows; ``raw_training_counts`` reports it.
     """
-    glob = f"{root}/*_export/*/data/decoded/*.csv"
-    rows = _path_parts(read_csv(spark, glob), 4).drop("role_folder")
+    rows = read_variants(spark, root, "data/decoded", "*.csv", raw_export_roots(spark, root), 4).drop("role_folder")
     name = F.col("file")
-    training = name.startswith("reference_") & name.contains("gen_0")
-    role = F.when(training, F.lit("training")).when(name.startswith("synthetic_"), F.lit("synthetic"))
-    files = list_files(spark, glob, 4)
-    per_chain = files.groupBy("folder").agg(F.count_if(training).alias("n"))
-    ok = F.when(
-        F.col("n") == 1, F.lit(True)
-    ).otherwise(F.raise_error(F.format_string("%s: expected 1 training file, found %d", F.col("folder"), F.col("n"))).cast("boolean"))
-    checked = per_chain.filter(ok).select("folder")
-    keyed = with_chain_keys(rows.withColumns({"role": role, "generation": generation_of(name)}))
-    return keyed.filter(F.col("role").isNotNull()).join(checked, "folder", "left_semi")
+    role = F.when(_is_training(name), F.lit("training")).when(name.startswith("synthetic_"), F.lit("synthetic"))
+    keyed = with_chain_keys(rows.withColumns({"role": role, "generation": generation_of(name)})).filter(F.col("role").isNotNull())
+    usable = raw_training_counts(spark, root).filter("n_training_files = 1").select("folder").withColumn("role", F.lit("training"))
+    training = keyed.filter(F.col("role") == "training").join(usable, ["folder", "role"], "left_semi")
+    return keyed.filter(F.col("role") == "synthetic").unionByName(training.select(keyed.columns))
 
 
 def scan_population(spark: SparkSession, path: str) -> DataFrame:
@@ -301,7 +323,7 @@ def scan_quality(spark: SparkSession, root: str) -> DataFrame:
         "cells", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file")
     ).join(chosen, ["folder", "file"], "left_semi")
     # the header line is the one naming the generation column
-    named = lines.withColumn("__names", F.filter(F.transform("cells", F.trim), lambda c: c.isNotNull()))
+    named = lines.withColumn("__names", F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c.isNotNull()))
     is_header = F.array_contains("__names", "generation")
     headers = named.filter(is_header).select("folder", "__names")
     rows = named.filter(~is_header).drop("__names").join(headers, "folder")

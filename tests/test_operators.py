@@ -426,3 +426,18 @@ def test_flat_values_have_no_density_curve(spark):
     ranges = di.clip_range(counts, ["g", "feature"], [])
     assert ranges.filter("g = 'a'").first()["hi"] == 2.0
     assert di.kernel_density(counts, ranges, ["g", "feature"], []).count() == 0
+
+
+def test_tags_are_split_and_trimmed(spark):
+    frame = spark.createDataFrame([("a; b; c1; d",), (" x0 ;; y1 ",), ("",), (None,)], "t string")
+    assert [r[0] for r in frame.select(rules.split_tags(F.col("t"))).collect()] == [["a", "b", "c1", "d"], ["x0", "y1"], [], []]
+
+
+@pytest.mark.parametrize("limit", [0, 5000])
+def test_values_of_a_feature_that_the_population_never_fills(spark, limit):
+    from tabaudit.operators.novelty import feature_levels
+
+    population = spark.createDataFrame([("M", None), ("F", None)], "gender string, bmi string")
+    frame = spark.createDataFrame([(1, "M", None), (2, "X", "High"), (3, None, "High")], "ID int, gender string, bmi string")
+    out = rules.out_of_population(frame, {}, feature_levels(population, ["gender", "bmi"]), ["ID"], ["gender", "bmi"], literal_limit=limit)
+    assert {r["ID"]: r["offenders"] for r in out.collect()} == {1: "", 2: "gender; bmi", 3: "bmi"}

@@ -116,6 +116,22 @@ def test_incremental_run_reads_each_file_once(spark, tree, schema, tmp_path):
     assert got == {(0, 2, "dbp_ge_sbp"), (1, 4, "dbp_ge_sbp"), (1, 6, "dbp_ge_sbp")}
 
 
+def test_incremental_run_reads_both_variants(spark, tmp_path):
+    full = "ID,readmission,age,gender,heartrate,systolic_bp,diastolic_bp\n1,True,30,F,70,60,70\n"
+    core = "ID,age,gender,systolic_bp,diastolic_bp\n1,30,F,120,70\n2,31,M,60,70\n"
+    _write(f"{tmp_path}/late/ARF/{CHAINS[0]}/SD/synthetic_gen_0_clin.csv", full)
+    _write(f"{tmp_path}/late/ARF_CORE/{CHAINS[0].replace('pfa', 'pfp')}/SD/synthetic_gen_0_clin.csv", core)
+    with pytest.raises(Exception):  # one schema for files of two headers
+        incremental.flag_new_files(incremental.record_stream(spark, f"{tmp_path}/late"), f"{tmp_path}/a", f"{tmp_path}/b")
+    parts = [
+        incremental.record_stream(spark, f"{tmp_path}/late", scans.record_schema(head.split("\n")[0].split(",")), [generator])
+        for head, generator in ((full, "ARF"), (core, "ARF_CORE"))
+    ]
+    incremental.flag_new_files(parts[0].unionByName(parts[1], allowMissingColumns=True), f"{tmp_path}/c", f"{tmp_path}/d")
+    got = {(r["generator"], r["ID"], r["rule"]) for r in spark.read.parquet(f"{tmp_path}/c").collect()}
+    assert got == {("ARF", 1, "dbp_ge_sbp"), ("ARF_CORE", 2, "dbp_ge_sbp")}
+
+
 # ------------------------------------------------------------- raw exports
 def test_raw_exports_are_checked_and_normalised(spark, tmp_path):
     base = f"{tmp_path}/Step7pfp_ddpm_export/Step7pfp_dseed2_synthcity_ddpm_mseed3/data/decoded"
@@ -128,9 +144,15 @@ def test_raw_exports_are_checked_and_normalised(spark, tmp_path):
     r = rows[("synthetic", "F")]
     assert (r["generator"], r["generation"], r["bmi"], r["age"], r["glucose"], r["creatinine"]) == ("DDPM_CORE", 2, "Morbidly obese", 70, 100, 1.2)
     assert rows[("training", "M")]["bmi"] is None and rows[("training", "M")]["age"] is None
+    # another export with other columns in another order, and a chain without its reference file
+    other = f"{tmp_path}/Step7pfa_arf_export/{CHAINS[0]}/data/decoded"
+    _write(f"{other}/synthetic_gen_1_x.csv", "age,glucose\n33,88\n")
     _write(f"{base}/reference_gen_0_y.csv", raw)
-    with pytest.raises(Exception, match="expected 1 training file, found 2"):
-        scans.scan_raw_exports(spark, str(tmp_path)).collect()
+    both = scans.scan_raw_exports(spark, str(tmp_path))
+    assert sorted((r["generator"], r["role"], r["gender"], r["age"], r["glucose"]) for r in both.collect()) == [
+        ("ARF", "synthetic", None, "33", "88"), ("DDPM_CORE", "synthetic", "1", "70.5", "99.5"), ("DDPM_CORE", "synthetic", "M", "n/a", "100.4"),
+    ]
+    assert {r["n_training_files"] for r in scans.raw_training_counts(spark, str(tmp_path)).collect()} == {0, 2}
 
 
 # ------------------------------------------------------------------ labels
@@ -172,6 +194,22 @@ def test_quality_tables_keep_their_own_columns(spark, tmp_path):
     assert got == [(7, 0, "ks", 0.9), (7, 0, "mmd", 0.5), (7, 1, "ks", 0.8), (8, 0, "ks", 0.7)]
 
 
+def test_wide_quality_tables_with_digits_in_names(spark, tmp_path):
+    names = ["hr_b1", "top3", "x3", " blank "] + [f"m{i}" for i in range(300)]
+    _write(f"{tmp_path}/e/{CHAINS[0]}/{CHAINS[0]}.csv", ",".join(["generation", *names]) + "\n4," + ",".join(str(i) for i in range(len(names))) + "\n")
+    got = {r["metric"]: r["value"] for r in scans.scan_quality(spark, str(tmp_path)).collect()}
+    assert got == {n.strip(): float(i) for i, n in enumerate(names)}
+
+
+def test_numbers_at_any_depth(spark):
+    doc = json.dumps({"a": {"b": {"c": {"d": {"e": {"f": 1.5}}}}}, "g": [[[2, {"h": 3}]]], "t": "text", "n": None, "z": {}})
+    frame = spark.createDataFrame([(1, doc), (2, None), (3, "{broken"), (4, "7")], "k int, j string")
+    got = {(r["k"], r["path"]): r["value"] for r in utility.flat_numbers(frame, "j", ["k"]).collect()}
+    assert got == {(1, "a.b.c.d.e.f"): 1.5, (1, "g[0][0][0]"): 2.0, (1, "g[0][0][1].h"): 3.0, (4, ""): 7.0}
+    with pytest.raises(Exception, match="nested deeper than 3"):
+        utility.flat_numbers(frame, "j", ["k"], depth=3).collect()
+
+
 def test_patch_scan_and_overlay(spark, tmp_path):
     head = "variant,dseed,mseed,model,generation,metric_name,metric_value\n"
     _write(f"{tmp_path}/p.csv", head + "pfa,1,1,arf,1,mmd,2\npfa,1,1,arf,2,mmd,9\n")
