@@ -92,21 +92,17 @@ minority AS (SELECT {CHAIN_SQL}, generation, least(positive_share, 1 - positive_
 paired_points AS (SELECT *, lead(auroc_like) OVER (PARTITION BY {CHAIN_SQL} ORDER BY generation) AS nxt,
                          lead(generation) OVER (PARTITION BY {CHAIN_SQL} ORDER BY generation) AS nxt_g FROM trajectory),
 lost AS (SELECT {CHAIN_SQL}, min(generation) AS g FROM paired_points WHERE auroc_like <= 0.3 AND nxt <= 0.3 AND nxt_g IS NOT NULL GROUP BY ALL),
-emptied AS (SELECT {CHAIN_SQL}, min(generation) AS g FROM minority WHERE value = 0 AND generation >= 18 GROUP BY ALL),
+emptied AS (SELECT {CHAIN_SQL}, min(generation) AS g FROM minority WHERE value = 0 GROUP BY ALL),
 points AS (SELECT {CHAIN_SQL}, count(*) AS n FROM trajectory GROUP BY ALL),
 events_of AS (SELECT {CHAIN_SQL}, CAST(coalesce(least(l.g, e.g), 19) AS BIGINT) AS time, CAST(coalesce(l.g, e.g) IS NOT NULL AS BIGINT) AS event,
     concat_ws('+', CASE WHEN l.g = least(l.g, e.g) THEN 'signal_loss' END, CASE WHEN e.g = least(l.g, e.g) THEN 'class_collapse' END) AS mechanism,
     n AS n_tstr_datapoints, n < 2 AS insufficient_tstr_data
   FROM points LEFT JOIN lost l USING ({CHAIN_SQL}) LEFT JOIN emptied e USING ({CHAIN_SQL}))"""
-# Class collapse counts from generation 18 on in these queries: nearly every
-# chain of the test table has an early generation without a purchase.
-_COLLAPSE_FROM = 18
 
 
 def _events(spark: SparkSession, folder: str) -> DataFrame:
     wide = v.trajectory(spark, folder)
-    share = v.minority(wide).withColumn("value", F.when(F.col("generation") >= _COLLAPSE_FROM, F.col("value")).otherwise(F.lit(0.5)))
-    return events.failure_events(v.metric_rows(wide, "auroc_like"), share, threshold=0.3)
+    return events.failure_events(v.metric_rows(wide, "auroc_like"), v.minority(wide), threshold=0.3)
 
 
 def _joined(spark: SparkSession, folder: str) -> DataFrame:
