@@ -171,6 +171,22 @@ def with_novelty(df: DataFrame, pop: Population, resolutions: list[int], keep: l
     return out.selectExpr(*keep, *[f"__known_{b} IS NULL AS novel_b{b}" for b in resolutions])
 
 
+def flagged_novelty(df: DataFrame, pop: Population, bins: int, keep: list[str], broadcast: bool | None = None) -> DataFrame:
+    """``keep`` plus ``novel_b<bins>`` of one resolution, for a population of any size.
+
+    Probes by broadcast behind the size check; else identical rows (``keep``
+    and cell) are counted first, met with the known cells in a shuffle, and
+    listed again.
+    """
+    if pop.cells_fit_broadcast([bins]) if broadcast is None else broadcast:
+        return with_novelty(df, pop, [bins], keep)
+    same = ["bin", *pop.cell_columns]
+    distinct = cells(df, pop, [bins], keep).groupBy(*keep, *same).agg(F.count(F.lit(1)).alias("__n"))
+    known = population_cells(pop, [bins]).withColumn("__known", F.lit(True))
+    met = distinct.join(known, same, "left").withColumn(f"novel_b{bins}", F.col("__known").isNull())
+    return met.withColumn("__i", F.explode(F.sequence(F.lit(1), F.col("__n").cast("int")))).select(*keep, f"novel_b{bins}")
+
+
 # --------------------------------------------------------------------- rates
 def novelty_by_file(
     records: DataFrame,

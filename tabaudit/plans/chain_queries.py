@@ -28,8 +28,9 @@ batched AS (SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY ID) AS
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
     masked = rq.masked_records(spark, folder, ids=True).filter(F.col("generation").isin(REVIEWED_GENERATIONS))
-    flagged = rules.flag_rows(masked, [*KEYS, "ID"]).filter(F.col("metric") == "Expert_any")
-    return review.worth_review(review.without_flagged(masked.drop("impossible_mask", "suspicious_mask"), flagged, [*KEYS, "ID"]))
+    # the masks are on the row; without_flagged is for flags that are stored apart
+    clean = masked.filter("impossible_mask = 0 AND suspicious_mask = 0").drop("impossible_mask", "suspicious_mask")
+    return review.worth_review(clean)
 
 
 @query(f"WITH {CANDIDATES_SQL} SELECT {KEY_SQL}, ID, icd9, heartrate FROM candidates")

@@ -20,8 +20,11 @@ KEYS = v.FILE
 KEY_SQL = rq.KEY_SQL
 
 # ------------------------------------------------------------------ overlap
-# Novelty of the clinical records on a few coarse features, so that flags overlap in part.
-_COARSE_NUMERIC, _COARSE_CATEGORICAL = ["heartrate", "systolic_bp", "hemoglobin"], ["icd9"]
+# The headline resolution.  A few coarse features, because on all of them nearly every
+# record of the test tables is new, and flags would not overlap in part.
+_BINS = 5
+_NOVEL = f"novel_b{_BINS}"
+_COARSE_NUMERIC, _COARSE_CATEGORICAL = ["heartrate", "systolic_bp", "hemoglobin", "sodium"], ["icd9", "gender"]
 _COARSE_BOUNDS = ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in _COARSE_NUMERIC)
 _COARSE_CELL = ", ".join(
     [f"{rq._bin_sql(c)} AS b_{c}" for c in _COARSE_NUMERIC] + [f"coalesce({c}, 'Missing') AS b_{c}" for c in _COARSE_CATEGORICAL]
@@ -29,19 +32,19 @@ _COARSE_CELL = ", ".join(
 _COARSE_NAMES = ", ".join(f"b_{c}" for c in _COARSE_NUMERIC + _COARSE_CATEGORICAL)
 OVERLAP_SQL = f"""{rq.RULED_SQL},
 bounds AS (SELECT {_COARSE_BOUNDS} FROM records WHERE role = 'population'),
-known AS (SELECT DISTINCT {_COARSE_NAMES}, TRUE AS hit FROM (SELECT {_COARSE_CELL} FROM (SELECT *, 10 AS bin FROM records WHERE role = 'population') r, bounds) x),
-marked AS (SELECT f.*, hit IS NULL AS novel FROM (SELECT f.*, {_COARSE_CELL} FROM (SELECT *, 10 AS bin FROM flagged) f, bounds) f LEFT JOIN known USING ({_COARSE_NAMES}))"""
+known AS (SELECT DISTINCT {_COARSE_NAMES}, TRUE AS hit FROM (SELECT {_COARSE_CELL} FROM (SELECT *, {_BINS} AS bin FROM records WHERE role = 'population') r, bounds) x),
+marked AS (SELECT f.*, hit IS NULL AS novel FROM (SELECT f.*, {_COARSE_CELL} FROM (SELECT *, {_BINS} AS bin FROM flagged) f, bounds) f LEFT JOIN known USING ({_COARSE_NAMES}))"""
 
 
-def _novel_clinical(spark: SparkSession, folder: str, records: DataFrame, keep: list[str]) -> DataFrame:
+def _novel_clinical(spark: SparkSession, folder: str, records: DataFrame, keep: list[str], broadcast: bool | None = None) -> DataFrame:
     pop = novelty.Population.learn(v.records(spark, folder, "population"), _COARSE_NUMERIC, _COARSE_CATEGORICAL)
-    return novelty.with_novelty(records, pop, [10], keep)
+    return novelty.flagged_novelty(records, pop, _BINS, keep, broadcast)
 
 
-def _marked(spark: SparkSession, folder: str) -> DataFrame:
+def _marked(spark: SparkSession, folder: str, broadcast: bool | None = None) -> DataFrame:
     masked = rules.flags(rq.masked_records(spark, folder))
     keep = [*KEYS, "variant", "impossible", "suspicious", "any_rule", "impossible_mask", "suspicious_mask"]
-    return _novel_clinical(spark, folder, masked, keep)
+    return _novel_clinical(spark, folder, masked, keep, broadcast)
 
 
 def _pooled_out(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -54,30 +57,43 @@ def _pooled_sql(source: str, keys: str, cell: str) -> str:
   FROM (SELECT {keys}, {cell}, count(*) AS d, count_if(novel) AS o FROM {source} GROUP BY ALL) c GROUP BY {keys}"""
 
 
-@query(f"""WITH {OVERLAP_SQL},
+_HEADLINE_SQL = f"""WITH {OVERLAP_SQL},
 headline AS (SELECT variant AS scope, 'clinical (any)' AS metric_label, 'Expert_any' AS expert_metric, {KEY_SQL}, novel FROM marked WHERE any_rule
              UNION ALL SELECT variant, 'impossible', 'Expert_impossible', {KEY_SQL}, novel FROM marked WHERE impossible)
-{_pooled_sql('headline', 'scope, metric_label, expert_metric', KEY_SQL)}""")
-def overlap_headline(spark: SparkSession, folder: str) -> DataFrame:
-    labelled = _marked(spark, folder).filter("any_rule").selectExpr(
-        *KEYS, "variant AS scope", "novel_b10",
+{_pooled_sql('headline', 'scope, metric_label, expert_metric', KEY_SQL)}"""
+
+
+def _headline(spark: SparkSession, folder: str, broadcast: bool | None) -> DataFrame:
+    labelled = _marked(spark, folder, broadcast).filter("any_rule").selectExpr(
+        *KEYS, "variant AS scope", _NOVEL,
         """inline(array_compact(array(named_struct('metric_label', 'clinical (any)', 'expert_metric', 'Expert_any'),
            CASE WHEN impossible THEN named_struct('metric_label', 'impossible', 'expert_metric', 'Expert_impossible') END)))""",
     )
     keys = ["scope", "metric_label", "expert_metric"]
-    cells = overlap.overlap_in_place(labelled, KEYS, keys, "novel_b10")
+    cells = overlap.overlap_in_place(labelled, KEYS, keys, _NOVEL)
     return _pooled_out(overlap.pooled_overlap(cells, keys), keys)
 
 
+@query(_HEADLINE_SQL)
+def overlap_headline(spark: SparkSession, folder: str) -> DataFrame:
+    return _headline(spark, folder, None)
+
+
+@query(_HEADLINE_SQL)
+def overlap_headline_shuffled(spark: SparkSession, folder: str) -> DataFrame:
+    """The form for populations too large to broadcast."""
+    return _headline(spark, folder, False)
+
+
 _RULE_ROWS_SQL = f"""rule_rows AS (SELECT {KEY_SQL}, variant AS scope, novel, 'impossible' AS category, unnest(imp) AS rule FROM marked
   UNION ALL SELECT {KEY_SQL}, variant, novel, 'suspicious', unnest(sus) FROM marked)"""
 
 
 @query(f"WITH {OVERLAP_SQL}, {_RULE_ROWS_SQL} {_pooled_sql('rule_rows', 'scope, category, rule', KEY_SQL)}")
 def overlap_by_rule(spark: SparkSession, folder: str) -> DataFrame:
-    rows = rules.rule_rows(_marked(spark, folder), [*KEYS, "variant AS scope", "novel_b10"])
+    rows = rules.rule_rows(_marked(spark, folder), [*KEYS, "variant AS scope", _NOVEL])
     keys = ["scope", "category", "rule"]
-    cells = overlap.overlap_in_place(rows, KEYS, keys, "novel_b10")
+    cells = overlap.overlap_in_place(rows, KEYS, keys, _NOVEL)
     return _pooled_out(overlap.pooled_overlap(cells, keys), keys)
 
 
@@ -86,7 +102,7 @@ def overlap_by_generator_rule(spark: SparkSession, folder: str) -> DataFrame:
     """The same numbers from stored flag tables, met by a join on the record."""
     records = v.records(spark, folder, "synthetic", ids=True)
     detail = rules.rule_rows(rules.apply_rules(records), [*KEYS, "ID"])
-    novel = _novel_clinical(spark, folder, records, [*KEYS, "ID"]).filter("novel_b10")
+    novel = _novel_clinical(spark, folder, records, [*KEYS, "ID"]).filter(_NOVEL)
     keys = ["generator", "category", "rule"]
     cells = overlap.overlap_cells(detail, novel, KEYS, ["category", "rule"])
     return _pooled_out(overlap.pooled_overlap(cells, keys), keys)
