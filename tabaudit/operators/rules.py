@@ -333,8 +333,8 @@ def split_tags(tag_text: Column) -> Column:
     return F.filter(parts, lambda t: t != "")
 
 
-def _fired_per_rule(masked: DataFrame, keys: list[str], rules: list[Rule]) -> DataFrame:
-    """keys, n_rows, category, rule, n for every fired rule.
+def rule_table(masked: DataFrame, keys: list[str], rules: list[Rule] = RULES) -> DataFrame:
+    """keys, n_rows, category, rule, n for every rule, fired or not.
 
     Counted as one sum per rule and group before anything is reshaped, so no
     exploded rows are shuffled.
@@ -346,12 +346,12 @@ def _fired_per_rule(masked: DataFrame, keys: list[str], rules: list[Rule]) -> Da
     ]
     wide = masked.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_rows"), *sums)
     items = ", ".join(f"named_struct('category', '{r.bucket}', 'rule', '{r.name}', 'n', {r.name})" for r in rules)
-    return wide.selectExpr(*keys, "n_rows", f"inline(array({items}))").filter("n > 0")
+    return wide.selectExpr(*keys, "n_rows", f"inline(array({items}))")
 
 
 def rule_counts(masked: DataFrame, keys: list[str], rules: list[Rule] = RULES) -> DataFrame:
     """keys, category, rule, n for every fired rule."""
-    return _fired_per_rule(masked, keys, rules).drop("n_rows")
+    return rule_table(masked, keys, rules).filter("n > 0").drop("n_rows")
 
 
 def rule_rates(masked: DataFrame, keys: list[str]) -> DataFrame:
@@ -372,7 +372,7 @@ def rule_rates(masked: DataFrame, keys: list[str]) -> DataFrame:
 
 def rule_summary(masked: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
     """bucket, rule, count, pct_rows, description over the whole table."""
-    counts = _fired_per_rule(masked, [], rules)
+    counts = rule_table(masked, [], rules).filter("n > 0")
     text = F.expr("map(" + ", ".join(f"'{r.name}', {text_literal(r.description)}" for r in rules) + ")")
     return counts.select(
         F.col("category").alias("bucket"), "rule", F.col("n").alias("count"),

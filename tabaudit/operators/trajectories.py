@@ -11,13 +11,20 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+def _counted(flagged: DataFrame, keys: list[str]) -> DataFrame:
+    """Flags per key: counted, or as they are where ``flagged`` has ``n_flagged`` already."""
+    if "n_flagged" in flagged.columns:
+        return flagged.select(*keys, "n_flagged")
+    return flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_flagged"))
+
+
 def chain_rates(flagged: DataFrame, file_sizes: DataFrame, keys: list[str]) -> DataFrame:
     """Flag rate of every evaluated file; files without a flag get 0.
 
     ``file_sizes`` (keys + n_rows) comes from the records, so a file with no
     flag at all is still there and the denominator is its real row count.
     """
-    counts = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    counts = _counted(flagged, keys).withColumnRenamed("n_flagged", "__n")
     n = F.coalesce(F.col("__n"), F.lit(0))
     return file_sizes.join(counts, keys, "left").select(
         *keys, "n_rows", n.alias("n_flagged"), (n / F.col("n_rows")).alias("value")
@@ -39,7 +46,7 @@ def chain_rates_gated(
     dropped instead of filled.
     """
     scope = per or []
-    counts = flagged.groupBy(*chain, "generation").agg(F.count(F.lit(1)).alias("n_flagged"))
+    counts = _counted(flagged, [*chain, "generation"])
     chains = seen.select(*chain).distinct()
     one = F.lit(1).alias("__one")
     totals = chains.groupBy(*scope, one).agg(F.count(F.lit(1)).alias("__chains"))
@@ -60,7 +67,7 @@ def chain_rates_gated(
 
 def chain_rates_unfilled(flagged: DataFrame, rows_per_file: DataFrame, keys: list[str]) -> DataFrame:
     """Rates of files with at least one flag; absent files stay absent."""
-    counts = flagged.groupBy(*keys).agg(F.count(F.lit(1)).alias("n_flagged"))
+    counts = _counted(flagged, keys)
     return counts.join(rows_per_file, keys).select(
         *keys, "n_flagged", (F.col("n_flagged") / F.col("n_rows")).alias("value")
     )

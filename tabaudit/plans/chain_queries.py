@@ -175,58 +175,60 @@ def resume_filter(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # ------------------------------------------------------------- trajectories
-# A rule that about half of the files never fire.
+# Every rule is a flag of its own; many files never fire a given one.
+_RULE_NAMES = ", ".join(f"('{r.name}')" for r in rules.RULES)
 SPARSE_SQL = f"""{rq.RULED_SQL},
-sizes AS (SELECT {KEY_SQL}, count(*) AS n_rows FROM synthetic GROUP BY ALL),
-sparse AS (SELECT {KEY_SQL}, ID FROM detail WHERE rule = 'circ_nomarkers'),
-counts AS (SELECT {KEY_SQL}, count(*) AS n_flagged FROM sparse GROUP BY ALL)"""
+names(rule) AS (VALUES {_RULE_NAMES}),
+sizes AS (SELECT {KEY_SQL}, rule, n_rows FROM (SELECT {KEY_SQL}, count(*) AS n_rows FROM synthetic GROUP BY ALL) f, names),
+counts AS (SELECT {KEY_SQL}, rule, count(*) AS n_flagged FROM detail GROUP BY ALL)"""
+RULE_CHAIN = ["rule", *v.CHAIN]
+RULE_KEYS = ["rule", *KEYS]
 
 
-def _sparse(spark: SparkSession, folder: str, ids: bool = False) -> tuple[DataFrame, DataFrame]:
-    masked = rules.apply_rules(v.records(spark, folder, "synthetic", ids), rules.rules_named("circ_nomarkers"))
-    hits = rules.rule_rows(masked, [*KEYS, "ID"], rules.rules_named("circ_nomarkers"))
-    sizes = v.records(spark, folder, "synthetic").groupBy(*KEYS).agg(F.count(F.lit(1)).alias("n_rows"))
-    return hits, sizes
+def _sparse(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
+    """Counts per rule and file that fired, and row counts per rule and file."""
+    table = rules.rule_table(rq.masked_records(spark, folder), KEYS)
+    return table.filter("n > 0").select(*RULE_KEYS, F.col("n").alias("n_flagged")), table.select(*RULE_KEYS, "n_rows")
 
 
 @query(f"""WITH {SPARSE_SQL}
-SELECT {KEY_SQL}, n_rows, coalesce(n_flagged, 0) AS n_flagged, {s6('coalesce(n_flagged, 0) / n_rows', 'value')}
-FROM sizes LEFT JOIN counts USING ({KEY_SQL})""")
+SELECT rule, {KEY_SQL}, n_rows, coalesce(n_flagged, 0) AS n_flagged, {s6('coalesce(n_flagged, 0) / n_rows', 'value')}
+FROM sizes LEFT JOIN counts USING (rule, {KEY_SQL})""")
 def chain_rates(spark: SparkSession, folder: str) -> DataFrame:
     hits, sizes = _sparse(spark, folder)
-    return trajectories.chain_rates(hits, sizes, KEYS).select(*KEYS, "n_rows", "n_flagged", r6("value"))
+    return trajectories.chain_rates(hits, sizes, RULE_KEYS).select(*RULE_KEYS, "n_rows", "n_flagged", r6("value"))
 
 
 _GATE = """
-chains AS (SELECT DISTINCT generator, dseed, mseed FROM sizes),
-gate AS (SELECT generation FROM counts GROUP BY generation HAVING count(*) / (SELECT count(*) FROM chains) >= 0.5)"""
+chains AS (SELECT DISTINCT rule, generator, dseed, mseed FROM sizes),
+gate AS (SELECT rule, generation FROM counts GROUP BY rule, generation HAVING count(*) / (SELECT count(DISTINCT (generator, dseed, mseed)) FROM sizes) >= 0.5)"""
 
 
 @query(f"""WITH {SPARSE_SQL}, {_GATE}
-SELECT generator, dseed, mseed, generation, coalesce(n_flagged, 0) AS n_flagged, {s6('coalesce(n_flagged, 0) / n_rows', 'value')}
-FROM chains CROSS JOIN gate LEFT JOIN counts USING ({KEY_SQL}) LEFT JOIN sizes USING ({KEY_SQL})""")
+SELECT rule, generator, dseed, mseed, generation, coalesce(n_flagged, 0) AS n_flagged, {s6('coalesce(n_flagged, 0) / n_rows', 'value')}
+FROM chains JOIN gate USING (rule) LEFT JOIN counts USING (rule, {KEY_SQL}) LEFT JOIN sizes USING (rule, {KEY_SQL})""")
 def chain_rates_coverage_gated(spark: SparkSession, folder: str) -> DataFrame:
     hits, sizes = _sparse(spark, folder)
-    out = trajectories.chain_rates_gated(hits, sizes, v.CHAIN, sizes)
-    return out.select(*KEYS, "n_flagged", r6("value"))
+    out = trajectories.chain_rates_gated(hits, sizes, RULE_CHAIN, sizes, per=["rule"])
+    return out.select(*RULE_KEYS, "n_flagged", r6("value"))
 
 
 @query(f"""WITH {SPARSE_SQL},
-chains AS (SELECT DISTINCT generator, dseed, mseed FROM sizes),
-totals AS (SELECT generator, count(*) AS n_chains FROM chains GROUP BY generator),
-gate AS (SELECT generator, generation FROM counts JOIN totals USING (generator) GROUP BY generator, generation, n_chains HAVING count(*) / n_chains >= 0.5)
-SELECT generator, dseed, mseed, generation, coalesce(n_flagged, 0) AS n_flagged, {s6('coalesce(n_flagged, 0) / n_rows', 'value')}
-FROM chains JOIN gate USING (generator) LEFT JOIN counts USING ({KEY_SQL}) LEFT JOIN sizes USING ({KEY_SQL})""")
+chains AS (SELECT DISTINCT rule, generator, dseed, mseed FROM sizes),
+totals AS (SELECT rule, generator, count(*) AS n_chains FROM chains GROUP BY rule, generator),
+gate AS (SELECT rule, generator, generation FROM counts JOIN totals USING (rule, generator) GROUP BY rule, generator, generation, n_chains HAVING count(*) / n_chains >= 0.5)
+SELECT rule, generator, dseed, mseed, generation, coalesce(n_flagged, 0) AS n_flagged, {s6('coalesce(n_flagged, 0) / n_rows', 'value')}
+FROM chains JOIN gate USING (rule, generator) LEFT JOIN counts USING (rule, {KEY_SQL}) LEFT JOIN sizes USING (rule, {KEY_SQL})""")
 def chain_rates_gated_per_generator(spark: SparkSession, folder: str) -> DataFrame:
     hits, sizes = _sparse(spark, folder)
-    out = trajectories.chain_rates_gated(hits, sizes, v.CHAIN, sizes, per=["generator"])
-    return out.select(*KEYS, "n_flagged", r6("value"))
+    out = trajectories.chain_rates_gated(hits, sizes, RULE_CHAIN, sizes, per=["rule", "generator"])
+    return out.select(*RULE_KEYS, "n_flagged", r6("value"))
 
 
-@query(f"WITH {SPARSE_SQL} SELECT {KEY_SQL}, n_flagged, {s6('n_flagged / n_rows', 'value')} FROM counts JOIN sizes USING ({KEY_SQL})")
+@query(f"WITH {SPARSE_SQL} SELECT rule, {KEY_SQL}, n_flagged, {s6('n_flagged / n_rows', 'value')} FROM counts JOIN sizes USING (rule, {KEY_SQL})")
 def chain_rates_unfilled(spark: SparkSession, folder: str) -> DataFrame:
     hits, sizes = _sparse(spark, folder)
-    return trajectories.chain_rates_unfilled(hits, sizes, KEYS).select(*KEYS, "n_flagged", r6("value"))
+    return trajectories.chain_rates_unfilled(hits, sizes, RULE_KEYS).select(*RULE_KEYS, "n_flagged", r6("value"))
 
 
 @query(f"""WITH {v.REVIEW_SQL},
