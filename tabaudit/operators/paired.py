@@ -12,18 +12,20 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabaudit import model as m
-from tabaudit.functions.tails import kendall_p, wilcoxon_p
+from tabaudit.functions.tails import KENDALL_EXACT, WILCOXON_EXACT, kendall_p, wilcoxon_p
 from tabaudit.operators.subsets import cells_by_subset, subset_list
 from tabaudit.sources.sinks import reliable
 
 
 def tau_b(cells: DataFrame, keys: list[str], last: int = m.LAST_GENERATION) -> DataFrame:
-    """Tau-b per key from cells (x, y, n) with x and y in 0..last.
+    """Tau-b per key from cells (x, y, n) with y in 0..last; another y fails the job.
 
     Rows of the contingency table are walked in order of x with running column
     sums, which counts concordant and discordant pairs without forming pairs.
     """
     ys = range(last + 1)
+    outside = F.raise_error(F.format_string(f"generation %s is beyond 0..{last}", F.col("y").cast("string")))
+    cells = cells.withColumn("y", F.when(F.col("y").between(0, last), F.col("y")).otherwise(outside.cast("bigint")))
     by_x = cells.groupBy(*keys, "x").agg(
         *[F.expr(f"coalesce(sum(CASE WHEN y = {j} THEN n END), 0L) AS c{j}") for j in ys]
     )
@@ -94,13 +96,16 @@ def signed_rank(cells: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def paired_timing(
-    chains: DataFrame, keys: list[str], last: int = m.LAST_GENERATION, p_values: bool = True
+    chains: DataFrame, keys: list[str], last: int = m.LAST_GENERATION, p_values: bool = True, method: str = "auto"
 ) -> DataFrame:
     """Timing tests of two event generations per key and leave-one-seed-out subset.
 
     ``chains`` holds keys, dseed, mseed, x, y; x and y are null unless both
     events happened.  All chains of a key decide the list of subsets.  Fewer
     than two pairs give only n; equal generations everywhere skip Wilcoxon.
+    p values are exact for small samples without ties and normal else
+    (``method`` "auto"), or always "normal"; ``tau_p_method`` and
+    ``wilcoxon_p_method`` say which.
     """
     # counted once and kept: everything below reads these few rows several times
     base = reliable(chains.groupBy(*keys, "dseed", "mseed", "x", "y").agg(F.count(F.lit(1)).alias("n")))
@@ -131,15 +136,17 @@ def paired_timing(
         when_enough("tau_z"), when_enough("wilcoxon_z"), "tau_untied", "wilcoxon_untied", "n_nonzero",
     )
     if p_values:
+        untied = F.col("wilcoxon_untied") & (F.col("n_nonzero") == F.col("n_pairs"))
+        exact = {"tau": F.col("tau_untied") & (F.col("n_pairs") <= KENDALL_EXACT), "wilcoxon": untied & (F.col("n_nonzero") <= WILCOXON_EXACT)}
+        exact = {k: F.coalesce(e, F.lit(False)) if method == "auto" else F.lit(False) for k, e in exact.items()}
         out = out.withColumns(
             {
-                "tau_p": kendall_p(F.col("tau_z"), F.col("n_pairs"), F.col("discordant"), F.col("tau_untied")),
-                "wilcoxon_p": wilcoxon_p(
-                    F.col("wilcoxon_z"), F.col("n_nonzero"), F.col("wilcoxon_stat"),
-                    F.col("wilcoxon_untied") & (F.col("n_nonzero") == F.col("n_pairs")),
-                ),
+                "tau_p": kendall_p(F.col("tau_z"), F.col("n_pairs"), F.col("discordant"), exact["tau"]),
+                "wilcoxon_p": wilcoxon_p(F.col("wilcoxon_z"), F.col("n_nonzero"), F.col("wilcoxon_stat"), exact["wilcoxon"]),
             }
         )
+        names = {k: F.when(F.col(f"{k}_p").isNotNull(), F.when(e, F.lit("exact")).otherwise(F.lit("normal"))) for k, e in exact.items()}
+        out = out.withColumns({f"{k}_p_method": name for k, name in names.items()})
     return out.drop("tau_untied", "wilcoxon_untied", "n_nonzero")
 
 

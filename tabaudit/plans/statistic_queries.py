@@ -243,7 +243,7 @@ def paired_timing_p_values(spark: SparkSession, folder: str) -> DataFrame:
     """Test table with p values, exact for small samples without ties."""
     chains = paired.onset_failure_chains(_joined(spark, folder), {"metric": F.lit("flag_rate")})
     out = paired.paired_timing(chains, ["metric"])
-    return out.select("metric", "subset", "n_pairs", r6("tau"), r6("tau_p"), r6("wilcoxon_stat"), r6("wilcoxon_p"))
+    return out.select("metric", "subset", "n_pairs", r6("tau"), r6("tau_p"), "tau_p_method", r6("wilcoxon_stat"), r6("wilcoxon_p"), "wilcoxon_p_method")
 
 
 # ------------------------------------------------------------------ ranking

@@ -66,20 +66,32 @@ def export_tables(tables: dict[str, DataFrame], folder: str) -> list[str]:
     return paths
 
 
+def _location(spark: SparkSession, path: str):
+    """The file system of ``path`` and the path on it."""
+    jvm = spark.sparkContext._jvm
+    found = jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
+
+
 def write_upsert(new: DataFrame, path: str, keys: list[str], run_order: str) -> None:
     """Merge ``new`` into the table at ``path``; the latest run wins per key.
 
-    The merged result is checkpointed before the overwrite, so the table is
-    not read while it is replaced.
+    The merged table is written beside the old one, and two renames swap them:
+    until the last one the old table is whole, at ``path`` or at ``path.old``,
+    from where the next run takes it.
     """
     from tabaudit.operators.pooling import upsert
 
     spark = new.sparkSession
-    try:
-        old = spark.read.parquet(path)
-    except Exception as missing:  # first run: nothing to merge with
-        if "PATH_NOT_FOUND" not in str(missing):
-            raise
-        new.write.mode("overwrite").parquet(path)
-        return
-    reliable(upsert(old, new, keys, run_order)).write.mode("overwrite").parquet(path)
+    store, current = _location(spark, path)
+    _, kept = _location(spark, f"{path}.old")
+    _, beside = _location(spark, f"{path}.new")
+    if not store.exists(current) and store.exists(kept):  # a run ended between the renames
+        store.rename(kept, current)
+    merged = upsert(spark.read.parquet(path), new, keys, run_order) if store.exists(current) else new
+    merged.write.mode("overwrite").parquet(f"{path}.new")
+    store.delete(kept, True)
+    if store.exists(current):
+        store.rename(current, kept)
+    store.rename(beside, current)
+    store.delete(kept, True)

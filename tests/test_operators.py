@@ -441,3 +441,23 @@ def test_values_of_a_feature_that_the_population_never_fills(spark, limit):
     frame = spark.createDataFrame([(1, "M", None), (2, "X", "High"), (3, None, "High")], "ID int, gender string, bmi string")
     out = rules.out_of_population(frame, {}, feature_levels(population, ["gender", "bmi"]), ["ID"], ["gender", "bmi"], literal_limit=limit)
     assert {r["ID"]: r["offenders"] for r in out.collect()} == {1: "", 2: "gender; bmi", 3: "bmi"}
+
+
+def test_tau_fails_on_generations_beyond_its_table(spark):
+    cells = spark.createDataFrame([("a", 0, 22, 1), ("a", 3, 4, 1)], "k string, x int, y int, n int")
+    with pytest.raises(Exception, match="generation 22 is beyond 0..19"):
+        paired.tau_b(cells, ["k"]).collect()
+    assert paired.tau_b(cells, ["k"], last=30).first()["n"] == 2
+
+
+def test_p_values_name_their_method(spark):
+    rows = [("few", 1, i, i, i + 1 + i % 3 * 4) for i in range(6)] + [("many", 1, i, i % 19, (i * 7) % 19) for i in range(60)]
+    chains = spark.createDataFrame(rows, "k string, dseed long, mseed long, x int, y int")
+    for method, few in (("auto", "exact"), ("normal", "normal")):
+        out = {r["k"]: r for r in paired.paired_timing(chains, ["k"], method=method).filter("subset = 'Full population'").collect()}
+        assert out["few"]["tau_p_method"] in (few, "normal") and out["many"]["tau_p_method"] == "normal"
+        assert out["many"]["wilcoxon_p_method"] == "normal"
+    distinct = spark.createDataFrame([("d", 1, i, i, 2 * i + 1) for i in range(6)], "k string, dseed long, mseed long, x int, y int")
+    found = {m: paired.paired_timing(distinct, ["k"], method=m).filter("subset = 'Full population'").first() for m in ("auto", "normal")}
+    assert [found[m]["tau_p_method"] for m in found] == ["exact", "normal"] and [found[m]["wilcoxon_p_method"] for m in found] == ["exact", "normal"]
+    assert found["auto"]["tau_p"] == pytest.approx(2 / 720) and found["auto"]["wilcoxon_p"] == pytest.approx(2 / 64)
