@@ -53,12 +53,6 @@ def test_traps_and_defined_cases(spark, range_bytes, file_bytes):
     assert {r["url"] for r in found.where("page_id = 1").collect()} == {"http://a/%C3%A9%20b%0D%0AX:%20y"}
 
 
-def test_shuffled_payloads_give_the_same(spark, monkeypatch):
-    monkeypatch.setattr(warc, "BROADCAST_ROWS", -1)
-    pages = spark.createDataFrame([(*p, "d", 1, "p", 3) for p in PAGES], SCHEMA)
-    assert told(warc.read_archives(warc.write_archives(pages).files)) == plain([(i, (h or "").encode()) for i, _, h in PAGES])
-
-
 def test_least_revisit_and_empty_table(spark):
     pages = spark.createDataFrame([(*p, "d", 1, "p", 3) for p in PAGES], SCHEMA)
     small = warc.read_archives(warc.write_archives(pages, least_revisit=5).files)
