@@ -12,8 +12,9 @@ sketch, whatever its length: no pair is lost. Candidates are verified by exact
 containment of the shingles' texts.
 
 All of it is DataFrame expressions. Documents are read twice; shuffled are the
-candidates and, for documents with one, their texts. The sketches are broadcast
-while they are below a number of rows, else joined by shuffle.
+candidates. Sketches, texts with candidates (by their keys) and texts with items
+are broadcast while they are below a number of rows by count; beyond it each is
+joined by shuffle.
 
 Defined cases: null texts are empty; an item of fewer than five words is one
 shingle of all its words; items without words are found nowhere; equal item ids
@@ -29,8 +30,8 @@ from pyspark.sql import functions as F
 from tabaudit.llm.common import col, cut, fresh
 
 SHINGLE, THRESHOLD = 5, 0.8
-#: Rows of an item table up to which it is broadcast; wider ones are joined by shuffle.
-BROADCAST_ROWS = 1_000_000
+#: Rows of a table (of short rows) up to which it is broadcast; larger ones are joined by shuffle.
+BROADCAST_ROWS = 200_000
 _BREAK = r"[^\p{L}\p{N}]+"
 
 
@@ -97,9 +98,10 @@ def matches(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_c
     if found is None:
         found = texts.where(F.lit(False)).select("id", "text_hash", F.lit(None).cast(shingles.schema["item"].dataType).alias("sketch_item"), F.lit(0).cast("long").alias("sketch_hash"))
     per_text = cut(found.groupBy("id", "text_hash").agg(F.collect_set(F.struct("sketch_item", "sketch_hash")).alias("candidates")))
+    n_pairs = per_text.agg(F.sum(F.size("candidates"))).first()[0] or 0
     wanted = per_text.select(F.col("id").alias("wanted_id"), F.col("text_hash").alias("wanted_hash"), "candidates")
     same = F.col("id").eqNullSafe(F.col("wanted_id")) & (F.col("text_hash") == F.col("wanted_hash"))
-    again = texts.join(wanted, same).select("id", "text_hash", "words", "candidates")
+    again = texts.join(_small(wanted, n_pairs), same).select("id", "text_hash", "words", "candidates")
     verified = None
     for length in lengths:
         own = _small(shingles.where(F.col("length") == length), n_rows)
@@ -122,7 +124,7 @@ def contamination(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 def without_contaminated(docs: DataFrame, items: DataFrame, id_column: str = "doc_id", text_column: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` in whose text no item is found; all columns as they were."""
     row_hash, key, hashed = fresh(docs, "row_text_hash", "found_id", "found_hash")
-    found = matches(docs, items, id_column, text_column, **options).select(F.col("id").alias(key), F.col("text_hash").alias(hashed)).distinct()
+    found = cut(matches(docs, items, id_column, text_column, **options).select(F.col("id").alias(key), F.col("text_hash").alias(hashed)).distinct())
     tagged = docs.withColumn(row_hash, F.xxhash64(F.coalesce(col(text_column), F.lit(""))))
     same = col(id_column).eqNullSafe(F.col(key)) & (F.col(row_hash) == F.col(hashed))
-    return tagged.join(found, same, "left_anti").drop(row_hash)
+    return tagged.join(_small(found, found.count()), same, "left_anti").drop(row_hash)
