@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from tabaudit.llm.common import col, open_store, publish, shared_folder, slices
 
 #: Bounded memory of the encoder: words that are remembered, and bytes of text per call.
-REMEMBERED = 500_000
+REMEMBERED = 900_000
 SLICE_BYTES = 6 << 20
 MANIFEST = "part int, n_documents long, n_tokens long, width int"
 _DOCUMENT = np.dtype([("id", "<i8"), ("known", "u1")])
