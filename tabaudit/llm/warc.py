@@ -16,7 +16,8 @@ known. Only those records are read.
 Defined cases: a null payload is empty, a null URL is ``about:blank``; a null
 id is written and comes back as null, never as response for others; rows that
 share payload and the largest id are all responses; what lies behind a break
-of a file's chain is not returned; no rows, no files, an empty result.
+of a file's chain is not returned, and is an error if the file is one of a
+manifest; headers have any length; no rows, no files, an empty result.
 """
 
 from __future__ import annotations
@@ -38,17 +39,17 @@ from tabaudit.llm.common import col, cut, open_store, shared_folder
 MAGIC = b"WARC/1."
 FILE_BYTES = 64 << 20
 RANGE_BYTES = 8 << 20
-#: Longest header that is looked for; the rest of a payload is never searched.
+#: How far behind its range a task reads at first; it reads on until the last header there ends.
 HEADER_BYTES = 64 << 10
 _TAIL = b"\r\n\r\n"
 _PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 _DATE = "2024-01-01T00:00:00Z"
-_LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*$", re.IGNORECASE | re.MULTILINE)
+_LENGTH = re.compile(rb"^content-length:[ \t]*(\d+)[ \t]*\r?$", re.IGNORECASE | re.MULTILINE)
 
 
 @dataclass(frozen=True)
 class Archives:
-    """Written files: a table of their URIs and sizes."""
+    """Written files: a table of their URIs, sizes and numbers of records."""
 
     folder: str
     files: DataFrame
@@ -102,7 +103,7 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_column: str =
         import zstandard
 
         unpack = zstandard.ZstdDecompressor().decompress
-        stream, names, sizes = None, [], []
+        stream, names, sizes, records = None, [], [], []
         for batch in batches:
             for row in batch.to_pylist():
                 if stream is None or sizes[-1] >= file_bytes:
@@ -112,37 +113,63 @@ def write_archives(pages: DataFrame, folder: str | None = None, id_column: str =
                         stream.close()
                     names.append(f"part-{part:06d}-{len(names):06d}-{attempt}.warc")
                     sizes.append(0)
+                    records.append(0)
                     stream = store.open_output_stream(f"{root}/{names[-1]}")
                 data = record(row["id"], row["url"], unpack(row["packed"]), row["refers_to"])
                 stream.write(data)
                 sizes[-1] += len(data)
+                records[-1] += 1
         if stream is not None:
             stream.close()
-            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in names]), pa.array(sizes, pa.int64())], names=["file", "size"])
+            yield pa.RecordBatch.from_arrays([pa.array([f"{folder}/{n}" for n in names]), pa.array(sizes, pa.int64()), pa.array(records, pa.int64())], names=["file", "size", "records"])
 
-    plan.mapInArrow(write, "file string, size long").write.mode("overwrite").parquet(f"{folder}/manifest")
-    return Archives(folder, spark.read.schema("file string, size long").parquet(f"{folder}/manifest"))
+    manifest = "file string, size long, records long"
+    plan.mapInArrow(write, manifest).write.mode("overwrite").parquet(f"{folder}/manifest")
+    return Archives(folder, spark.read.schema(manifest).parquet(f"{folder}/manifest"))
 
 
-def successor(data: bytes, at: int, origin: int) -> int | None:
-    """Where the record whose header begins at ``data[at]`` says that the next one begins, as offset in the file."""
-    end = data.find(_TAIL, at, at + HEADER_BYTES)
-    length = _LENGTH.search(data[at:end].replace(b"\r\n", b"\n")) if end >= 0 else None
-    return origin + end + len(_TAIL) + int(length[1]) + len(_TAIL) if length else None
+def _read_on(f: pa.NativeFile, data: bytes, begin: int, at: int, size: int) -> bytes:
+    """``data``, which starts at ``begin``, up to a header's end behind ``data[at]`` or the end of the file."""
+    step, searched = HEADER_BYTES, at
+    while begin + len(data) < size and data.find(_TAIL, searched) < 0:
+        searched = max(at, len(data) - len(_TAIL) + 1)
+        data += f.read_at(min(step, size - begin - len(data)), begin + len(data))
+        step *= 2
+    return data
+
+
+def successors(data: bytes, places: list[int], origin: int) -> list[int | None]:
+    """Where records whose headers begin at ``places`` (ascending) of ``data`` say that the next one begins, as offsets in the file.
+
+    Places before the same header's end share one search, so the work is linear however many there are.
+    """
+    out: list[int | None] = []
+    end, lengths, n = -1, [], 0
+    for at in places:
+        if end < at:
+            end = data.find(_TAIL, at)
+            if end < 0:
+                return out + [None] * (len(places) - len(out))
+            lengths, n = [(m.start(), int(m[1])) for m in _LENGTH.finditer(data[at:end])], 0
+            first = at
+        while n < len(lengths) and first + lengths[n][0] <= at:
+            n += 1
+        out.append(origin + end + len(_TAIL) + lengths[n][1] + len(_TAIL) if n < len(lengths) else None)
+    return out
 
 
 def links_of_range(data: bytes, begin: int, end: int, size: int) -> list[tuple[int, int]]:
     """(offset, exit) of each place of the range that may be a record's begin.
 
-    ``data`` starts at ``begin`` and reaches a header's length beyond ``end``.
-    The exit is the first offset at or behind ``end`` on the chain; chains that
-    break within the range have none.
+    ``data`` starts at ``begin`` and reaches beyond ``end`` as far as the last
+    header that begins before it. The exit is the first offset at or behind
+    ``end`` on the chain; chains that break within the range have none.
     """
-    found, at = [], data.find(MAGIC, 0, end - begin + len(MAGIC) - 1)
+    places, at = [], data.find(MAGIC, 0, end - begin + len(MAGIC) - 1)
     while at >= 0:
-        if (following := successor(data, at, begin)) is not None and following <= size:
-            found.append((begin + at, following))
+        places.append(at)
         at = data.find(MAGIC, at + 1, end - begin + len(MAGIC) - 1)
+    found = [(begin + at, following) for at, following in zip(places, successors(data, places, begin)) if following is not None and following <= size]
     exits: dict[int, int] = {}
     for offset, following in reversed(found):
         target = following if following >= end else exits.get(following)
@@ -165,6 +192,8 @@ def reachable(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             begin, end = row["begin"], min(row["begin"] + range_bytes, row["size"])
             with store.open_input_file(path) as f:
                 data = f.read_at(min(end + HEADER_BYTES, row["size"]) - begin, begin)
+                if (last := data.rfind(MAGIC, 0, end - begin + len(MAGIC) - 1)) >= 0:
+                    data = _read_on(f, data, begin, last, row["size"])
             links = links_of_range(data, begin, end, row["size"])
             yield pa.RecordBatch.from_arrays(
                 [pa.array([row["file"]] * len(links), pa.string()), pa.array([row["size"]] * len(links), pa.int64()), pa.array([a for a, _ in links], pa.int64()), pa.array([b for _, b in links], pa.int64())],
@@ -186,9 +215,18 @@ def reachable(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
         before, count = count, reached.count()
         if count == before:
             break
+    if "records" in files.columns:
+        _all_reached(files, reached.join(links.drop("size"), ["file", "offset"]))
     return reached
 
 
+def _all_reached(files: DataFrame, chain: DataFrame) -> None:
+    """Fails unless the chain of every written file leads to its end."""
+    short = files.where("size > 0").join(chain.where("exit = size").select("file"), "file", "left_anti")
+    if found := short.select("file", "records").take(5):
+        raise ValueError("records can't be reached in " + ", ".join(f"{r['file']} ({r['records']} written)" for r in found))
+
+
 _NAME = re.compile(rb"<urn:page:(-?\d+)>")
 
 
@@ -211,7 +249,7 @@ def parse(data: bytes) -> dict:
 
 
 def read_archives(files: DataFrame, payloads: bool = True, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """All true records of the files (columns ``file`` and ``size``)."""
+    """All true records of the files (columns ``file`` and ``size``; with ``records``, as in a manifest, a file that breaks off is an error)."""
     schema = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("payload_bytes", pa.int64()), ("payload_digest", pa.string()), ("record_type", pa.string()), ("refers_to", pa.int64()), ("payload", pa.binary())])
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -222,7 +260,10 @@ def read_archives(files: DataFrame, payloads: bool = True, range_bytes: int = RA
             with store.open_input_file(path) as f:
                 window, origin = f.read_at(min(stop + HEADER_BYTES, row["size"]) - at, at), at
                 while at < min(stop, row["size"]):
-                    following = successor(window, at - origin, origin) if window.startswith(MAGIC, at - origin) else None
+                    if not window.startswith(MAGIC, at - origin):
+                        break
+                    window = _read_on(f, window, origin, at - origin, row["size"])
+                    following = successors(window, [at - origin], origin)[0]
                     if following is None or following > row["size"]:
                         break
                     data = window[at - origin : following - origin] if following - origin <= len(window) else f.read_at(following - at, at)

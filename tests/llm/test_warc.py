@@ -66,3 +66,21 @@ def test_what_lies_behind_a_break_is_left_out(spark, tmp_path):
     (tmp_path / "x.warc").write_bytes(data)
     files = spark.createDataFrame([(f"file://{tmp_path}/x.warc", len(data))], "file string, size long")
     assert sorted(r["page_id"] for r in warc.read_archives(files, range_bytes=200).collect()) == [0, 1, 2]
+
+
+@pytest.mark.parametrize("range_bytes", [500, 1 << 23])
+def test_headers_of_any_length(spark, range_bytes):
+    pages = [(1, "http://a", "before"), (2, "data:," + "é" * 40_000, "long"), (3, "http://b", "after" + TRAP), (4, "http://" + "x" * 300_000, "WARC/1." * 50_000)]
+    frame = spark.createDataFrame([(*p, "d", 1, "p", 3) for p in pages], SCHEMA).coalesce(1)
+    found = warc.read_archives(warc.write_archives(frame).files, range_bytes=range_bytes)
+    assert told(found) == plain([(i, h.encode()) for i, _, h in pages])
+    assert {r["page_id"]: r["url"] for r in found.collect()} == {i: warc._target(u) for i, u, _ in pages}
+
+
+def test_a_written_file_that_breaks_off_is_an_error(spark, tmp_path):
+    good = [warc.record(i, "u", b"p" * 50, None) for i in range(6)]
+    data = b"".join(good[:3]) + b"garbage" + b"".join(good[3:])
+    (tmp_path / "x.warc").write_bytes(data)
+    files = spark.createDataFrame([(f"file://{tmp_path}/x.warc", len(data), 6)], "file string, size long, records long")
+    with pytest.raises(ValueError, match="6 written"):
+        warc.read_archives(files, range_bytes=200)
