@@ -28,13 +28,16 @@ them.
 
 Defined cases: a null text is empty; texts shorter than the window stay; equal
 rows count as one after the other; no row, no result; other columns are
-ignored. Texts are shuffled once, by a key of id and digest.
+ignored. Texts are shuffled once, by a key of id and digest; where rows repeat,
+one of each is kept before that, by partial aggregation and a shuffle more.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -118,19 +121,14 @@ def _bytes_of(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _find_anchors(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    last = None
     for batch in batches:
         key, base = batch.column("key").to_numpy(), batch.column("base").to_numpy()
         data, offsets = _bytes_of(batch.column("bytes"))
         if not len(key):
             continue
         text, hashes, position, before, until = anchors(data, offsets)
-        # equal rows follow each other, and the first stands for all
-        again = np.r_[base[0] == last, base[1:] == base[:-1]]
-        last = base[-1]
-        new = ~again[text]
         packed = (base[text] + position) << 14 | before << 7 | (before - until)
-        yield pa.RecordBatch.from_arrays([pa.array(hashes[new]), pa.array(packed[new]), pa.array(key[text][new])], names=["hash", "place", "key"])
+        yield pa.RecordBatch.from_arrays([pa.array(hashes), pa.array(packed), pa.array(key[text])], names=["hash", "place", "key"])
 
 
 def _repeated(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.RecordBatch]:
@@ -185,20 +183,17 @@ def _repeated(batches: Iterator[pa.RecordBatch], shard: int) -> Iterator[pa.Reco
 
 def _cut_out(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The bytes of the windows that each repeated anchor represents."""
-    last = None
     for batch in batches:
         if not batch.num_rows:
             continue
         key, base = batch.column("key").to_numpy(), batch.column("base").to_numpy()
         data, offsets = _bytes_of(batch.column("bytes"))
-        again = np.r_[base[0] == last, base[1:] == base[:-1]]
-        last = base[-1]
         wanted = batch.column("anchors")
         row = np.repeat(np.arange(len(key)), np.diff(wanted.offsets.to_numpy()))
         rows = wanted.flatten()
         place = rows.field("place").to_numpy()
         position = (place >> 14) - base[row]
-        own = (position >= 0) & (position < np.diff(offsets)[row]) & ~again[row]  # not of another text with this key
+        own = (position >= 0) & (position < np.diff(offsets)[row])  # not of another text with this key
         row, position, place = row[own], position[own], place[own]
         begin = offsets[:-1][row] + position - (place >> 7 & 127)
         length = (place & 127) + WINDOW
@@ -360,7 +355,6 @@ def _merge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per text: bytes, removed bytes, removed runs, digest of the rest, and the runs."""
-    last = None
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
     for batch in batches:
         bases = batch.column("base").to_numpy()
@@ -368,9 +362,6 @@ def _remove(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks, out = batch.column("marks"), []
         marked = marks.is_valid().to_numpy(zero_copy_only=False)
         for i in range(batch.num_rows):
-            if bases[i] == last:
-                continue
-            last = bases[i]
             text = data[offsets[i] : offsets[i + 1]]
             low = high = np.zeros(0, np.int64)
             if marked[i]:
@@ -413,10 +404,13 @@ def without_repeats(docs: DataFrame, id_column: str = "doc_id", text_column: str
     first = counts.groupBy("digest").agg(F.min(F.struct("unknown", "id")).alias("first"), F.first("n_bytes").alias("n_bytes"))
     key = F.xxhash64(*order)
     based = cut(_based(first.select("first.unknown", "first.id", "digest", "n_bytes")).withColumn("key", key))
-    wanted = based.select("key", "base", F.col("digest").alias("wanted"))
-    # joined by the key alone, by which the texts stay dealt; the digest is compared besides
-    equal = (F.col("digest") >= F.col("wanted")) & (F.col("digest") <= F.col("wanted"))
-    texts = rows.withColumn("key", key).select("key", "digest", "bytes").join(wanted, "key").where(equal).select("key", "base", "bytes")
+    wanted = based.select("key", "base", *[F.col(c).alias(f"wanted_{c}") for c in order])
+    if not counts.where("copies > 1").isEmpty():
+        # one row of those that are equal, wherever they stand
+        rows = rows.groupBy(*order).agg(F.first("bytes").alias("bytes"))
+    # joined by the key alone, by which the texts stay dealt; what it is made of is compared besides
+    equal = reduce(and_, [(F.col(c) >= F.col(f"wanted_{c}")) & (F.col(c) <= F.col(f"wanted_{c}")) for c in order])
+    texts = rows.withColumn("key", key).join(wanted, "key").where(equal).select("key", "base", "bytes")
 
     found = texts.mapInArrow(_find_anchors, "hash long, place long, key long")
     again = found.repartition("hash").sortWithinPartitions("hash", "place").mapInArrow(lambda b: _repeated(b, shard), "hash long, place long, key long, cell long, hot boolean")

@@ -218,3 +218,20 @@ def test_quality_defined_cases(spark):
     assert all(0 <= r[names["score"]] <= 1 for r in rows.collect())
     assert quality.scored(empty(spark), trained)[0].count() == 0
     assert quality.scored(empty(spark), quality.learn(empty(spark), labels))[0].count() == 0
+
+
+@pytest.mark.parametrize("options", [{"autoBroadcastJoinThreshold": "10m"}, {"autoBroadcastJoinThreshold": "-1", "adaptive.forceOptimizeSkewedJoin": "true", "adaptive.skewJoin.skewedPartitionThresholdInBytes": "1", "adaptive.skewJoin.skewedPartitionFactor": "1", "adaptive.advisoryPartitionSizeInBytes": "1", "files.maxPartitionBytes": "2k"}])
+def test_rows_repeated_in_several_files(spark, tmp_path, options):
+    random.seed(12)
+    text = "".join(random.choices("abcdefghij", k=300))
+    parts = [[(1, text), (2, "x" + text), (3, "rest of the first")], [(1, text), (1, text), (4, text), (5, "rest of the second")]]
+    for n, part in enumerate(parts):
+        spark.createDataFrame(part, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/{n}")
+    before = {k: spark.conf.get(f"spark.sql.{k}", None) for k in options}
+    try:
+        for k, v in options.items():
+            spark.conf.set(f"spark.sql.{k}", v)
+        assert repeats(spark.read.parquet(f"{tmp_path}/0", f"{tmp_path}/1")) == plain_repeats(in_order(parts[0] + parts[1]))
+    finally:
+        for k, v in before.items():
+            spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
