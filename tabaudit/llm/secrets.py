@@ -5,10 +5,13 @@ Four kinds of spans are found in a text, as code points with exclusive end:
 * ``assign``, ``access``, ``hex``: the patterns below, leftmost and not
   overlapping within their kind; matches that are too short are dropped after
   matching;
-* ``novel``: a run of token characters whose line names something sensitive
-  before it, and that a zstandard compressor can't shorten although it was
-  primed with the surrounding text and with the corpus's most common
-  identifiers. Its marginal cost is the compressed size less that of nothing.
+* ``novel``: a run of token characters that follows something sensitive, in its
+  line or those before, or that continues such a run on the next lines; and that
+  a zstandard compressor can't shorten although it was primed with the
+  surrounding text (without the run's own copies) and with the corpus's most
+  common identifiers. Its marginal cost is the compressed size less that of
+  nothing. Long strings of few letters cost less than a byte each whatever they
+  are, so they are held against a random string of their alphabet and length.
 
 The scan is one pass over the rows without a shuffle; the identifiers are a
 count over all texts, of which the dictionary takes the most frequent, up to a
@@ -20,8 +23,11 @@ rows and ids repeat in the result; no row, no result (and no dictionary).
 
 from __future__ import annotations
 
+import random
 import re
+import string
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -43,8 +49,11 @@ IDENTIFIER = r"[A-Za-z_]{5,40}(?=[\"']?\x20*[:=(])"
 IDENTIFIERS = 2000
 #: How far the sensitive word may stand before a candidate, and how much text around it primes the compressor.
 REACH, AROUND = 64, 2048
-#: Least marginal bytes for each character.
-NOVELTY = 0.8
+#: What may stand between runs that belong together: line ends, indents, quotes, signs of concatenation.
+CONTINUED = re.compile(r"""[\s"'\\,;.&>]*""")
+#: Least marginal bytes for each character, or, if that is less, for each byte that a random string of the same alphabet costs.
+NOVELTY, RANDOM = 0.8, 0.9
+ALPHABETS = (string.ascii_lowercase, string.ascii_uppercase, string.digits, "+/_=-")
 SLICE_BYTES = 8 << 20
 
 
@@ -69,6 +78,22 @@ class Novelty:
         return len(packer.compress(candidate.encode())) - len(packer.compress(b""))
 
 
+def alphabet(candidate: str) -> str:
+    """The characters that a string like this is drawn from: one case of hexadecimal digits, or whole classes; signs alone are none."""
+    own = set(candidate)
+    for letters in ("abcdef", "ABCDEF"):
+        if own <= set(string.digits + letters) and own & set(string.digits) and own & set(letters):
+            return string.digits + letters
+    found = "".join(a for a in ALPHABETS if own & set(a))
+    return "".join(ALPHABETS) if found == ALPHABETS[3] else found
+
+
+@lru_cache(4096)
+def random_cost(letters: str, n: int) -> int:
+    """What a random string costs a compressor that knows nothing."""
+    return Novelty([]).cost("".join(random.Random(n).choices(letters, k=n)), "")
+
+
 def base_spans(text: str) -> list[tuple[int, int, int]]:
     """(start, kind, end) of the fixed patterns, in order."""
     found = []
@@ -82,14 +107,18 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, int]]:
     """Spans of incompressible strings in a sensitive context, outside the base spans."""
-    found = []
+    found, upto = [], None  # the end of the last run in such a context
     for m in CANDIDATE.finditer(text):
         begin, end = m.span()
-        before = text[max(0, begin - REACH) : begin].rpartition("\n")[2]
-        if not SENSITIVE.search(before) or any(a < end and begin < b for a, _, b in base):
+        goes_on = upto is not None and CONTINUED.fullmatch(text, upto, begin)
+        if not goes_on and not SENSITIVE.search(text, max(0, begin - REACH), begin):
+            continue
+        upto = end
+        if any(a < end and begin < b for a, _, b in base):
             continue
-        around = text[max(0, begin - AROUND) : begin] + "\n" + text[end : end + AROUND]
-        if novelty.cost(m[0], around) >= least * (end - begin):
+        around = (text[max(0, begin - AROUND) : begin] + "\n" + text[end : end + AROUND]).replace(m[0], "\n")
+        cost = novelty.cost(m[0], around)
+        if cost >= least * (end - begin) or cost >= RANDOM * random_cost(alphabet(m[0]), end - begin):
             found.append((begin, 3, end))
     return found
 

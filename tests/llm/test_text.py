@@ -235,3 +235,23 @@ def test_rows_repeated_in_several_files(spark, tmp_path, options):
     finally:
         for k, v in before.items():
             spark.conf.unset(f"spark.sql.{k}") if v is None else spark.conf.set(f"spark.sql.{k}", v)
+
+
+def test_long_repeated_and_distant_secrets():
+    novelty = secrets.Novelty(["read_settings"])
+    draw = random.Random(3)
+    make = lambda letters, n: "".join(draw.choices(letters, k=n))
+    lower, upper, digits = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789"
+    found = lambda text: [text[a:b] for a, _, b in secrets.novel_spans(text, secrets.base_spans(text), novelty)]
+    for letters, n in ((digits + "ABCDEF", 64), (digits + "ABCDEF", 128), (lower + digits, 200), (lower + upper + digits + "+/", 1000), (lower + upper + digits + "+/", 3000)):
+        key = make(letters, n)
+        assert found(f"private key: <{key}>") == [key], (letters, n)
+    key = make(lower + upper + digits, 24)
+    assert found(f"auth header: {key}\nuse the auth header {key}\n") == [key, key]
+    assert found(f"the auth header is\n    {key}\n") == [key]
+    lines = [make(lower + upper + digits + "+/", 64) for _ in range(12)]
+    body = "\n".join(lines)
+    assert found(f"-----BEGIN RSA PRIVATE KEY-----\n{body}\n-----END RSA PRIVATE KEY-----\n") == lines
+    for dull in ("-" * 40, "0" * 64, "abc" * 40, "ABCDEF0123456789" * 8, "read_settings_" * 9):
+        assert found(f"private key: <{dull}>") == [], dull
+    assert found(f"a plain line\nwith {key}\n") == []
