@@ -130,17 +130,25 @@ def nearest_neighbours(table: DataFrame, queries: Column, k: int = 10, id_column
             by_entry = own[np.argsort(entry.ravel(), kind="stable")]
             begins = np.searchsorted(np.sort(entry.ravel()), np.arange(len(entries) + 1))
             files = InvertedFiles(representation(entries, points, keep), len(points))
-            depth = min(len(entries), max(LEAST_RERANKED, k + 1, math.ceil(reranked * len(entries))))
+            depth = max(LEAST_RERANKED, k, math.ceil(reranked * len(entries)))
+            held, by_id = np.diff(begins), np.argsort(ids[own], kind="stable")
+            sorted_ids = ids[own][by_id]
             which = np.flatnonzero(asks)
             for i, order in zip(which, representation(vectors[which], points, keep)):
-                footrule = files.footrule(order)
+                # entries that hold rows of the query's id alone take no place
+                mine = by_id[np.searchsorted(sorted_ids, ids[i]) : np.searchsorted(sorted_ids, ids[i], "right")]
+                others = np.flatnonzero(np.bincount(entry.ravel()[mine], minlength=len(entries)) < held)
+                if not len(others):
+                    continue
+                footrule, reach = files.footrule(order)[others], min(depth, len(others))
                 close = footrule < CLOSE * footrule.mean()
-                close[np.argpartition(footrule.astype(np.int64) * len(entries) + np.arange(len(entries)), depth - 1)[:depth]] = True
-                best = np.flatnonzero(close)
+                close[np.argpartition(footrule.astype(np.int64) * len(entries) + np.arange(len(others)), reach - 1)[:reach]] = True
+                best = others[close]
                 score = np.sqrt(((entries[best] - vectors[i]) ** 2).sum(axis=1))
-                order = np.argsort(score, kind="stable")[: k + 1]  # the rows of the nearest k entries hold the nearest k rows
+                last = min(k, len(score)) - 1
+                order = np.flatnonzero(score <= np.partition(score, last)[last])  # the rows of the nearest k entries hold the nearest k rows
                 best, score = best[order], score[order]
-                low, n = begins[best], np.diff(begins)[best]
+                low, n = begins[best], held[best]
                 rows = by_entry[np.repeat(low - np.cumsum(n) + n, n) + np.arange(n.sum())]
                 score = np.repeat(score, n)
                 other = ids[rows] != ids[i]

@@ -145,3 +145,14 @@ def test_index_defined_cases(spark):
     assert permutation_index.nearest_neighbours(frame.limit(0), F.col("id") % 100 == 0).count() == 0
     assert permutation_index.nearest_neighbours(frame, F.col("id") == 77).count() == 0
     assert row(1, "x")[0] == 1
+
+
+def test_own_rows_take_no_neighbours_places(spark):
+    rng = np.random.default_rng(5)
+    centre = rng.normal(size=16)
+    own = [(0, (centre + rng.normal(size=16) * 1e-3).tolist()) for _ in range(600)]
+    others = [(i, (centre + rng.normal(size=16) * 0.5).tolist()) for i in range(1, 13)] + [(i, rng.normal(size=16).tolist()) for i in range(13, 60)]
+    frame = spark.createDataFrame(own + others, "vec_id long, embedding array<double>")
+    found = permutation_index.nearest_neighbours(frame, F.col("id") == 0, pivots=16, nearest=8).orderBy("rank").collect()
+    assert [r["rank"] for r in found] == list(range(1, 11)) and 0 not in {r["vec_id"] for r in found}
+    assert {r["vec_id"] for r in found} <= set(range(1, 13))
