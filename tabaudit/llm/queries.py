@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Callable
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit.llm import decontamination, mixing, permutation_index, quality, secrets, sharding, simhash, suffix_dedup, token_output, warc
+from tabaudit.llm import decontamination, hard_negatives, mixing, periodic_runs, permutation_index, quality, secrets, sharding, simhash, spotsigs, suffix_dedup, token_output, warc
 from tabaudit.llm.common import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -119,3 +122,48 @@ def op10_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows, names = quality.scored(docs, quality.learn(docs, table(spark, sf_dir, "labels")))
     score = F.col(names["score"])
     return rows.select("doc_id", F.col(names["text_score"]).alias("text_score"), F.col(names["metadata_score"]).alias("metadata_score"), score.alias("score"), quality.keep(score).alias("keep"))
+
+
+@query
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    label = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
+    return hard_negatives.mine(vectors.withColumn("label", label), F.col("id") % 100 == 0)
+
+
+#: Every anchor against every row.
+SQL["op11_hard_negatives"] = r"""
+WITH v AS (SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS q
+           FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT a.vec_id AS anchor_id, c.vec_id AS id, c.label = a.label AS same, list_dot_product(a.q, c.q)::BIGINT AS score FROM v a JOIN v c ON c.vec_id <> a.vec_id WHERE a.vec_id % 100 = 0),
+p AS (SELECT anchor_id, id, score, row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, id) AS k FROM s WHERE same QUALIFY k <= 5)
+SELECT anchor_id, p.k::INT AS positive_rank, p.id AS positive_id, (row_number() OVER (PARTITION BY anchor_id, p.k ORDER BY s.score DESC, s.id))::INT AS rank,
+       s.id AS negative_id, p.score AS positive_score, s.score AS negative_score
+FROM p JOIN s USING (anchor_id) WHERE NOT s.same AND 30 * p.score <= 100 * s.score AND 100 * s.score <= 90 * p.score QUALIFY rank <= 10"""
+
+
+@query
+def op12_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    compared = spotsigs.against_next(table(spark, sf_dir, "documents"))
+    return compared.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures")
+
+
+def repeating_tail(ids: pa.Array, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The edit of the contract: every tenth document by the checksum of its id repeats a period from some word on; null ids stay."""
+    h = np.array([1 if i is None else zlib.crc32(str(i).encode()) for i in ids.to_pylist()], np.int64)
+    g = h // 10
+    start = g % np.maximum(n_words, 1)
+    return start, np.where((h % 10 == 0) & (n_words > 0), 1 + (n_words - start) // (3 + g % 8), 0)
+
+
+@query
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = periodic_runs.find(table(spark, sf_dir, "documents"), rewrite=repeating_tail)
+    longest = F.array_max(F.transform("runs", lambda r: F.struct(r["length"].alias("length"), (-r["start"]).alias("start"), (-r["period"]).alias("period"))))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])), "\n")
+    length, start, period = longest["length"], -longest["start"], -longest["period"]
+    return found.select(
+        F.col("id").alias("doc_id"), F.size("runs").cast("long").alias("n_runs"), start.alias("start"), length.alias("length"), period.alias("period"),
+        F.floor(1000 * length / period).cast("long").alias("exponent_milli"),
+        F.sha2(F.when(F.size("runs") > 0, F.concat(lines, F.lit("\n"))).otherwise(""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
