@@ -17,14 +17,12 @@ from tabaudit.functions.keys import (
     FOLDER_PATTERN, GENERATION_IN_FILE, file_name, generation_of, with_chain_keys,
 )
 from tabaudit.functions.normalise import boolean_value
+from tabaudit.sources.files import with_header
+from tabaudit.sources.sinks import reliable
+from tabaudit.sources.tree_index import bare_path, label_file, scan_by_header, single
 
 _PATH = "_metadata.file_path"
 
-# Name filters of the label scan (fixed values).
-SKIPPED_FOLDERS = ["metrics", "results", "ids", "plots", "figures", "logs"]
-LABEL_FILE_PATTERN = r"(?i)^synthetic_synthcity_.*_decoded\.csv$"
-SKIPPED_PREFIXES = ["reference_", "real_", "train_", "test_", "population_", "holdout_"]
-
 
 def record_schema(columns: list[str] | None = None) -> T.StructType:
     """Schema of readable record files; every column optional, ``nt-probnp`` under its file name."""
@@ -95,25 +93,6 @@ def typed_records(text: DataFrame) -> DataFrame:
     return df.select(*out)
 
 
-def _width(spark: SparkSession, path: str, **options) -> int:
-    """Most cells that a line of these CSV files can have: its commas and one."""
-    lines = spark.read.options(**options).text(path)
-    found = lines.agg(F.max(F.length("value") - F.length(F.replace("value", F.lit(","), F.lit(""))))).first()[0]
-    return (found or 0) + 1
-
-
-def _cells(spark: SparkSession, path: str, **options) -> DataFrame:
-    """(path, cells): every line of CSV files, header lines included, as an array of cells.
-
-    As wide as the widest line, so no cell is lost; the others end in nulls.
-    """
-    width = _width(spark, path, **options)
-    wide = T.StructType([T.StructField(f"c{i}", T.StringType()) for i in range(width)])
-    names = ", ".join(f"c{i}" for i in range(width))
-    rows = spark.read.option("header", False).options(**options).schema(wide).csv(path)
-    return rows.selectExpr(f"array({names}) AS cells", f"{_PATH} AS path")
-
-
 def _renamed(df: DataFrame) -> DataFrame:
     return df.withColumnsRenamed(m.RENAMED_AT_INGEST)
 
@@ -231,57 +210,33 @@ def label_files(spark: SparkSession, root: str, last_generation: int = m.LAST_GE
     """Dry listing of the label scan: path, folder, generation and keep/drop per file."""
     files = list_files(spark, root, recursive=True)
     parts = F.split(F.col("path"), "/")
-    folder = F.element_at(F.filter(parts, lambda p: p.rlike(FOLDER_PATTERN)), 1)
-    after = F.slice(parts, F.array_position(parts, folder) + 1, F.greatest(
-        F.size(parts) - F.array_position(parts, folder) - 1, F.lit(0)).cast("int"))
-    skipped_folder = F.exists(after, lambda p: F.lower(p).isin(*SKIPPED_FOLDERS))
-    lower = F.lower(F.col("file"))
-    skipped_name = F.lit(False)
-    for prefix in SKIPPED_PREFIXES:
-        skipped_name = skipped_name | lower.startswith(prefix)
-    generation = generation_of(F.col("file"), GENERATION_IN_FILE)
-    keep = (
-        F.col("file").rlike(LABEL_FILE_PATTERN) & ~skipped_name & ~F.coalesce(skipped_folder, F.lit(True))
-        & generation.isNotNull() & (generation <= last_generation)
-    )
+    folder = F.try_element_at(F.filter(parts, lambda p: p.rlike(FOLDER_PATTERN)), F.lit(1))
     return files.select(
-        "path", "file", F.try_element_at(F.filter(parts, lambda p: p.rlike(FOLDER_PATTERN)), F.lit(1)).alias("folder"),
-        generation.alias("generation"),
-        F.coalesce(keep, F.lit(False)).alias("keep"),
+        bare_path(F.col("path")).alias("path"), "file", folder.alias("folder"),
+        generation_of(F.col("file"), GENERATION_IN_FILE).alias("generation"), label_file(parts, folder, last_generation).alias("keep"),
     )
 
 
-def one_file_per(files: DataFrame, keys: list[str], what: str) -> DataFrame:
-    """Fail when a key has more than one candidate file."""
-    counted = files.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"), F.min("path").alias("path"))
-    label = F.concat_ws(" ", F.lit(f"{what}: several candidate files for"), *[F.col(k).cast("string") for k in keys])
-    ok = F.when(F.col("__n") == 1, F.lit(True)).otherwise(F.raise_error(label).cast("boolean"))
-    return counted.filter(ok).drop("__n")
-
-
-def scan_labels(spark: SparkSession, root: str, aliases: list[str] = m.LABEL_COLUMN_ALIASES) -> DataFrame:
+def scan_labels(spark: SparkSession, root: str, aliases: list[str] = m.LABEL_COLUMN_ALIASES, files: DataFrame | None = None) -> DataFrame:
     """folder, chain keys, generation and ``readmission`` of every label file.
 
-    The label may carry any of its known names in any case; files with another
-    spelling in the same scan are matched too.
+    The label may carry any of its known names in any case.  ``files`` (path,
+    folder, generation, header) comes from a ``TreeIndex``; without one the
+    tree is listed and first lines are read.
     """
-    chosen = one_file_per(label_files(spark, root).filter("keep"), ["folder", "generation"], "labels")
-    lines = _cells(spark, root, recursiveFileLookup=True, pathGlobFilter="*.csv").withColumn("path", _bare_path())
-    lines = lines.join(chosen.withColumn("path", _bare_path()), "path")
-    names = F.transform("cells", lambda c: F.lower(F.trim(c)))
-    places = [F.array_position(names, alias) for alias in aliases]
-    place = F.coalesce(*[F.nullif(p, F.lit(0)) for p in places])
-    placed = lines.withColumn("__place", place)
-    # one header line per file; data lines never hold the name of a label column
-    headers = placed.filter(F.col("__place").isNotNull()).select("path", F.col("__place").alias("__at"))
-    rows = placed.filter(F.col("__place").isNull()).join(headers, "path")
-    label = F.try_element_at("cells", F.col("__at").cast("int"))
-    return with_chain_keys(rows.select("folder", "generation", label.alias("readmission")))
+    if files is None:
+        files = reliable(with_header(label_files(spark, root).filter("keep").select("path", "folder", "generation")))
+    chosen = single(files.select("path", "folder", "generation", "header"), ["folder", "generation"], "labels")
 
+    def label(header: list[str]) -> dict[str, str] | None:
+        lower = [c.lower() for c in header]
+        name = next((a for a in aliases if a in lower), None)
+        return None if name is None else {"readmission": header[lower.index(name)]}
 
-def _bare_path() -> Column:
-    """Paths of the two listings written the same way."""
-    return F.regexp_replace(F.col("path"), "^file:/+", "file:/")
+    rows = scan_by_header(chosen, label, ["folder", "generation"])
+    if rows is None:
+        raise ValueError(f"no file below {root} has a label column")
+    return with_chain_keys(rows)
 
 
 def scan_utility(spark: SparkSession, root: str) -> DataFrame:
@@ -300,43 +255,40 @@ def scan_utility(spark: SparkSession, root: str) -> DataFrame:
     return assert_unique(utility_metrics(keyed, keys), keys, "utility documents")
 
 
-def scan_quality(spark: SparkSession, root: str) -> DataFrame:
-    """Per-chain quality tables ``root/*/<chain>/<chain>.csv``, else the only CSV of the folder.
-
-    Each file keeps its own columns: lines are read as arrays of cells and
-    matched through the header line of their file.
-    """
-    glob = f"{root}/*/*/*.csv"
-    files = list_files(spark, glob, 2)
-    direct = F.col("file") == F.concat("folder", F.lit(".csv"))
+def quality_files(files: DataFrame) -> DataFrame:
+    """The quality table of each chain: the one named like it, else the only one."""
+    name = F.element_at(F.split("path", "/"), -1)
     counted = files.groupBy("folder").agg(
-        F.count_if(direct).alias("__direct"), F.count(F.lit(1)).alias("__n"),
-        F.max(F.when(direct, F.col("file"))).alias("__named"), F.min("file").alias("__only"),
-    )
-    choice = (
-        F.when(F.col("__direct") > 0, F.col("__named")).when(F.col("__n") == 1, F.col("__only"))
-        .otherwise(F.raise_error(F.concat(F.col("folder"), F.lit(": several quality tables"))).cast("string"))
-    )
-    chosen = counted.select("folder", choice.alias("file"))
-    parts = F.split(F.col("path"), "/")
-    lines = _cells(spark, glob).select(
-        "cells", F.element_at(parts, -2).alias("folder"), F.element_at(parts, -1).alias("file")
-    ).join(chosen, ["folder", "file"], "left_semi")
-    # the header line is the one naming the generation column
-    named = lines.withColumn("__names", F.filter(F.transform("cells", lambda c: F.trim(c)), lambda c: c.isNotNull()))
-    is_header = F.array_contains("__names", "generation")
-    headers = named.filter(is_header).select("folder", "__names")
-    rows = named.filter(~is_header).drop("__names").join(headers, "folder")
-    values = rows.select("folder", F.map_from_arrays("__names", F.slice("cells", F.lit(1), F.size("__names"))).alias("__v"))
-    keyed = with_chain_keys(values)
-    long = keyed.select(
-        "generator", "dseed", "mseed", F.try_element_at("__v", F.lit("generation")).try_cast("double").cast("int").alias("generation"),
-        F.explode("__v").alias("metric", "text"),
-    )
-    number = finite(F.col("text").try_cast("double"))
-    return long.filter((F.col("metric") != "generation") & number.isNotNull()).select(
-        "generator", "dseed", "mseed", "generation", "metric", number.alias("value")
+        F.count(F.lit(1)).alias("__n"), F.max_by(F.struct("path", "header"), name == F.concat("folder", F.lit(".csv"))).alias("__r"),
+        F.bool_or(name == F.concat("folder", F.lit(".csv"))).alias("__named"),
     )
+    several = F.raise_error(F.concat(F.col("folder"), F.lit(": several quality tables"))).cast("boolean")
+    return counted.filter(F.when(F.col("__named") | (F.col("__n") == 1), F.lit(True)).otherwise(several)).select("folder", "__r.*")
+
+
+def scan_quality(spark: SparkSession, root: str, files: DataFrame | None = None, metrics: list[str] | None = None) -> DataFrame:
+    """Long per-chain quality metrics of ``root/*/<chain>/<chain>.csv``, else of the only CSV of the folder.
+
+    Each file keeps its own columns; with ``metrics`` no others are parsed.
+    ``files`` (path, folder, header) comes from a ``TreeIndex``.
+    """
+    if files is None:
+        files = reliable(with_header(list_files(spark, f"{root}/*/*/*.csv", 2).select(bare_path(F.col("path")).alias("path"), "folder")))
+    chosen = quality_files(files.select("path", "folder", "header"))
+
+    def numbers(header: list[str]) -> dict[str, str] | None:
+        if "generation" not in header:
+            return None
+        return {"__generation": "generation"} | {c: c for c in header if c and c != "generation" and (metrics is None or c in metrics)}
+
+    rows = scan_by_header(chosen, numbers, ["folder"])
+    if rows is None:
+        raise ValueError(f"no quality table below {root} has a generation column")
+    names = [c for c in rows.columns if c not in ("folder", "__generation")]
+    values = [F.struct(F.lit(c).alias("metric"), finite(F.col(f"`{c}`").try_cast("double")).alias("value")) for c in names]
+    keyed = with_chain_keys(rows).withColumn("generation", F.col("__generation").try_cast("double").cast("int"))
+    long = keyed.select("generator", "dseed", "mseed", "generation", F.inline(F.array(*values)))
+    return long.filter(F.col("value").isNotNull())
 
 
 def scan_patches(spark: SparkSession, paths: list[str]) -> DataFrame:

@@ -73,6 +73,22 @@ def _location(spark: SparkSession, path: str):
     return found.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), found
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    store, found = _location(spark, path)
+    return store.exists(found)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file of the driver; it appears under its name when it is whole."""
+    store, final = _location(spark, path)
+    _, beside = _location(spark, f"{path}.part")
+    out = store.create(beside, True)
+    out.write(bytearray(text.encode()))
+    out.close()
+    store.delete(final, False)
+    store.rename(beside, final)
+
+
 def write_upsert(new: DataFrame, path: str, keys: list[str], run_order: str) -> None:
     """Merge ``new`` into the table at ``path``; the latest run wins per key.
 
