@@ -43,9 +43,21 @@ def pooled_metrics(df: DataFrame, keys: list[str], metrics: list[str], only: lis
     return pooled(long, [*keys, "metric"], "value")
 
 
-def numeric_columns(df: DataFrame, keys: list[str]) -> list[str]:
-    kinds = ("double", "float", "int", "bigint", "smallint", "tinyint")
-    return [c for c, kind in df.dtypes if c not in keys and kind in kinds]
+def resolve_panel(available: list[str], wanted: list[tuple[str, str]], ignored: set[str] = frozenset()) -> tuple[list[str], list[str]]:
+    """(metrics of a panel in order, what was asked for and isn't there).
+
+    ``wanted`` lists ("metric", name) and ("prefix", beginning); a prefix gives
+    all its metrics by name, without the ``ignored`` ones, and none comes twice.
+    """
+    chosen: list[str] = []
+    missing: list[str] = []
+    for kind, target in wanted:
+        if kind not in ("metric", "prefix"):
+            raise ValueError(f"unknown kind of panel entry: {kind}")
+        hits = sorted(c for c in available if c not in ignored and (c == target if kind == "metric" else c.startswith(target)))
+        missing += [] if hits else [target]
+        chosen += [c for c in hits if c not in chosen]
+    return chosen, missing
 
 
 def zero_filled_counts(

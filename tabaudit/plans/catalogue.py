@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from tabaudit.plans import chain_queries, record_queries, report_queries, statistic_queries, tree_queries
+from tabaudit.plans import chain_queries, record_queries, report_queries, stage_queries, statistic_queries, tree_queries
 from tabaudit.plans.base import Query
 
 QUERIES: dict[str, Query] = {}
-for _module in (record_queries, chain_queries, statistic_queries, report_queries, tree_queries):
+for _module in (record_queries, chain_queries, statistic_queries, report_queries, stage_queries, tree_queries):
     QUERIES.update(_module.registry.entries)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tabaudit import model as m
 from tabaudit.operators import events, onset, paired, ranking, subsets, survival
 from tabaudit.plans import views as v
 from tabaudit.plans.base import Registry, chi2_tail_sql, long_of, r6, s6
@@ -371,7 +372,24 @@ def logrank(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("group", "subset", r6("statistic"), "df", r6("p"))
 
 
-@query()
+# Newton steps of the one-covariate model, a recursive query over the terms of Efron's likelihood.
+_RISK = "b * exp(beta)"
+COX_SQL = f"""{INTERVALS_SQL},
+event_times AS (SELECT DISTINCT dseed, generator, stop AS t FROM intervals WHERE event = 1),
+cox_sets AS (SELECT dseed, generator, t, count_if(active = 0) AS n0, count_if(active = 1) AS n1, count_if(active = 0 AND event = 1 AND stop = t) AS d0, count_if(active = 1 AND event = 1 AND stop = t) AS d1
+             FROM event_times JOIN intervals USING (dseed, generator) WHERE start < t AND t <= stop GROUP BY ALL),
+cox_terms AS (SELECT n0 - l / (d0 + d1) * d0 AS a, n1 - l / (d0 + d1) * d1 AS b, CASE WHEN l = 0 THEN d1 ELSE 0 END AS o FROM (SELECT *, unnest(range(CAST(d0 + d1 AS BIGINT))) AS l FROM cox_sets) x),
+newton AS (
+  SELECT 0 AS k, 0.0::DOUBLE AS beta
+  UNION ALL SELECT k + 1, any_value(beta) + greatest(-2.0, least(2.0, sum(o - {_RISK} / (a + {_RISK})) / sum({_RISK} / (a + {_RISK}) * a / (a + {_RISK})))) FROM newton, cox_terms WHERE k < 40 GROUP BY k),
+cox_fit AS (SELECT beta, 1 / sqrt(sum({_RISK} / (a + {_RISK}) * a / (a + {_RISK}))) AS se, sum(o * beta - ln(a + {_RISK})) AS loglik, sum(-ln(a + b)) AS null_loglik FROM newton, cox_terms WHERE k = 40 GROUP BY beta),
+cox_facts AS (SELECT count(*) AS n_chains, count_if(time > 0) AS n_chains_in_model, count_if(time > 0 AND event = 1) AS n_events FROM joined)"""
+
+
+@query(f"""WITH RECURSIVE {COX_SQL}
+SELECT 'onset_active' AS covariate, {s6('beta', 'coef')}, {s6('exp(beta)', 'hazard_ratio')}, {s6('se')}, {s6('exp(beta - 1.959963984540054 * se)', 'ci_low')},
+  {s6('exp(beta + 1.959963984540054 * se)', 'ci_high')}, {s6('beta / se', 'z')}, {s6(chi2_tail_sql('(beta / se) * (beta / se)', '1'), 'p')},
+  n_chains, n_chains_in_model, n_events, {s6('null_loglik', 'log_likelihood_null')}, {s6('loglik', 'log_likelihood')}, TRUE AS converged FROM cox_fit, cox_facts""")
 def cox_time_varying(spark: SparkSession, folder: str) -> DataFrame:
     joined = _joined(spark, folder)
     out = survival.cox_time_varying(joined, events.risk_intervals(joined))
@@ -379,7 +397,34 @@ def cox_time_varying(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("covariate", *[r6(c) for c in doubles], "n_chains", "n_chains_in_model", "n_events", "converged")
 
 
-@query()
+# The stratified models: one coefficient per generator but the first, improved in turn by Newton steps.
+_NAMED = list(enumerate(m.BASE_GENERATORS, 1))
+_SUM = " + ".join(f"x{j} * exp(b{j})" for j, _ in _NAMED)
+_STEP = "coalesce(greatest(-2.0, least(2.0, sum(o{j} - x{j} * exp(b{j}) / ({s})) / nullif(sum(x{j} * exp(b{j}) / ({s}) * (1 - x{j} * exp(b{j}) / ({s}))), 0))), 0)"
+_STEPS = 240
+STRATIFIED_SQL = f"""{LOGRANK_SQL},
+status AS (SELECT "group", subset, generator, count(*) = count_if(event = 1) AS always FROM used GROUP BY ALL),
+models AS (
+  SELECT "group", subset, 'Stratified Cox LRT (all generators)' AS test, list(generator ORDER BY generator) AS live FROM status GROUP BY "group", subset
+  UNION ALL SELECT "group", subset, 'Stratified Cox LRT (excluding ' || string_agg(generator, ', ' ORDER BY generator) FILTER (always) || ')', list(generator ORDER BY generator) FILTER (NOT always)
+  FROM status GROUP BY "group", subset HAVING count_if(always) > 0 AND count_if(NOT always) >= 2),
+pair_times AS (SELECT DISTINCT "group", subset, dseed, mseed, time AS t FROM used WHERE event = 1),
+pair_sets AS (SELECT "group", subset, test, live, dseed, mseed, t, {', '.join(f"count_if(generator = '{g}' AND time >= t AND list_contains(live, '{g}')) AS n{j}, count_if(generator = '{g}' AND time = t AND event = 1 AND list_contains(live, '{g}')) AS d{j}" for j, g in _NAMED)}
+              FROM models JOIN pair_times USING ("group", subset) JOIN used USING ("group", subset, dseed, mseed) GROUP BY ALL),
+pair_terms AS (SELECT "group", subset, test, {', '.join(f"n{j} - l / d * d{j} AS x{j}, CASE WHEN l = 0 THEN d{j} ELSE 0 END AS o{j}" for j, _ in _NAMED)},
+               {', '.join(f"list_contains(live, '{g}') AND live[1] <> '{g}' AS free{j}" for j, g in _NAMED)}
+               FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS l FROM (SELECT *, d1 + d2 + d3 + d4 AS d FROM pair_sets) y) z),
+newton AS (
+  SELECT 0 AS k, "group", subset, test, {', '.join(f'0.0::DOUBLE AS b{j}' for j, _ in _NAMED)} FROM models
+  UNION ALL SELECT k + 1, "group", subset, test, {', '.join(f"b{j} + CASE WHEN k % 4 = {j - 1} AND bool_or(free{j}) THEN {_STEP.format(j=j, s=_SUM)} ELSE 0 END" for j, _ in _NAMED)}
+  FROM newton JOIN pair_terms USING ("group", subset, test) WHERE k < {_STEPS} GROUP BY k, "group", subset, test, b1, b2, b3, b4),
+pair_fit AS (SELECT "group", subset, test, 2 * (sum({' + '.join(f'o{j} * b{j}' for j, _ in _NAMED)} - ln({_SUM})) - sum(-ln({' + '.join(f'x{j}' for j, _ in _NAMED)}))) AS statistic, max(greatest(abs(b1), abs(b2), abs(b3), abs(b4))) <= 25 AS converged
+             FROM newton JOIN pair_terms USING ("group", subset, test) WHERE k = {_STEPS} GROUP BY "group", subset, test),
+stratified AS (SELECT "group", subset, test, array_to_string(live, ' vs ') AS comparison, coalesce(statistic, 0) AS statistic, len(live) - 1 AS df, coalesce(converged, FALSE) AS converged FROM models LEFT JOIN pair_fit USING ("group", subset, test))"""
+
+
+@query(f"""WITH RECURSIVE {STRATIFIED_SQL}
+SELECT "group", subset, test, comparison, {s6('statistic')}, CAST(df AS BIGINT) AS df, converged, {s6(chi2_tail_sql('statistic', 'df'), 'p')} FROM stratified""")
 def cox_stratified(spark: SparkSession, folder: str) -> DataFrame:
     out = survival.cox_stratified(_events(spark, folder))
     return out.select("group", "subset", "test", "comparison", r6("statistic"), "df", "converged", r6("p"))

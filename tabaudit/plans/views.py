@@ -103,13 +103,20 @@ _FEATURES = {
 }
 
 
-def records(spark: SparkSession, folder: str, role: str | None = None, ids: bool = False) -> DataFrame:
+# Folded inputs: few distinct records, of which the population knows two thirds of the prices' range,
+# so that novelty over all features is partial at any scale factor.
+_FOLDED = {"o": "o % 3", "p": "p % 3", "q": "q % 2", "c": "c % CASE role WHEN 'population' THEN 40 ELSE 60 END"}
+
+
+def records(spark: SparkSession, folder: str, role: str | None = None, ids: bool = False, folded: bool = False) -> DataFrame:
     rows = _keyed_lines(spark, folder, [], ids).selectExpr(
         *FILE, "base_generator", "variant", "role", "ID", "l_orderkey AS o", "l_partkey AS p", "l_suppkey AS s",
         "CAST(l_quantity AS BIGINT) AS q", "CAST(round(l_extendedprice * 100) AS BIGINT) AS c",
     )
     if role:
         rows = rows.filter(F.col("role") == role)
+    if folded:
+        rows = rows.withColumns({n: F.expr(e) for n, e in _FOLDED.items()})
     return rows.selectExpr(
         *FILE, "base_generator", "variant", "role", "ID", *[f"{e} AS {n}" for n, e in _FEATURES.items()]
     )
@@ -128,6 +135,10 @@ records AS (SELECT {_GENERATOR_SQL}, base_generator, variant, dseed, mseed, gene
   {_FEATURES_SQL}
   FROM lines),
 synthetic AS (SELECT * FROM records WHERE role = 'synthetic')"""
+_ID_SQL = "row_number() OVER (PARTITION BY base_generator, variant, dseed, mseed, generation ORDER BY o, p, s, c, q, disc, tax) AS ID"
+FOLDED_SQL = RECORDS_SQL.replace(f"{_ID_SQL},", "ID,").replace("FROM lines)", "FROM folded)").replace(
+    "records AS (", f"numbered AS (SELECT *, {_ID_SQL} FROM lines),\nfolded AS (SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in _FOLDED.items())}) FROM numbered),\nrecords AS (", 1
+)
 
 
 # A chain's label is rarer with every generation, at a pace of its own (some keep it), and its signal fades

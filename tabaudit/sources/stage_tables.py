@@ -131,7 +131,7 @@ class StageStore:
             dealt.bucketBy(contract.buckets, *contract.bucket_by).sortBy(*contract.bucket_by).option("path", path).format("parquet").saveAsTable(table)
         else:
             writer.parquet(path)
-        manifest = {"version": version, "columns": contract.columns, "files": self._files(contract, path)}
+        manifest = {"version": version, "columns": contract.columns, "files": self._files(contract, path), "values": self._values(contract, path)}
         if check_keys and contract.keys:
             self._check_keys(contract, path)
         write_text(self.spark, self._manifest_path(name), json.dumps(manifest))
@@ -146,6 +146,17 @@ class StageStore:
         found = rows.groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("rows"), *bounds).collect()
         return [{"path": r["path"], "rows": r["rows"]} | {c: [r[f"low_{i}"], r[f"high_{i}"]] for i, c in enumerate(contract.cluster_by)} for r in found]
 
+    def _values(self, contract: Contract, path: str) -> list:
+        """Values of the first partition column: one per folder."""
+        if not contract.partition_by:
+            return []
+        rows = self.spark.read.schema(contract.schema).parquet(path).select(contract.partition_by[0])
+        return sorted(r[0] for r in rows.distinct().collect() if r[0] is not None)
+
+    def values(self, name: str) -> list:
+        """What ``family`` can be asked for."""
+        return self.manifest(name)["values"]
+
     def _check_keys(self, contract: Contract, path: str) -> None:
         rows = self.spark.read.schema(contract.schema).parquet(path)
         twice = rows.groupBy(*contract.keys).agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").first()
