@@ -7,12 +7,12 @@ from pyspark.sql import functions as F
 
 from tabaudit import model as m
 from tabaudit.operators import distributions as di
-from tabaudit.operators import events, novelty, onset, overlap, paired, pooling, ranking, rules
+from tabaudit.operators import events, novelty, overlap, paired, pooling, ranking, rules, survival
 from tabaudit.plans import record_queries as rq
 from tabaudit.plans import tables
 from tabaudit.plans import statistic_queries as tq
 from tabaudit.plans import views as v
-from tabaudit.plans.base import Registry, T_CTE, long_of, r6, s6
+from tabaudit.plans.base import Registry, T_CTE, chi2_tail_sql, long_of, r6, s6
 from tabaudit.sources.sinks import reliable
 
 registry = Registry()
@@ -297,7 +297,17 @@ def flag_rate_table(spark: SparkSession, folder: str) -> DataFrame:
 
 
 # --------------------------------------------------------------- claim tables
-@query()
+def _text_sql(value: str, *instead: tuple[str, str]) -> str:
+    cases = " ".join(f"WHEN {when} THEN '{text}'" for when, text in instead)
+    return f"CASE {cases} ELSE printf('%.6f', {value}) END"
+
+
+_FEW, _FLAT, _SAME = ("n_pairs < 2", tables.NO_PAIR), ("tau IS NULL", tables.NO_VARIANCE), ("w IS NULL", tables.ZERO_OFFSET)
+
+
+@query(f"""WITH RECURSIVE {tq.TIMING_P_SQL}
+SELECT metric, subset AS "Subset", n_pairs AS "N chains", {_text_sql('tau', _FEW, _FLAT)} AS "Kendall's tau", {_text_sql('tau_p', _FEW, _FLAT)} AS "Kendall's tau p-value",
+  {_text_sql('w', _FEW, _SAME)} AS "Wilcoxon statistic", {_text_sql('wilcoxon_p', _FEW, _SAME)} AS "Wilcoxon p-value", {_text_sql('med', _FEW)} AS "Median offset (generations)" FROM tested""")
 def table_of_timing(spark: SparkSession, folder: str) -> DataFrame:
     """Paired timing with reader-facing placeholders."""
     chains = paired.onset_failure_chains(tq._joined(spark, folder), {"metric": F.lit("flag_rate")})
@@ -312,10 +322,39 @@ def table_of_concordance(spark: SparkSession, folder: str) -> DataFrame:
     return tables.group_labels(w).select("Group", F.col("subset").alias("Subset"), "n_seed_pairs", r6("w", "kendalls_w"))
 
 
-@query()
-def table_of_survival(spark: SparkSession, folder: str) -> DataFrame:
-    from tabaudit.operators import survival
+_GROUP_SQL = "CASE \"group\" WHEN 'base' THEN 'Full dataset' ELSE 'Full dataset, excluding RTVAE' END AS \"Group\""
+
+
+@query(f"""WITH {tq.W_SQL}, {T_CTE},
+tested AS (SELECT "group", subset, coalesce(m, 0) AS pairs, n, w, m * (n - 1) * w AS chi2, {chi2_tail_sql('m * (n - 1) * w', 'n - 1')} AS p FROM labelled LEFT JOIN w_of USING ("group", subset))
+SELECT {_GROUP_SQL}, subset AS "Subset", {_text_sql('w', ('w IS NULL', tables.NO_RANKING))} AS "Kendall's W", pairs AS "N seed-pairs", CAST(n AS BIGINT) AS "N generators",
+  {_text_sql('chi2', ('w IS NULL', tables.NO_RANKING))} AS "Chi-square statistic", CAST(n - 1 AS BIGINT) AS "Degrees of freedom", {_text_sql('p', ('w IS NULL', tables.NO_RANKING))} AS "p-value" FROM tested""")
+def table_of_concordance_whole(spark: SparkSession, folder: str) -> DataFrame:
+    """Every column of the concordance table, undefined values explained."""
+    return tables.concordance_table(ranking.kendalls_w(ranking.rank_rows(tq._events(spark, folder))))
 
+
+@query(f"""WITH RECURSIVE {tq.COX_SQL}
+SELECT 'onset_active' AS "Covariate", {s6('exp(beta)', '"Hazard ratio"')}, {s6('exp(beta - 1.959963984540054 * se)', '"95% CI (lower)"')}, {s6('exp(beta + 1.959963984540054 * se)', '"95% CI (upper)"')},
+  {s6(chi2_tail_sql('(beta / se) * (beta / se)', '1'), '"p-value"')}, n_chains_in_model || ' of ' || n_chains AS "Chains in model",
+  CASE WHEN n_chains > n_chains_in_model THEN (n_chains - n_chains_in_model) || ' chain(s) excluded (failure observed at generation 0 leaves no risk interval to model)' ELSE 'none excluded' END AS "Exclusion note",
+  'Data seed and generator' AS "Stratification" FROM cox_fit, cox_facts""")
+def table_of_hazard(spark: SparkSession, folder: str) -> DataFrame:
+    """The hazard ratio as it is printed."""
+    joined = tq._joined(spark, folder)
+    table = tables.cox_table(survival.cox_time_varying(joined, events.risk_intervals(joined)))
+    return table.select("Covariate", *[r6(f"`{c}`", c) for c in ("Hazard ratio", "95% CI (lower)", "95% CI (upper)", "p-value")], "Chains in model", "Exclusion note", "Stratification")
+
+
+def _sql_of(name: str) -> str:
+    return tq.registry.entries[name].sql
+
+
+@query(f"""SELECT {_GROUP_SQL}, subset AS "Subset", test, comparison, statistic, df, p, p_holm FROM (
+  SELECT "group", subset, 'Omnibus log-rank' AS test, CASE "group" WHEN 'base' THEN 'ARF vs CTGAN vs DDPM vs RTVAE' ELSE 'ARF vs CTGAN vs DDPM' END AS comparison, statistic, df, p, CAST(NULL AS DOUBLE) AS p_holm FROM ({_sql_of('logrank')}) a
+  UNION ALL SELECT "group", subset, 'Pairwise log-rank', comparison, statistic, df, p, p_holm FROM ({_sql_of('holm_pairwise')}) b
+  UNION ALL SELECT "group", subset, test, comparison, statistic, df, p, NULL FROM ({_sql_of('cox_stratified')}) c) every""")
+def table_of_survival(spark: SparkSession, folder: str) -> DataFrame:
     return tables.group_labels(survival.survival_comparison(tq._events(spark, folder))).select(
         "Group", F.col("subset").alias("Subset"), "test", "comparison", r6("statistic"), "df", r6("p"), r6("p_holm")
     )

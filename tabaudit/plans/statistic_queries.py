@@ -239,12 +239,68 @@ def paired_timing_by_generator(spark: SparkSession, folder: str) -> DataFrame:
     return _timing_out(out.filter(F.col("subset") == subsets.FULL), ["qa_metric", "generator"])
 
 
-@query()
+# The exact null distributions by their recurrences: shares of permutations by inversions, of sign patterns by rank sum.
+EXACT_SQL = """
+inversions AS (SELECT 1 AS size, [1.0::DOUBLE] AS share UNION ALL
+  SELECT size + 1, list_transform(range(size * (size + 1) // 2 + 1), lambda i: coalesce(list_sum(share[greatest(1, i - size + 1):i + 1]), 0) / (size + 1)) FROM inversions WHERE size < 33),
+rank_sums AS (SELECT 0 AS size, [1.0::DOUBLE] AS share UNION ALL
+  SELECT size + 1, list_transform(range((size + 1) * (size + 2) // 2 + 1), lambda i: (coalesce(share[i + 1], 0) + CASE WHEN i > size THEN coalesce(share[i - size], 0) ELSE 0 END) / 2) FROM rank_sums WHERE size < 50)"""
+
+
+def _tested_sql(keys: str) -> str:
+    """CTEs up to ``tested``: statistics, p values and how they were found, per key and subset."""
+    counts = _timing_sql(keys, "")
+    whole = counts[: counts.rindex("\nSELECT")]
+
+    def ties(side: str) -> str:
+        return f"""{side}_ties AS (SELECT {keys}, subset, sum(t * (t - 1) / 2) AS {side}0, sum(t * (t - 1) * (t - 2)) AS {side}1, sum(t * (t - 1) * (2 * t + 5)) AS {side}2
+  FROM (SELECT {keys}, subset, {side}, count(*) AS t FROM rows_of GROUP BY ALL) g GROUP BY {keys}, subset)"""
+
+    pairs = "(n * (n - 1.0))"
+    variance = f"(({pairs} * (2 * n + 5) - x2 - y2) / 18 + 2 * x0 * y0 / {pairs} + coalesce(x1 * y1 / nullif(9 * {pairs} * (n - 2), 0), 0))"
+    return f"""{whole},
+{ties('x')}, {ties('y')},
+zero_free AS (SELECT {keys}, subset, sum(t) AS nz, sum(t * t * t - t) AS tie FROM (SELECT {keys}, subset, abs(y - x) AS a, count(*) AS t FROM rows_of WHERE y <> x GROUP BY ALL) g GROUP BY {keys}, subset),
+scored AS (SELECT {keys}, subset, coalesce(n, 0) AS n_pairs, n, med, CASE WHEN n >= 2 THEN discordant END AS dis, CASE WHEN n >= 2 THEN (concordant - discordant) / nullif(sqrt(ux) * sqrt(uy), 0) END AS tau,
+    CASE WHEN n >= 2 AND ux > 0 AND uy > 0 THEN (concordant - discordant) / sqrt({variance}) END AS tau_z, x0 = 0 AND y0 = 0 AND n <= 33 AS tau_exact,
+    CASE WHEN n >= 2 THEN least(w_plus, w_minus) END AS w, nz, coalesce(tie = 0 AND nz = n AND nz <= 50, FALSE) AS w_exact,
+    CASE WHEN n >= 2 THEN (least(w_plus, w_minus) - nz * (nz + 1) / 4.0) / nullif(sqrt(nz * (nz + 1) * (2 * nz + 1) / 24.0 - tie / 48.0), 0) END AS w_z
+  FROM labelled LEFT JOIN middle USING ({keys}, subset) LEFT JOIN tau USING ({keys}, subset) LEFT JOIN signed USING ({keys}, subset)
+  LEFT JOIN x_ties USING ({keys}, subset) LEFT JOIN y_ties USING ({keys}, subset) LEFT JOIN zero_free USING ({keys}, subset)),
+tested AS (SELECT s.*,
+    CASE WHEN tau_z IS NULL THEN NULL WHEN tau_exact THEN CASE WHEN 4 * dis = n * (n - 1) THEN 1.0 ELSE least(1.0, 2 * list_sum(i.share[1:CAST(least(dis, n * (n - 1) // 2 - dis) AS BIGINT) + 1])) END ELSE {chi2_tail_sql('tau_z * tau_z', '1')} END AS tau_p,
+    CASE WHEN tau_z IS NOT NULL THEN CASE WHEN tau_exact THEN 'exact' ELSE 'normal' END END AS tau_p_method,
+    CASE WHEN w_z IS NULL THEN NULL WHEN w_exact THEN least(1.0, 2 * list_sum(r.share[1:CAST(w AS BIGINT) + 1])) ELSE {chi2_tail_sql('w_z * w_z', '1')} END AS wilcoxon_p,
+    CASE WHEN w_z IS NOT NULL THEN CASE WHEN w_exact THEN 'exact' ELSE 'normal' END END AS wilcoxon_p_method
+  FROM scored s LEFT JOIN inversions i ON i.size = s.n LEFT JOIN rank_sums r ON r.size = s.nz)"""
+
+
+_FAILURE_PAIRS = f"""{JOINED_SQL}, universe AS (SELECT 'flag_rate' AS metric, dseed, mseed FROM joined), {_subset_sql('universe', 'metric')},
+pairs AS (SELECT 'flag_rate' AS metric, dseed, mseed, onset_generation AS x, time AS y FROM joined WHERE event = 1 AND crossed)"""
+_TESTED = f"{s6('tau')}, {s6('tau_p')}, tau_p_method, {s6('w', 'wilcoxon_stat')}, {s6('wilcoxon_p')}, wilcoxon_p_method"
+TIMING_P_SQL = f"{_FAILURE_PAIRS}, {EXACT_SQL.lstrip()}, {_tested_sql('metric')}"
+
+
+def _tested_out(df: DataFrame, keys: list[str]) -> DataFrame:
+    return df.select(*keys, "subset", "n_pairs", r6("tau"), r6("tau_p"), "tau_p_method", r6("wilcoxon_stat"), r6("wilcoxon_p"), "wilcoxon_p_method")
+
+
+@query(f"WITH RECURSIVE {TIMING_P_SQL} SELECT metric, subset, n_pairs, {_TESTED} FROM tested")
 def paired_timing_p_values(spark: SparkSession, folder: str) -> DataFrame:
     """Test table with p values, exact for small samples without ties."""
     chains = paired.onset_failure_chains(_joined(spark, folder), {"metric": F.lit("flag_rate")})
-    out = paired.paired_timing(chains, ["metric"])
-    return out.select("metric", "subset", "n_pairs", r6("tau"), r6("tau_p"), "tau_p_method", r6("wilcoxon_stat"), r6("wilcoxon_p"), "wilcoxon_p_method")
+    return _tested_out(paired.paired_timing(chains, ["metric"]), ["metric"])
+
+
+_SMALL_PAIRS = _METRIC_PAIRS.replace("metric AS qa_metric", "metric || ' of data seed ' || dseed AS qa_metric")
+
+
+@query(f"WITH RECURSIVE {INCLINE_SQL}, {_SMALL_PAIRS}, {_subset_sql('universe', 'qa_metric, generator')}, {EXACT_SQL.lstrip()}, {_tested_sql('qa_metric, generator')} SELECT qa_metric, generator, subset, n_pairs, {_TESTED} FROM tested")
+def paired_timing_few_chains(spark: SparkSession, folder: str) -> DataFrame:
+    """Tests on the five chains of a generator and data seed, where exact distributions apply."""
+    chains = paired.onset_onset_chains(_onsets(spark, folder), "flag_rate", ["positive_share", "auroc_like"], by_generator=True)
+    named = chains.withColumn("qa_metric", F.concat("qa_metric", F.lit(" of data seed "), F.col("dseed").cast("string")))
+    return _tested_out(paired.paired_timing(named, ["qa_metric", "generator"]), ["qa_metric", "generator"])
 
 
 # ------------------------------------------------------------------ ranking
