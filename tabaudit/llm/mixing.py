@@ -24,6 +24,8 @@ from tabaudit.llm.ranking import with_global_rank
 WEIGHTS = (1, 2, 3)
 MOST = 3
 SEED = "mix-1"
+#: Bytes of the sources up to which their targets are broadcast.
+BROADCAST_BYTES = 32 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -90,6 +92,9 @@ def mix(docs: DataFrame, id_column: str = "doc_id", text_column: str = "text", s
     sized = docs.withColumn(names["size"], words_of(col(text_column)))
     sizes = sized.groupBy(col(source_column).alias("source")).agg(F.sum(col(names["size"])).alias("source_size"))
     targets = source_targets(sizes, weights, most).select(F.col("source").alias(key), F.col("source_size").alias(names["source_size"]), F.col("target").alias(names["target"]))
+    # few sources are sent to all tasks, so that texts stay where they are; their bytes are counted first
+    held = targets.agg(F.sum(F.coalesce(F.octet_length(col(key).cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    targets = F.broadcast(targets) if held <= BROADCAST_BYTES else targets
     joined = sized.join(targets, col(source_column).eqNullSafe(col(key)), "left").drop(key)
     rate = F.when(col(names["source_size"]) > 0, col(names["target"]) / col(names["source_size"])).otherwise(F.lit(0.0))
     copies = F.floor(rate) + (drawn(col(id_column), seed) < rate - F.floor(rate)).cast("long")
