@@ -19,6 +19,8 @@ other columns are ignored.
 
 from __future__ import annotations
 
+import json
+import sys
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -35,22 +37,30 @@ from pyspark.sql import functions as F
 
 from tabaudit.llm.common import col, open_store, publish, shared_folder, slices
 
-#: Bounded memory of the encoder: words that are remembered, and bytes of text per call.
-REMEMBERED = 900_000
-SLICE_BYTES = 6 << 20
+#: Bounded memory of the encoder: bytes of what it remembers, bytes of a word worth remembering, and bytes of text per call.
+MEMO_BYTES = 48 << 20
+LONGEST_WORD = 256
+SLICE_BYTES = 2 << 20
+#: Bytes of a remembered word beside its characters and ids: places in the dictionary and the arrays.
+_ENTRY = 120
 MANIFEST = "part int, n_documents long, n_tokens long, width int"
 _DOCUMENT = np.dtype([("id", "<i8"), ("known", "u1")])
+
+
 class PieceEncoder:
     """Encodes with a byte-level BPE of the tokenizers library, distinct words once.
 
     A border always lies before a blank or line feed that stands between two
     printing characters, and no merge crosses it; so a text of such words has
     the ids of its words, and words repeat. A text with any other white space,
-    with control characters or with a special token is encoded whole.
+    with control characters, with a very long word or with a special token is
+    encoded whole; so is every text if the file describes another tokenizer.
 
     Words are remembered as they follow a blank, with their line feed, or with
     a zero character where they begin the text; ``pool`` holds their ids one
-    after the other, ``at`` where each begins.
+    after the other, ``at`` where each begins, ``uses`` how often each was met.
+    Where all that takes more than ``MEMO_BYTES``, the words used most stay, in
+    half of it.
     """
 
     def __init__(self, path: str, width: int) -> None:
@@ -58,6 +68,13 @@ class PieceEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.kind = f"<u{width}"
+        described = json.loads(self.tokenizer.to_str())
+        splitter = described.get("pre_tokenizer") or {}
+        #: Whether borders lie before single blanks, as the encoder needs.
+        self.pieces = (
+            described["model"].get("type") == "BPE" and not described.get("normalizer") and splitter.get("type") == "ByteLevel"
+            and splitter.get("use_regex") is True and splitter.get("add_prefix_space") is False and not described["model"].get("dropout")
+        )
         self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         tokens = self.tokenizer.get_vocab()
         #: Bytes of each token: a character of its byte alphabet stands for one.
@@ -69,6 +86,20 @@ class PieceEncoder:
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.pool, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
+        self.uses, self.sizes, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+
+    def _keep_most_used(self, limit: int) -> None:
+        """Forget all words but those used most, as many as ``limit`` bytes hold; what is kept ages."""
+        by_use = np.argsort(-self.uses, kind="stable")
+        kept = np.sort(by_use[np.cumsum(self.sizes[by_use].astype(np.int64)) <= limit])
+        words = list(self.known)
+        self.known = {words[k]: i for i, k in enumerate(kept.tolist())}
+        n = np.diff(self.at)[kept]
+        ends = np.cumsum(n)
+        self.pool = self.pool[np.repeat(self.at[kept] - ends + n, n) + np.arange(n.sum())]
+        self.at = np.r_[0, ends]
+        self.uses, self.sizes = self.uses[kept] // 2, self.sizes[kept]
+        self.size = int(self.sizes.sum())
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
@@ -90,32 +121,47 @@ class PieceEncoder:
             ends.append(marks + held)
             held += len(ids)
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        first_new = len(self.at) - 1
         self.pool, self.at = np.concatenate(pools), np.concatenate(ends)
+        sizes = np.array([sys.getsizeof(w) for w in words], np.int32) + np.diff(self.at[first_new:]).astype(np.int32) * self.pool.itemsize + _ENTRY
+        self.uses, self.sizes = np.r_[self.uses, np.zeros(len(words), np.int32)], np.r_[self.sizes, sizes]
+        self.size += int(sizes.sum())
 
     def _places(self, words: list[str]) -> np.ndarray:
         """The number of each distinct word, learned where it is new."""
+        if self.size > MEMO_BYTES:
+            self._keep_most_used(MEMO_BYTES // 2)
         found = list(map(self.known.get, words))
         missing = [w for w, f in zip(words, found) if f is None]
-        if missing and len(self.known) + len(missing) > REMEMBERED:
-            self._forget()
-            missing = words
         if missing:
             self._learn(missing)
-            found = list(map(self.known.get, words)) if missing is words else [self.known[w] if f is None else f for w, f in zip(words, found)]
+            found = [self.known[w] if f is None else f for w, f in zip(words, found)]
         return np.array(found, np.int64)
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and how many each has."""
         texts = pc.fill_null(texts, "")
+        if not self.pieces:
+            coded = [self.whole(t) for t in texts.to_pylist()]
+            return np.concatenate([np.zeros(0, self.kind), *coded]), np.array([len(c) for c in coded], np.int64)
         flat = pc.replace_substring(texts, "\n", " ")
         plain = pc.and_(pc.utf8_is_printable(flat), pc.invert(pc.match_substring(flat, "  ")))
         for test in (pc.equal(flat, ""), pc.starts_with(flat, " "), pc.ends_with(flat, " "), *(pc.match_substring(flat, t) for t in self.special)):
             plain = pc.and_not(plain, test)
-        words = pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\0", texts.filter(plain), ""), "\n", " \n"), " ")
+        split = lambda plain: pc.split_pattern(pc.replace_substring(pc.binary_join_element_wise("\0", texts.filter(plain), ""), "\n", " \n"), " ")
+        words = split(plain)
+        long = pc.greater(pc.binary_length(words.flatten()), LONGEST_WORD).to_numpy(zero_copy_only=False)
+        if long.any():
+            sizes = np.diff(words.offsets.to_numpy())
+            held = plain.to_numpy(zero_copy_only=False).copy()
+            held[np.flatnonzero(held)[np.repeat(np.arange(len(sizes)), sizes)[long]]] = False
+            plain = pa.array(held)
+            words = split(plain)
         coded = words.flatten().dictionary_encode()
         places = self._places(coded.dictionary.to_pylist())
         sizes = np.diff(self.at)[places]
         which = coded.indices.to_numpy(zero_copy_only=False)
+        self.uses[places] += np.bincount(which, minlength=len(places)).astype(np.int32)
         n = sizes[which]
         ends = np.cumsum(n)
         ids = self.pool[np.repeat(self.at[places][which] - ends + n, n) + np.arange(ends[-1] if len(ends) else 0)]
