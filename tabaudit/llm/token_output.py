@@ -38,9 +38,11 @@ from pyspark.sql import functions as F
 from tabaudit.llm.common import col, open_store, publish, shared_folder, slices
 
 #: Bounded memory of the encoder: bytes of what it remembers, bytes of a word worth remembering, and bytes of text per call.
-MEMO_BYTES = 48 << 20
+MEMO_BYTES = 64 << 20
+#: Share of the memory that words keep when some are forgotten.
+KEPT = 0.6
 LONGEST_WORD = 256
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 4 << 20
 #: Bytes of a remembered word beside its characters and ids: places in the dictionary and the arrays.
 _ENTRY = 120
 MANIFEST = "part int, n_documents long, n_tokens long, width int"
@@ -60,7 +62,7 @@ class PieceEncoder:
     a zero character where they begin the text; ``pool`` holds their ids one
     after the other, ``at`` where each begins, ``uses`` how often each was met.
     Where all that takes more than ``MEMO_BYTES``, the words used most stay, in
-    half of it.
+    the share ``KEPT`` of it.
     """
 
     def __init__(self, path: str, width: int) -> None:
@@ -130,7 +132,7 @@ class PieceEncoder:
     def _places(self, words: list[str]) -> np.ndarray:
         """The number of each distinct word, learned where it is new."""
         if self.size > MEMO_BYTES:
-            self._keep_most_used(MEMO_BYTES // 2)
+            self._keep_most_used(int(MEMO_BYTES * KEPT))
         found = list(map(self.known.get, words))
         missing = [w for w, f in zip(words, found) if f is None]
         if missing:

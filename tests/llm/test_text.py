@@ -175,7 +175,7 @@ def test_token_files_defined_cases(spark):
 def test_encoder_equals_the_library(monkeypatch):
     import pyarrow as pa
 
-    monkeypatch.setattr(token_output, "REMEMBERED", 30)  # it forgets again and again
+    monkeypatch.setattr(token_output, "MEMO_BYTES", 6000)  # it forgets again and again
     random.seed(6)
     parts = [" ", "  ", "\n", "\t", "a", "Word", "it's", "'ll", "12", "ß", "日本", "é", ",", "$$", " x", "　", "\x1c", " ", "<|endoftext|>", "foo"]
     texts = [t or "" for *_, t in [(0, r[1]) for r in ROWS]] + ["".join(random.choices(parts, k=random.randrange(0, 12))) for _ in range(800)]
@@ -188,6 +188,36 @@ def test_encoder_equals_the_library(monkeypatch):
             assert found.tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
 
 
+def test_encoder_memory_is_bounded_by_bytes(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_output, "MEMO_BYTES", 1 << 20)
+    encoder = token_output.PieceEncoder(queries.tokenizer_path(), 2)
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    rng = random.Random(8)
+    often = " ".join(f"often{i}" for i in range(300))
+    for k in range(60):
+        texts = [often, " ".join("".join(rng.choices("abcdefghij", k=200)) for _ in range(200)), "x" * (500 + k), "the " + "y" * 300 + " end"]
+        ids, counts = encoder.encode(pa.array(texts))
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+        # a slice may come on top
+        assert encoder.size <= (1 << 20) + 200 * 800
+        assert max(map(len, encoder.known)) <= token_output.LONGEST_WORD
+    assert all(f"often{i}" in encoder.known for i in range(1, 300))
+
+
+def test_encoder_of_another_tokenizer_takes_texts_whole():
+    import public_tokenizers
+    import pyarrow as pa
+
+    path = public_tokenizers.path("word_bpe_49k.json")
+    encoder, tokenizer = token_output.PieceEncoder(path, 4), Tokenizer.from_file(path)
+    assert not encoder.pieces
+    texts = ["Some words, and Others.", "", None, "ß x"]
+    ids, counts = encoder.encode(pa.array(texts))
+    assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+
+
 def test_quality_on_rows_that_it_did_not_learn_from(spark):
     folder = "/root/testdata/sf0.1"
     docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
