@@ -432,13 +432,13 @@ def tidy_metrics(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*v.CHAIN, "chain", long_of("generation"), "metric", r6("value"))
 
 
-@query(f"""WITH {v.TRAJECTORY_SQL},
-q AS (SELECT generator, generation, avg(flag_rate) AS mean FROM trajectory WHERE generation < 15 GROUP BY ALL),
-u AS (SELECT generator, generation, avg(auroc_like) AS mean FROM trajectory WHERE generation >= 5 GROUP BY ALL)
+@query(f"""WITH {v.TRAJECTORY_SQL}, {v.RECORDS_SQL},
+q AS (SELECT generator, generation, avg(CAST(age AS DOUBLE)) AS mean FROM synthetic GROUP BY ALL),
+u AS (SELECT generator, generation, avg(auroc_like) AS mean FROM trajectory GROUP BY ALL)
 SELECT generator, CAST(generation AS BIGINT) AS generation, {s6('q.mean', 'mean')}, {s6('u.mean', 'mean_tstr_dup')} FROM q FULL JOIN u USING (generator, generation)""")
 def quality_utility_merge(spark: SparkSession, folder: str) -> DataFrame:
-    wide = v.trajectory(spark, folder)
-    quality = wide.filter("generation < 15").groupBy("generator", "generation").agg(F.avg("flag_rate").alias("mean"))
-    other = wide.filter("generation >= 5").groupBy("generator", "generation").agg(F.avg("auroc_like").alias("mean"))
+    """A metric of the records beside the utility of the trajectories; each has generators and generations of its own."""
+    quality = v.records(spark, folder, "synthetic").groupBy("generator", "generation").agg(F.avg(F.col("age").cast("double")).alias("mean"))
+    other = v.trajectory(spark, folder).groupBy("generator", "generation").agg(F.avg("auroc_like").alias("mean"))
     out = utility.merge_quality_and_utility(quality, other, ["generator", "generation"])
     return out.select("generator", long_of("generation"), r6("mean"), r6("mean_tstr_dup"))

@@ -329,8 +329,8 @@ RULE_PREDICATES = {
 _BUCKET = {r.name: r.bucket for r in rules.RULES}
 
 
-def _tag_list(bucket: str, names: list[str] | None = None) -> str:
-    picked = [n for n in RULE_PREDICATES if _BUCKET[n] == bucket and (names is None or n in names)]
+def _tag_list(bucket: str) -> str:
+    picked = [n for n in RULE_PREDICATES if _BUCKET[n] == bucket]
     cases = ", ".join(f"CASE WHEN {RULE_PREDICATES[n]} THEN '{n}' END" for n in picked)
     return f"list_filter([{cases}], lambda x: x IS NOT NULL)" if picked else "CAST([] AS VARCHAR[])"
 
@@ -347,8 +347,8 @@ file_rates AS (SELECT {KEY_SQL}, count(*) AS n_rows, count_if(impossible) AS n_i
                FROM flagged GROUP BY ALL)"""
 
 
-def masked_records(spark: SparkSession, folder: str, ids: bool = False) -> DataFrame:
-    return rules.apply_rules(v.records(spark, folder, "synthetic", ids))
+def masked_records(spark: SparkSession, folder: str, ids: bool = False, inputs: dict[str, str] | None = None) -> DataFrame:
+    return rules.apply_rules(v.records(spark, folder, "synthetic", ids, inputs))
 
 
 @query(f"WITH {RULED_SQL} SELECT {KEY_SQL}, ID, array_to_string(imp, '; ') AS impossible_tags, array_to_string(sus, '; ') AS suspicious_tags FROM flagged WHERE any_rule")
@@ -466,13 +466,11 @@ def out_of_population_joined(spark: SparkSession, folder: str) -> DataFrame:
     return _out_of_population(spark, folder, literal_limit=0)
 
 
-# Rarely fired rules, so that some files stay silent.
-_RARE = ["pp_zero", "rr_spo2_impossible", "comp_anemia", "pair_cardiogenic", "nut_chol_maln"]
 _HAS = " + ".join(f"CAST({c} IS NOT NULL AS INT)" for c in m.FEATURES)
 _ALL_NULL = ", ".join(f"CASE WHEN count({c}) = 0 THEN '{c}' END" for c in m.FEATURES)
 _ROW = ", ".join(m.FEATURES)
-SILENT_SQL = f"""{v.RECORDS_SQL},
-judged AS (SELECT *, len({_tag_list('impossible', _RARE)}) + len({_tag_list('suspicious', _RARE)}) AS fired FROM synthetic),
+SILENT_SQL = f"""{v.CALM_SQL},
+judged AS (SELECT *, len({_tag_list('impossible')}) + len({_tag_list('suspicious')}) AS fired FROM synthetic),
 quiet AS (SELECT {KEY_SQL} FROM judged GROUP BY ALL HAVING sum(fired) = 0),
 evidence AS (
   SELECT {KEY_SQL}, count(*) AS n_rows, count(DISTINCT ({_ROW})) AS unique_rows, CAST(sum({_HAS}) AS BIGINT) AS usable,
@@ -491,8 +489,7 @@ diagnosis AS (
 
 
 def _diagnosis(spark: SparkSession, folder: str) -> DataFrame:
-    masked = rules.apply_rules(v.records(spark, folder, "synthetic"), rules.rules_named(*_RARE))
-    return rules.diagnose_silent(masked, KEYS)
+    return rules.diagnose_silent(rules.apply_rules(v.records(spark, folder, "synthetic", inputs=v.CALM)), KEYS)
 
 
 @query(f"WITH {SILENT_SQL} SELECT * FROM diagnosis")

@@ -21,29 +21,32 @@ KEYS = v.FILE
 KEY_SQL = rq.KEY_SQL
 
 # ------------------------------------------------------------------ overlap
-# The headline resolution.  A few coarse features, because on all of them nearly every
-# record of the test tables is new, and flags would not overlap in part.
-_BINS = 5
+# The headline resolution over all features, of records whose inputs are folded: as they are,
+# nearly every record of the test tables is new, and flags would not overlap in part.
+_BINS = m.HEADLINE_BINS
 _NOVEL = f"novel_b{_BINS}"
-_COARSE_NUMERIC, _COARSE_CATEGORICAL = ["heartrate", "systolic_bp", "hemoglobin", "sodium"], ["icd9", "gender"]
-_COARSE_BOUNDS = ", ".join(f"min({c}) AS min_{c}, max({c}) AS max_{c}" for c in _COARSE_NUMERIC)
-_COARSE_CELL = ", ".join(
-    [f"{rq._bin_sql(c)} AS b_{c}" for c in _COARSE_NUMERIC] + [f"coalesce({c}, 'Missing') AS b_{c}" for c in _COARSE_CATEGORICAL]
-)
-_COARSE_NAMES = ", ".join(f"b_{c}" for c in _COARSE_NUMERIC + _COARSE_CATEGORICAL)
-OVERLAP_SQL = f"""{rq.RULED_SQL},
-bounds AS (SELECT {_COARSE_BOUNDS} FROM records WHERE role = 'population'),
-known AS (SELECT DISTINCT {_COARSE_NAMES}, TRUE AS hit FROM (SELECT {_COARSE_CELL} FROM (SELECT *, {_BINS} AS bin FROM records WHERE role = 'population') r, bounds) x),
-marked AS (SELECT f.*, hit IS NULL AS novel FROM (SELECT f.*, {_COARSE_CELL} FROM (SELECT *, {_BINS} AS bin FROM flagged) f, bounds) f LEFT JOIN known USING ({_COARSE_NAMES}))"""
+NOVEL_CATEGORICAL = [*m.CATEGORICAL_FEATURES, *[c for c in m.BOOLEAN_FEATURES if c not in m.CATEGORICAL_FEATURES]]
+
+
+def _label_sql(c: str) -> str:
+    return f"CASE WHEN {c} THEN '1' WHEN NOT {c} THEN '0' ELSE 'Missing' END" if c in m.BOOLEAN_FEATURES else rq._norm_sql(c)
+
+
+_CELL = ", ".join([f"{rq._bin_sql(c)} AS b_{c}" for c in m.NUMERIC_FEATURES] + [f"{_label_sql(c)} AS b_{c}" for c in NOVEL_CATEGORICAL])
+_CELL_NAMES = ", ".join(f"b_{c}" for c in [*m.NUMERIC_FEATURES, *NOVEL_CATEGORICAL])
+OVERLAP_SQL = f"""{rq.RULED_SQL.replace(v.RECORDS_SQL, v.FOLDED_SQL)},
+bounds AS (SELECT {', '.join(f'min({c}) AS min_{c}, max({c}) AS max_{c}' for c in m.NUMERIC_FEATURES)} FROM records WHERE role = 'population'),
+known AS (SELECT DISTINCT {_CELL_NAMES}, TRUE AS hit FROM (SELECT {_CELL} FROM (SELECT *, {_BINS} AS bin FROM records WHERE role = 'population') r, bounds) x),
+marked AS (SELECT f.*, hit IS NULL AS novel FROM (SELECT f.*, {_CELL} FROM (SELECT *, {_BINS} AS bin FROM flagged) f, bounds) f LEFT JOIN known USING ({_CELL_NAMES}))"""
 
 
 def _novel_clinical(spark: SparkSession, folder: str, records: DataFrame, keep: list[str], broadcast: bool | None = None) -> DataFrame:
-    pop = novelty.Population.learn(v.records(spark, folder, "population"), _COARSE_NUMERIC, _COARSE_CATEGORICAL)
+    pop = novelty.Population.learn(v.records(spark, folder, "population", inputs=v.FOLDED), m.NUMERIC_FEATURES, NOVEL_CATEGORICAL)
     return novelty.flagged_novelty(records, pop, _BINS, keep, broadcast)
 
 
 def _marked(spark: SparkSession, folder: str, broadcast: bool | None = None) -> DataFrame:
-    masked = rules.flags(rq.masked_records(spark, folder))
+    masked = rules.flags(rq.masked_records(spark, folder, inputs=v.FOLDED))
     keep = [*KEYS, "variant", "impossible", "suspicious", "any_rule", "impossible_mask", "suspicious_mask"]
     return _novel_clinical(spark, folder, masked, keep, broadcast)
 
@@ -101,7 +104,7 @@ def overlap_by_rule(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {OVERLAP_SQL}, {_RULE_ROWS_SQL} {_pooled_sql('rule_rows', 'generator, category, rule', 'dseed, mseed, generation')}")
 def overlap_by_generator_rule(spark: SparkSession, folder: str) -> DataFrame:
     """The same numbers from stored flag tables, met by a join on the record."""
-    records = v.records(spark, folder, "synthetic", ids=True)
+    records = v.records(spark, folder, "synthetic", ids=True, inputs=v.FOLDED)
     detail = rules.rule_rows(rules.apply_rules(records), [*KEYS, "ID"])
     novel = _novel_clinical(spark, folder, records, [*KEYS, "ID"]).filter(_NOVEL)
     keys = ["generator", "category", "rule"]
@@ -205,6 +208,8 @@ def kde_grid(spark: SparkSession, folder: str) -> DataFrame:
     return out.select(*_PANEL, *_SERIES, long_of("point"), r6("x"), r6("density"))
 
 
+# Two features with more levels than a table shows.
+_LEVELLED = [*_CAT, "age", "sodium"]
 _LEVELS_SQL = " UNION ALL ".join(f"SELECT generator, role, '{c}' AS feature, CAST({c} AS VARCHAR) AS level FROM records WHERE role <> 'population'" for c in _CAT)
 
 
@@ -219,13 +224,13 @@ def feature_proportions(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {v.RECORDS_SQL},
-lv AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), '<NA>') AS level FROM records WHERE role = 'population'" for c in _CAT)}),
+lv AS ({' UNION ALL '.join(f"SELECT '{c}' AS feature, coalesce(CAST({c} AS VARCHAR), '<NA>') AS level FROM records WHERE role = 'population'" for c in _LEVELLED)}),
 counted AS (SELECT feature, level, count(*) AS n FROM lv GROUP BY ALL)
 SELECT feature, level, n, row_number() OVER (PARTITION BY feature ORDER BY n DESC, level) AS position, count(*) OVER (PARTITION BY feature) AS n_levels FROM counted
-QUALIFY position <= 4""")
+QUALIFY position <= 20""")
 def category_topk(spark: SparkSession, folder: str) -> DataFrame:
-    counts = di.level_counts(v.records(spark, folder, "population"), [], _CAT, missing="<NA>")
-    return di.top_levels(counts, ["feature"], k=4).select("feature", "level", "n", long_of("position"), "n_levels")
+    counts = di.level_counts(v.records(spark, folder, "population"), [], _LEVELLED, missing="<NA>")
+    return di.top_levels(counts, ["feature"]).select("feature", "level", "n", long_of("position"), "n_levels")
 
 
 _TYPED = m.FEATURES

@@ -41,11 +41,10 @@ _FOLDER = "concat_ws('_', generator, CAST(dseed AS STRING), CAST(mseed AS STRING
 _FOLDER_SQL = _FOLDER.replace("STRING", "VARCHAR")
 _BINS = m.HEADLINE_BINS
 _NOVEL = f"HR_b{_BINS}"
-_CATEGORICAL = [*m.CATEGORICAL_FEATURES, *[c for c in m.BOOLEAN_FEATURES if c not in m.CATEGORICAL_FEATURES]]
 
 
 def _folded(spark: SparkSession, folder: str, role: str, ids: bool = False) -> DataFrame:
-    return v.records(spark, folder, role, ids, folded=True).withColumn("folder", F.expr(_FOLDER))
+    return v.records(spark, folder, role, ids, inputs=v.FOLDED).withColumn("folder", F.expr(_FOLDER))
 
 
 def _store(spark: SparkSession, folder: str, *names: str) -> StageStore:
@@ -64,7 +63,7 @@ def _flag_rows(spark: SparkSession, folder: str, store: StageStore) -> DataFrame
     """Rule flags, and novelty over all features at the headline resolution."""
     keep = [*RECORD, "generator", "variant"]
     records = _folded(spark, folder, "synthetic", ids=True)
-    pop = novelty.Population.learn(_folded(spark, folder, "population"), m.NUMERIC_FEATURES, _CATEGORICAL)
+    pop = novelty.Population.learn(_folded(spark, folder, "population"), m.NUMERIC_FEATURES, report.NOVEL_CATEGORICAL)
     return rules.flag_rows(rules.apply_rules(records), keep).unionByName(novelty.novel_rows(records, pop, keep, [_BINS])).select(*_FLAGS)
 
 
@@ -106,16 +105,7 @@ _BUILD = {
 }
 
 
-def _label_sql(c: str) -> str:
-    return f"CASE WHEN {c} THEN '1' WHEN NOT {c} THEN '0' ELSE 'Missing' END" if c in m.BOOLEAN_FEATURES else rq._norm_sql(c)
-
-
-_CELL = ", ".join([f"{rq._bin_sql(c)} AS b_{c}" for c in m.NUMERIC_FEATURES] + [f"{_label_sql(c)} AS b_{c}" for c in _CATEGORICAL])
-_CELL_NAMES = ", ".join(f"b_{c}" for c in [*m.NUMERIC_FEATURES, *_CATEGORICAL])
-STORED_SQL = f"""{rq.RULED_SQL.replace(v.RECORDS_SQL, v.FOLDED_SQL)},
-bounds AS (SELECT {', '.join(f'min({c}) AS min_{c}, max({c}) AS max_{c}' for c in m.NUMERIC_FEATURES)} FROM records WHERE role = 'population'),
-known AS (SELECT DISTINCT {_CELL_NAMES}, TRUE AS hit FROM (SELECT {_CELL} FROM (SELECT *, {_BINS} AS bin FROM records WHERE role = 'population') r, bounds) x),
-marked AS (SELECT f.*, {_FOLDER_SQL} AS folder, hit IS NULL AS novel FROM (SELECT f.*, {_CELL} FROM (SELECT *, {_BINS} AS bin FROM flagged) f, bounds) f LEFT JOIN known USING ({_CELL_NAMES})),
+STORED_SQL = f"""{report.OVERLAP_SQL.replace('marked AS (SELECT f.*, hit', f'marked AS (SELECT f.*, {_FOLDER_SQL} AS folder, hit')},
 stored AS (SELECT folder, generation, ID, generator, variant, novel, unnest(list_filter([CASE WHEN impossible THEN 'Expert_impossible' END, CASE WHEN suspicious THEN 'Expert_suspicious' END,
   CASE WHEN any_rule THEN 'Expert_any' END, CASE WHEN novel THEN '{_NOVEL}' END], lambda x: x IS NOT NULL)) AS metric FROM marked)"""
 

@@ -105,18 +105,21 @@ _FEATURES = {
 
 # Folded inputs: few distinct records, of which the population knows two thirds of the prices' range,
 # so that novelty over all features is partial at any scale factor.
-_FOLDED = {"o": "o % 3", "p": "p % 3", "q": "q % 2", "c": "c % CASE role WHEN 'population' THEN 40 ELSE 60 END"}
+FOLDED = {"o": "o % 3", "p": "p % 3", "q": "q % 2", "c": "c % CASE role WHEN 'population' THEN 40 ELSE 60 END"}
+# Calm inputs: files of some chains that break no rule, by one repeated row, by few varied rows, or with a column that is never filled.
+_CALM = "(dseed + mseed) % 3 = 2 AND generation % 4 < 3"
+CALM = {n: f"CASE WHEN {_CALM} THEN {e} ELSE {n} END" for n, e in {"o": "0", "p": "4", "q": "3", "c": "CASE generation % 4 WHEN 0 THEN 5 WHEN 1 THEN 1 + c % 16 ELSE 23 END"}.items()}
 
 
-def records(spark: SparkSession, folder: str, role: str | None = None, ids: bool = False, folded: bool = False) -> DataFrame:
+def records(spark: SparkSession, folder: str, role: str | None = None, ids: bool = False, inputs: dict[str, str] | None = None) -> DataFrame:
     rows = _keyed_lines(spark, folder, [], ids).selectExpr(
         *FILE, "base_generator", "variant", "role", "ID", "l_orderkey AS o", "l_partkey AS p", "l_suppkey AS s",
         "CAST(l_quantity AS BIGINT) AS q", "CAST(round(l_extendedprice * 100) AS BIGINT) AS c",
     )
     if role:
         rows = rows.filter(F.col("role") == role)
-    if folded:
-        rows = rows.withColumns({n: F.expr(e) for n, e in _FOLDED.items()})
+    if inputs:
+        rows = rows.withColumns({n: F.expr(e) for n, e in inputs.items()})
     return rows.selectExpr(
         *FILE, "base_generator", "variant", "role", "ID", *[f"{e} AS {n}" for n, e in _FEATURES.items()]
     )
@@ -136,9 +139,16 @@ records AS (SELECT {_GENERATOR_SQL}, base_generator, variant, dseed, mseed, gene
   FROM lines),
 synthetic AS (SELECT * FROM records WHERE role = 'synthetic')"""
 _ID_SQL = "row_number() OVER (PARTITION BY base_generator, variant, dseed, mseed, generation ORDER BY o, p, s, c, q, disc, tax) AS ID"
-FOLDED_SQL = RECORDS_SQL.replace(f"{_ID_SQL},", "ID,").replace("FROM lines)", "FROM folded)").replace(
-    "records AS (", f"numbered AS (SELECT *, {_ID_SQL} FROM lines),\nfolded AS (SELECT * REPLACE ({', '.join(f'{e} AS {n}' for n, e in _FOLDED.items())}) FROM numbered),\nrecords AS (", 1
-)
+
+
+def records_sql(inputs: dict[str, str]) -> str:
+    """``RECORDS_SQL`` over changed inputs; IDs are numbered as without the change."""
+    changed = ", ".join(f"{e} AS {n}" for n, e in inputs.items())
+    steps = f"numbered AS (SELECT *, {_ID_SQL} FROM lines),\nchanged AS (SELECT * REPLACE ({changed}) FROM numbered),\nrecords AS ("
+    return RECORDS_SQL.replace(f"{_ID_SQL},", "ID,").replace("FROM lines)", "FROM changed)").replace("records AS (", steps, 1)
+
+
+FOLDED_SQL, CALM_SQL = records_sql(FOLDED), records_sql(CALM)
 
 
 # A chain's label is rarer with every generation, at a pace of its own (some keep it), and its signal fades
