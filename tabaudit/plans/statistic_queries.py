@@ -292,13 +292,21 @@ def paired_timing_p_values(spark: SparkSession, folder: str) -> DataFrame:
     return _tested_out(paired.paired_timing(chains, ["metric"]), ["metric"])
 
 
-_SMALL_PAIRS = _METRIC_PAIRS.replace("metric AS qa_metric", "metric || ' of data seed ' || dseed AS qa_metric")
+# Generations of the largest steps lie far apart, so few chains often have no ties.
+_SMALL_PAIRS = f"""
+best AS (SELECT metric, {CHAIN_SQL}, generation FROM steps WHERE step IS NOT NULL QUALIFY row_number() OVER (PARTITION BY metric, {CHAIN_SQL} ORDER BY abs(step) DESC, generation) = 1),
+spikes AS (SELECT metric, {CHAIN_SQL}, CAST(generation AS BIGINT) AS generation FROM registry LEFT JOIN best USING (metric, {CHAIN_SQL})),
+universe AS (SELECT l.generator, l.dseed, l.mseed, r.metric || ' of data seed ' || l.dseed AS qa_metric, l.generation AS x, r.generation AS y
+  FROM spikes l JOIN spikes r ON l.generator = r.generator AND l.dseed = r.dseed AND l.mseed = r.mseed WHERE l.metric = 'flag_rate' AND r.metric <> 'flag_rate'),
+pairs AS (SELECT * FROM universe WHERE x IS NOT NULL AND y IS NOT NULL)"""
 
 
-@query(f"WITH RECURSIVE {INCLINE_SQL}, {_SMALL_PAIRS}, {_subset_sql('universe', 'qa_metric, generator')}, {EXACT_SQL.lstrip()}, {_tested_sql('qa_metric, generator')} SELECT qa_metric, generator, subset, n_pairs, {_TESTED} FROM tested")
+@query(f"WITH RECURSIVE {REGISTRY_SQL}, {_SMALL_PAIRS.lstrip()}, {_subset_sql('universe', 'qa_metric, generator')}, {EXACT_SQL.lstrip()}, {_tested_sql('qa_metric, generator')} SELECT qa_metric, generator, subset, n_pairs, {_TESTED} FROM tested")
 def paired_timing_few_chains(spark: SparkSession, folder: str) -> DataFrame:
     """Tests on the five chains of a generator and data seed, where exact distributions apply."""
-    chains = paired.onset_onset_chains(_onsets(spark, folder), "flag_rate", ["positive_share", "auroc_like"], by_generator=True)
+    rows = _tidy(spark, folder)
+    spikes = onset.largest_step(rows, onset.chain_registry(rows), list(v.ONSETS)).withColumnRenamed("spike_generation", "onset_generation")
+    chains = paired.onset_onset_chains(spikes, "flag_rate", ["positive_share", "auroc_like"], by_generator=True)
     named = chains.withColumn("qa_metric", F.concat("qa_metric", F.lit(" of data seed "), F.col("dseed").cast("string")))
     return _tested_out(paired.paired_timing(named, ["qa_metric", "generator"]), ["qa_metric", "generator"])
 

@@ -108,7 +108,7 @@ _FEATURES = {
 FOLDED = {"o": "o % 3", "p": "p % 3", "q": "q % 2", "c": "c % CASE role WHEN 'population' THEN 40 ELSE 60 END"}
 # Calm inputs: files of some chains that break no rule, by one repeated row, by few varied rows, or with a column that is never filled.
 _CALM = "(dseed + mseed) % 3 = 2 AND generation % 4 < 3"
-CALM = {n: f"CASE WHEN {_CALM} THEN {e} ELSE {n} END" for n, e in {"o": "0", "p": "4", "q": "3", "c": "CASE generation % 4 WHEN 0 THEN 5 WHEN 1 THEN 1 + c % 16 ELSE 23 END"}.items()}
+CALM = {n: f"CASE WHEN {_CALM} THEN {e} ELSE {n} END" for n, e in {"o": "4", "p": "5", "q": "0", "c": "CASE generation % 4 WHEN 0 THEN 5 WHEN 1 THEN 1 + c % 16 ELSE 23 END"}.items()}
 
 
 def records(spark: SparkSession, folder: str, role: str | None = None, ids: bool = False, inputs: dict[str, str] | None = None) -> DataFrame:
