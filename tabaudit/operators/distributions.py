@@ -13,10 +13,15 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from tabaudit.functions.columns import number_text
+from tabaudit.sources.sinks import reliable
 
 CLIP_PERCENTILES = (0.005, 0.995)
 GRID_POINTS = 400
 BANDWIDTH_SCALE = 1.5
+#: Distinct values of a series that one task may order; beyond, ranks are searched in cells, level by level.
+ONE_TASK_VALUES, CELLS, CELL_LEVELS = 200_000, 1024, 2
+#: Distinct values of a series up to which densities are exact, and cells per bandwidth beyond.
+EXACT_VALUES, FINE_CELLS = 50_000, 100
 
 
 def value_counts(df: DataFrame, keys: list[str], features: list[str]) -> DataFrame:
@@ -31,8 +36,37 @@ def value_counts(df: DataFrame, keys: list[str], features: list[str]) -> DataFra
     )
 
 
-def percentiles(counts: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
-    """Exact linear-interpolated percentiles per key, from value counts."""
+def percentiles(counts: DataFrame, keys: list[str], points: dict[str, float], in_one_task: int = ONE_TASK_VALUES) -> DataFrame:
+    """Exact linear-interpolated percentiles per key, from value counts.
+
+    Keys with few distinct values are ranked in one window each.  Where any has
+    more than ``in_one_task``, the wanted ranks are looked for in equal cells
+    of the value range, and again in equal cells of the cells that hold them;
+    only the values of those are ranked, so no task orders a whole series.
+    """
+    largest = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__values")).agg(F.max("__values")).first()[0] or 0
+    if largest <= in_one_task:
+        return _in_one_window(counts, keys, points)
+    extent = counts.groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.min("value").alias("lo"), F.max("value").alias("hi")
+    )
+    ranks = []
+    for name, p in points.items():
+        place = (F.col("n") - 1) * F.lit(p)
+        ranks += [F.struct(F.lit(f"{side}_{name}").alias("name"), f(place).cast("bigint").alias("rank")) for side, f in (("lo", F.floor), ("hi", F.ceil))]
+    wanted = extent.select(*keys, "lo", "hi", F.lit(0).cast("bigint").alias("before"), F.inline(F.array(*ranks)))
+    for _ in range(CELL_LEVELS):
+        wanted = reliable(_narrowed(counts, wanted, keys))
+    found = _ranked(counts, wanted, keys)
+    sides = found.groupBy(*keys).agg(*[F.max(F.when(F.col("name") == f"{side}_{n}", F.col("value"))).alias(f"__{side}_{n}") for n in points for side in ("lo", "hi")])
+    values = []
+    for name, p in points.items():
+        place = (F.col("n") - 1) * F.lit(p)
+        values.append((F.col(f"__lo_{name}") + (F.col(f"__hi_{name}") - F.col(f"__lo_{name}")) * (place - F.floor(place))).alias(name))
+    return extent.select(*keys, "n").join(sides, keys).select(*keys, "n", *values)
+
+
+def _in_one_window(counts: DataFrame, keys: list[str], points: dict[str, float]) -> DataFrame:
     order = Window.partitionBy(*keys).orderBy("value")
     total = F.sum("n").over(Window.partitionBy(*keys))
     ranked = counts.withColumns(
@@ -55,6 +89,35 @@ def percentiles(counts: DataFrame, keys: list[str], points: dict[str, float]) ->
     return out.select(*keys, "n", *values)
 
 
+def _inside(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """Value counts within the regions that hold wanted ranks; regions are a few per series, series as many as panels."""
+    regions = wanted.select(*keys, "lo", "hi", "before").distinct()
+    return counts.join(regions, keys).filter(F.col("value").between(F.col("lo"), F.col("hi")))
+
+
+def _narrowed(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """``wanted`` with regions cut down to the cell that holds the rank."""
+    region = [*keys, "lo", "hi", "before"]
+    share = F.try_divide(F.col("value") - F.col("lo"), F.col("hi") - F.col("lo"))
+    cell = F.least(F.floor(F.coalesce(share, F.lit(0.0)) * F.lit(float(CELLS))), F.lit(CELLS - 1)).cast("int")
+    cells = _inside(counts, wanted, keys).groupBy(*region, cell.alias("cell")).agg(
+        F.sum("n").alias("cell_n"), F.min("value").alias("cell_lo"), F.max("value").alias("cell_hi")
+    )
+    # at most CELLS rows of a region meet here
+    order = Window.partitionBy(*region).orderBy("cell").rowsBetween(Window.unboundedPreceding, -1)
+    placed = cells.withColumn("cell_before", F.col("before") + F.coalesce(F.sum("cell_n").over(order), F.lit(0)))
+    holds = (F.col("rank") >= F.col("cell_before")) & (F.col("rank") < F.col("cell_before") + F.col("cell_n"))
+    return placed.join(wanted, region).filter(holds).select(*keys, F.col("cell_lo").alias("lo"), F.col("cell_hi").alias("hi"), F.col("cell_before").alias("before"), "name", "rank")
+
+
+def _ranked(counts: DataFrame, wanted: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys, name, value): the value at each wanted rank."""
+    region = [*keys, "lo", "hi", "before"]
+    order = Window.partitionBy(*region).orderBy("value").rowsBetween(Window.unboundedPreceding, 0)
+    upto = _inside(counts, wanted, keys).withColumn("upto", F.col("before") + F.sum("n").over(order))
+    return upto.join(wanted, region).filter(F.col("upto") > F.col("rank")).groupBy(*keys, "name").agg(F.min("value").alias("value"))
+
+
 def clip_range(counts: DataFrame, panel: list[str], series: list[str]) -> DataFrame:
     """panel, lo, hi: union of the clip ranges of all series of a panel.
 
@@ -87,13 +150,17 @@ def density_histogram(counts: DataFrame, ranges: DataFrame, panel: list[str], se
 
 
 def kernel_density(
-    counts: DataFrame, ranges: DataFrame, panel: list[str], series: list[str], points: int = GRID_POINTS
+    counts: DataFrame, ranges: DataFrame, panel: list[str], series: list[str], points: int = GRID_POINTS,
+    exact_values: int = EXACT_VALUES, fine: int = FINE_CELLS,
 ) -> DataFrame:
     """panel, series, point, x, density: Gaussian kernel density on an even grid.
 
-    Bandwidth is Scott's factor times 1.5 times the standard deviation.  Series
+    Bandwidth h is Scott's factor times 1.5 times the standard deviation.  Series
     with fewer than five values or no spread have no curve.  Equal values are
-    weighted once, so the cost is distinct values x grid points.
+    weighted once.  Where any series has more than ``exact_values`` distinct
+    values, they are first shared out between the two nearest points of a grid
+    of ``fine`` cells per h, so rows no longer grow with the values; that
+    changes a density by no more than 0.05 / (h * fine * fine).
     """
     keys = [*panel, *series]
     moments = counts.groupBy(*keys).agg(
@@ -106,6 +173,9 @@ def kernel_density(
     )
     bandwidth = F.sqrt(F.col("__ss") / (F.col("__n") - 1.0)) * F.pow(F.col("__n"), F.lit(-0.2)) * F.lit(BANDWIDTH_SCALE)
     scaled = spread.select(*keys, "__n", bandwidth.alias("__h")).join(ranges, panel)
+    most = counts.groupBy(*keys).agg(F.count(F.lit(1)).alias("__k")).agg(F.max("__k")).first()[0] or 0
+    if most > exact_values:
+        counts = _shared_out(counts, scaled.select(*keys, "__h"), keys, fine)
     grid = counts.join(scaled, keys).select(
         *keys, "value", "n", "__n", "__h", "lo", "hi",
         F.explode(F.sequence(F.lit(0), F.lit(points - 1))).alias("point"),
@@ -120,6 +190,16 @@ def kernel_density(
     )
 
 
+def _shared_out(counts: DataFrame, bandwidths: DataFrame, keys: list[str], fine: int) -> DataFrame:
+    """Value counts moved to the points of a fine grid, each value to its two neighbours in proportion."""
+    place = F.col("value") * F.lit(float(fine)) / F.col("__h")
+    low = F.floor(place)
+    right = place - low
+    parts = F.array(F.struct(low.alias("k"), ((1.0 - right) * F.col("n")).alias("w")), F.struct((low + 1).alias("k"), (right * F.col("n")).alias("w")))
+    moved = counts.join(bandwidths, keys).select(*keys, "__h", F.inline(parts)).groupBy(*keys, "__h", "k").agg(F.sum("w").alias("n"))
+    return moved.select(*keys, (F.col("k") * F.col("__h") / F.lit(float(fine))).alias("value"), "n")
+
+
 def level_counts(df: DataFrame, keys: list[str], features: list[str], missing: str | None = None) -> DataFrame:
     """keys, feature, level, n of categorical features; ``missing`` names nulls instead of dropping them."""
     items = ", ".join(f"named_struct('feature', '{c}', 'level', CAST(`{c}` AS STRING))" for c in features)

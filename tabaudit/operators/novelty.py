@@ -13,6 +13,9 @@ Two physical strategies give the same answer and are picked by a checked size:
 * otherwise (resolution, cell) pairs are pre-aggregated map-side - a collapsed
   generator that repeats one row sends one row per task - and met with the
   population cells in a shuffle join.
+
+The forms that list records meet a bounded sketch of the known cells first, so
+that only the distinct cells that may be known are shuffled.
 """
 
 from __future__ import annotations
@@ -26,14 +29,11 @@ from pyspark.sql import functions as F
 from tabaudit import model as m
 from tabaudit.functions.columns import as_number, number_text
 from tabaudit.functions.normalise import bin_text, copy_label_text, copy_number_text, membership_text
+from tabaudit.operators import sketch
 
 # Population cells are broadcast only below this estimated size.
 BROADCAST_BYTES = 256 * 1024 * 1024
 _BYTES_PER_VALUE = 32
-# Copies of the cell side that spread hot cells in the record-level joins; beyond
-# that, adaptive execution splits what is still too large.
-SALTS = 8
-
 
 @dataclass
 class Population:
@@ -243,16 +243,8 @@ def novel_rows(
         )
         return flagged.select(*keep, F.explode(hits).alias("metric"))
     same = ["bin", *pop.cell_columns]
-    # One copy of every population cell per salt.  The salt of a record comes from
-    # its own identity, so a recomputed task sends it to the same place.
-    salt = F.pmod(F.xxhash64(*keep), F.lit(SALTS)).cast("int")
-    known = population_cells(pop, resolutions).withColumn(
-        "__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    )
-    rows = cells(records.withColumn("__salt", salt), pop, resolutions, [*keep, "__salt"])
-    return rows.join(known, [*same, "__salt"], "left_anti").select(
-        *keep, F.concat(F.lit("HR_b"), F.col("bin").cast("string")).alias("metric")
-    )
+    _, novel = sketch.split(cells(records, pop, resolutions, keep), population_cells(pop, resolutions), same, pop.rows * len(resolutions))
+    return novel.select(*keep, F.concat(F.lit("HR_b"), F.col("bin").cast("string")).alias("metric"))
 
 
 def adjustment_factor(pop: Population, bins: int, stabiliser: float = m.STABILISER) -> float:
@@ -294,26 +286,21 @@ def copied_rows(
 ) -> DataFrame:
     """Records whose rounded values equal a training record of their chain.
 
-    The join is on the chain and every feature (null equals null); training
-    rows are made distinct map-side first.  A chain or one repeated row holding
-    a third of the records is split by a salt, taken from the whole record with
-    its ID; every distinct training row is present under each salt.
+    The key is the chain and every feature (null equals null, but a missing
+    chain has no training rows).  Records meet a sketch of the training rows;
+    only distinct keys of those that may be copies are met with the rows
+    themselves, so a chain or one repeated row that holds a third of the
+    records crosses no shuffle.
     """
     _require(records, numeric + categorical)
     _require(training, numeric + categorical)
-    feats = numeric + categorical
-    columns = records.columns
-    salt = f"CAST(pmod(xxhash64({', '.join(f'`{c}`' for c in columns)}), {SALTS}) AS INT) AS __salt"
-    left = records.selectExpr("*", *_copy_columns(records, numeric, categorical, "__c"), salt)
-    right = (
-        training.selectExpr(*[f"{k} AS __k_{k}" for k in chain], *_copy_columns(training, numeric, categorical, "__t"))
-        .distinct()
-        .withColumn("__tsalt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    )
-    same = [F.col(f"__c_{c}").eqNullSafe(F.col(f"__t_{c}")) for c in feats]
-    same += [F.col(k) == F.col(f"__k_{k}") for k in chain]
-    same += [F.col("__salt") == F.col("__tsalt")]
-    return left.join(right, same, "left_semi").select(*columns)
+    feats = [f"__c_{c}" for c in numeric + categorical]
+    own = [f"__k_{k}" for k in chain]
+    named = [f"`{k}` AS __k_{k}" for k in chain]
+    left = records.selectExpr("*", *named, *_copy_columns(records, numeric, categorical, "__c"))
+    known = training.selectExpr(*named, *_copy_columns(training, numeric, categorical, "__c")).dropna(subset=own)
+    copies, _ = sketch.split(left, known, [*own, *feats], training.count())
+    return copies.select(*records.columns)
 
 
 def copy_counts(

@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from tabaudit import model as m
 from tabaudit.functions.columns import number_text, round_half_even, text_literal
 from tabaudit.functions.session import jit_friendly
+from tabaudit.sources.sinks import reliable
 
 IMPOSSIBLE, SUSPICIOUS = "impossible", "suspicious"
 
@@ -382,6 +383,10 @@ def rule_summary(masked: DataFrame, rules: list[Rule] = RULES) -> DataFrame:
 
 
 # ------------------------------------------------------ population-range check
+#: Strange levels that are broadcast; more are met by a shuffle.
+BROADCAST_LEVELS = 1_000_000
+
+
 def out_of_population(
     df: DataFrame,
     bounds: dict[str, tuple[float | None, float | None]],
@@ -389,12 +394,16 @@ def out_of_population(
     keep: list[str],
     categorical: list[str] = m.RANGE_CHECK_CATEGORICAL,
     literal_limit: int = 5000,
+    unseen_limit: int = 5000,
 ) -> DataFrame:
     """``keep`` + ``offenders``: features whose value the population never shows.
 
     ``levels`` is the distinct (feature, level) table.  Up to ``literal_limit``
-    pairs it becomes an in-memory set inside the projection; beyond that each
-    feature is probed by a join, which has no size limit.  In both forms a
+    pairs it becomes an in-memory set inside the projection.  Beyond that the
+    distinct pairs of the records, which combine map-side, are met with it, and
+    only those that the population lacks go on: as a set inside the projection
+    again, by a broadcast, or, where they are very many and so no key is hot,
+    by a join of each feature.  In all forms a
     feature that the population never fills has no level, so any value offends;
     a column that the population lacks is left out of ``categorical``.
     """
@@ -416,10 +425,21 @@ def out_of_population(
             for c in cats
         ]
     else:
-        for c in cats:
-            side = levels.filter(F.col("feature") == c).selectExpr(f"level AS __level_{c}", f"true AS __seen_{c}")
-            source = source.join(side, F.col(c).cast("string") == F.col(f"__level_{c}"), "left")
-            found.append(f"CASE WHEN `{c}` IS NOT NULL AND __seen_{c} IS NULL THEN '{c}' END")
+        pairs = ", ".join(f"named_struct('feature', '{c}', 'level', CAST(`{c}` AS STRING))" for c in cats)
+        shown = source.selectExpr(f"inline(array({pairs}))").filter("level IS NOT NULL").distinct()
+        unseen = reliable(shown.join(levels.select("feature", "level"), ["feature", "level"], "left_anti"))
+        few = unseen.limit(unseen_limit + 1).collect()
+        if len(few) <= unseen_limit:
+            strange: dict[str, list[str]] = {}
+            for row in few:
+                strange.setdefault(row["feature"], []).append(text_literal(row["level"]))
+            found += [f"CASE WHEN CAST(`{c}` AS STRING) IN ({', '.join(strange[c])}) THEN '{c}' END" for c in cats if c in strange]
+        else:
+            small = unseen.count() <= BROADCAST_LEVELS
+            for c in cats:
+                side = unseen.filter(F.col("feature") == c).selectExpr(f"level AS __level_{c}", f"true AS __strange_{c}")
+                source = source.join(F.broadcast(side) if small else side, F.col(c).cast("string") == F.col(f"__level_{c}"), "left")
+                found.append(f"CASE WHEN __strange_{c} THEN '{c}' END")
     return source.selectExpr(*keep, f"array_join(array_compact(array({', '.join(found)})), '; ') AS offenders")
 
 

@@ -24,7 +24,7 @@ def membership_flags(
     records: DataFrame, pop: novelty.Population, training: DataFrame, chain: list[str], keep: list[str],
     resolutions: list[int] = m.BIN_RESOLUTIONS, broadcast: bool | None = None,
 ) -> DataFrame:
-    """``keep`` and ``metric`` (HR_b<bins>, Copy) of every flagged record; ``records`` may be a stream."""
+    """``keep`` and ``metric`` (HR_b<bins>, Copy) of every flagged record of a batch."""
     novel = novelty.novel_rows(records, pop, keep, resolutions, broadcast)
     copied = novelty.copied_rows(records, training, chain, pop.numeric, pop.categorical)
     return novel.unionByName(copied.select(*keep, F.lit("Copy").alias("metric")))
