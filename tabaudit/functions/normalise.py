@@ -100,11 +100,6 @@ def bin_text(value: str, low: float, high: float, bins: int) -> str:
     return f"CAST(CASE WHEN {value} IS NULL THEN 0 ELSE least(greatest({place}, 1), {bins}) END AS INT)"
 
 
-def bin_label(bin_number: Column) -> Column:
-    """Printed form of a bin number."""
-    return F.when(bin_number == 0, F.lit(MISSING)).otherwise(bin_number.cast("string"))
-
-
 def copy_number_text(value: str) -> str:
     """Numeric side of the exact-copy comparison: whole numbers, half to even (-0.0 is 0.0)."""
     return f"rint({value}) + 0D"

@@ -56,6 +56,14 @@ def keep_last(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
     return df.groupBy(*keys).agg(best.alias("__best")).select(*keys, *[F.col(f"__best.{v}").alias(v) for v in values])
 
 
+def keep_first(df: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:
+    """One row per key: the first one in ``order``; missing order values come last."""
+    values = [c for c in df.columns if c not in keys]
+    places = [x for i, o in enumerate(order) for x in (o.isNull().alias(f"__n{i}"), o.alias(f"__o{i}"))]
+    best = F.min(F.struct(*places, *values))
+    return df.groupBy(*keys).agg(best.alias("__best")).select(*keys, *[F.col(f"__best.{v}").alias(v) for v in values])
+
+
 def assert_unique(df: DataFrame, keys: list[str], what: str) -> DataFrame:
     """Pass ``df`` through; the job fails when a key occurs more than once."""
     counted = df.groupBy(*keys).agg(

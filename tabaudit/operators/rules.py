@@ -258,10 +258,6 @@ def _in_bucket(rules: list[Rule], bucket: str) -> list[Rule]:
     return [r for r in rules if r.bucket == bucket]
 
 
-def rules_named(*names: str) -> list[Rule]:
-    return [r for r in RULES if r.name in names]
-
-
 def _mask_text(record: Record, bucket: str, rules: list[Rule]) -> str:
     bits = [
         f"CASE WHEN {rule.when(record)} THEN {1 << bit}L ELSE 0L END"

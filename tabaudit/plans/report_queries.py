@@ -113,7 +113,7 @@ def overlap_by_generator_rule(spark: SparkSession, folder: str) -> DataFrame:
 
 
 @query(f"""WITH {rq.RULED_SQL}
-SELECT variant, count_if(any_rule) AS any_total, count_if(len(imp) + len(sus) > 0) AS union_total, TRUE AS consistent FROM flagged GROUP BY variant""")
+SELECT variant, count_if(any_rule) AS any_total, count_if(len(imp) + len(sus) > 0) AS union_total, count_if(any_rule) = count_if(len(imp) + len(sus) > 0) AS consistent FROM flagged GROUP BY variant""")
 def rule_any_crosscheck(spark: SparkSession, folder: str) -> DataFrame:
     masked = rq.masked_records(spark, folder, ids=True)
     keep = [*KEYS, "ID", "variant"]

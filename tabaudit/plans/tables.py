@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabaudit import model as m
 from tabaudit.functions.columns import label_map
@@ -19,6 +20,15 @@ GROUP_LABELS = {
 }
 
 
+# Reader-facing names of onset directions (fixed values).
+DIRECTION_LABELS = {"increase": "Increase", "decrease": "Decrease"}
+
+
+def in_print_order(df: DataFrame, within: list[str], order: list[Column], name: str = "position") -> DataFrame:
+    """``df`` of a print table with each row's place, from 1, inside its block."""
+    return df.withColumn(name, F.row_number().over(Window.partitionBy(*within).orderBy(*order)))
+
+
 def generation_columns(cells: DataFrame, generations: list[int], keys: list[str] = ["metric", "generator"]) -> DataFrame:
     """keys, gen_<g>...: one text column per generation, '' where a cell is missing."""
     return cells.groupBy(*keys).agg(
@@ -137,6 +147,22 @@ def timing_table(timing: DataFrame, keys: list[str]) -> DataFrame:
     )
 
 
+def crossing_table(counts: DataFrame, metrics: dict[str, tuple[float, str]]) -> DataFrame:
+    """Threshold, direction and crossed chains of every metric; counts of no chain included."""
+    rows = [(name, float(t), DIRECTION_LABELS[d]) for name, (t, d) in metrics.items()]
+    listed = counts.sparkSession.createDataFrame(rows, "metric string, threshold double, direction string")
+    return listed.join(counts, "metric", "left").select(
+        F.col("metric").alias("Metric"), F.col("threshold").alias("Threshold"), F.col("direction").alias("Direction of change at onset"),
+        F.coalesce("n_crossed", F.lit(0)).alias("N chains crossed"), F.coalesce("n_total", F.lit(0)).alias("N chains total"),
+    )
+
+
+def metric_timing_table(timing: DataFrame, keys: dict[str, str], facts: list[str] = []) -> DataFrame:
+    """Paired timing of two onsets: ``keys`` maps columns to printed names, ``facts`` are printed columns as they are."""
+    text = timing_table(timing.select("*"), [*keys, *facts]).withColumnRenamed("N chains", "N with both onsets defined")
+    return text.withColumnsRenamed(keys)
+
+
 def concordance_table(w: DataFrame) -> DataFrame:
     """Kendall's W per group and subset, undefined values explained."""
 
