@@ -13,6 +13,7 @@ from tabaudit import model as m
 from tabaudit.functions.columns import label_map, round_half_even
 from tabaudit.operators.ids import number_within
 from tabaudit.operators.rules import either, with_readable
+from tabaudit.sources.sinks import reliable
 
 # Length of an ID slice when rows of one file are numbered; a multiple of every
 # sensible batch size is not required, offsets are exact.
@@ -34,9 +35,13 @@ def without_flagged(records: DataFrame, flagged: DataFrame, keys: list[str]) ->
 def review_batches(
     candidates: DataFrame, file_keys: list[str], order: str = "ID", batch_rows: int = m.REVIEW_BATCH_ROWS
 ) -> DataFrame:
-    """Add ``position`` (1..n per file) and ``batch`` (0-based slices of ``batch_rows``)."""
+    """Add ``position`` (1..n per file) and ``batch`` (0-based slices of ``batch_rows``).
+
+    Numbering reads the candidates twice, for offsets and for ranks; they are
+    few beside the records they were picked from, so they are kept once.
+    """
     numbered = number_within(
-        candidates, file_keys, [order], f"floor({order} / {ID_SLICE})", name="position"
+        reliable(candidates), file_keys, [order], f"floor({order} / {ID_SLICE})", name="position"
     )
     return numbered.withColumn("batch", F.floor((F.col("position") - 1) / F.lit(batch_rows)).cast("bigint"))
 

@@ -27,7 +27,7 @@ batched AS (SELECT *, row_number() OVER (PARTITION BY {KEY_SQL} ORDER BY ID) AS
 
 
 def _candidates(spark: SparkSession, folder: str) -> DataFrame:
-    masked = rq.masked_records(spark, folder, ids=True).filter(F.col("generation").isin(REVIEWED_GENERATIONS))
+    masked = rq.masked_records(spark, folder, ids=True, generations=REVIEWED_GENERATIONS)
     # the masks are on the row; without_flagged is for flags that are stored apart
     clean = masked.filter("impossible_mask = 0 AND suspicious_mask = 0").drop("impossible_mask", "suspicious_mask")
     return review.worth_review(clean)

@@ -347,8 +347,8 @@ file_rates AS (SELECT {KEY_SQL}, count(*) AS n_rows, count_if(impossible) AS n_i
                FROM flagged GROUP BY ALL)"""
 
 
-def masked_records(spark: SparkSession, folder: str, ids: bool = False, inputs: dict[str, str] | None = None) -> DataFrame:
-    return rules.apply_rules(v.records(spark, folder, "synthetic", ids, inputs))
+def masked_records(spark: SparkSession, folder: str, ids: bool = False, inputs: dict[str, str] | None = None, generations: list[int] | None = None) -> DataFrame:
+    return rules.apply_rules(v.records(spark, folder, "synthetic", ids, inputs, generations))
 
 
 @query(f"WITH {RULED_SQL} SELECT {KEY_SQL}, ID, array_to_string(imp, '; ') AS impossible_tags, array_to_string(sus, '; ') AS suspicious_tags FROM flagged WHERE any_rule")

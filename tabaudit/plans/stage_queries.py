@@ -316,7 +316,7 @@ reviewer_cells AS (
 
 
 def _pooled_review(spark: SparkSession, folder: str) -> tuple[DataFrame, DataFrame]:
-    masked = rules.flags(rq.masked_records(spark, folder, ids=True)).filter("generation IN (0, 5)")
+    masked = rules.flags(rq.masked_records(spark, folder, ids=True, generations=[0, 5]))
     rates = masked.groupBy(*KEYS).agg(
         F.avg(F.expr("CAST(ID % 11 = 3 AS INT)")).alias("LLM"), F.avg(F.expr("CAST(any_rule OR ID % 11 = 3 AS INT)")).alias("LLM_accumulated")
     )

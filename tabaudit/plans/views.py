@@ -36,12 +36,15 @@ _ROLE = "CASE l_orderkey % 10 WHEN 0 THEN 'population' WHEN 1 THEN 'training' EL
 _LINE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
 
-def _keyed_lines(spark: SparkSession, folder: str, columns: list[str], ids: bool) -> DataFrame:
+def _keyed_lines(spark: SparkSession, folder: str, columns: list[str], ids: bool, generations: list[int] | None = None) -> DataFrame:
     lines = table(spark, folder, "lineitem").selectExpr(
         *_LINE_ORDER, f"{_BASE} AS base_generator", f"{_VARIANT} AS variant",
         "l_suppkey % 3 AS dseed", "l_suppkey % 5 AS mseed", "CAST(l_linenumber - 1 AS BIGINT) AS generation",
         f"{_ROLE} AS role", f"{_BASE} || CASE WHEN l_linestatus = 'O' THEN '' ELSE '_CORE' END AS generator",
     )
+    if generations is not None:
+        # whole files drop out, so the IDs of the others are what they were
+        lines = lines.filter(F.col("generation").isin(generations))
     if not ids:
         numbered = spread(lines, "l_orderkey", "l_partkey").withColumn("ID", F.lit(None).cast("bigint"))
     else:
@@ -111,8 +114,8 @@ _CALM = "(dseed + mseed) % 3 = 2 AND generation % 4 < 3"
 CALM = {n: f"CASE WHEN {_CALM} THEN {e} ELSE {n} END" for n, e in {"o": "4", "p": "5", "q": "0", "c": "CASE generation % 4 WHEN 0 THEN 5 WHEN 1 THEN 1 + c % 16 ELSE 23 END"}.items()}
 
 
-def records(spark: SparkSession, folder: str, role: str | None = None, ids: bool = False, inputs: dict[str, str] | None = None) -> DataFrame:
-    rows = _keyed_lines(spark, folder, [], ids).selectExpr(
+def records(spark: SparkSession, folder: str, role: str | None = None, ids: bool = False, inputs: dict[str, str] | None = None, generations: list[int] | None = None) -> DataFrame:
+    rows = _keyed_lines(spark, folder, [], ids, generations).selectExpr(
         *FILE, "base_generator", "variant", "role", "ID", "l_orderkey AS o", "l_partkey AS p", "l_suppkey AS s",
         "CAST(l_quantity AS BIGINT) AS q", "CAST(round(l_extendedprice * 100) AS BIGINT) AS c",
     )
