@@ -326,14 +326,17 @@ def rank_rows(spark: SparkSession, folder: str) -> DataFrame:
     return ranking.rank_rows(_events(spark, folder)).select("group", "dseed", "mseed", "generator", "complete", r6("rank"))
 
 
-@query(f"""WITH {RANKS_SQL} SELECT "group", dseed, mseed, string_agg(missing, ', ' ORDER BY missing) AS missing_generators FROM (
+# Chains that are left out, so that some pairs are incomplete.
+_LEFT_OUT = "(generator = 'DDPM' AND mseed = 4) OR (generator = 'ARF' AND mseed = 4 AND dseed = 1)"
+_INCOMPLETE_SQL = RANKS_SQL.replace("FROM events_of e JOIN groups g", f"FROM (SELECT * FROM events_of WHERE NOT ({_LEFT_OUT})) e JOIN groups g")
+
+
+@query(f"""WITH {_INCOMPLETE_SQL} SELECT "group", dseed, mseed, string_agg(missing, ', ' ORDER BY missing) AS missing_generators FROM (
   SELECT p."group", p.dseed, p.mseed, g.generator AS missing FROM (SELECT DISTINCT "group", dseed, mseed FROM ranks WHERE NOT complete) p
   JOIN groups g USING ("group") ANTI JOIN ranks r ON r."group" = p."group" AND r.dseed = p.dseed AND r.mseed = p.mseed AND r.generator = g.generator) x
 GROUP BY ALL""")
 def rank_incomplete_pairs(spark: SparkSession, folder: str) -> DataFrame:
-    # the last user ids of the test table fill no complete pair
-    found = ranking.incomplete_pairs(ranking.rank_rows(_events(spark, folder)))
-    return found
+    return ranking.incomplete_pairs(ranking.rank_rows(_events(spark, folder).filter(f"NOT ({_LEFT_OUT})")))
 
 
 @query(f"""WITH {RANKS_SQL} SELECT "group", generator, {s6('avg(rk)', 'mean_rank')}, {s6('median(rk)', 'median_rank')}, {s6('min(rk)', 'min_rank')}, {s6('max(rk)', 'max_rank')},
