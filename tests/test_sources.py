@@ -79,12 +79,12 @@ def test_stage_flow_is_rerunnable(spark, tree, schema, tmp_path):
     training = scans.scan_training(spark, tree)
     population = scans.scan_population(spark, f"{tree}/POP/population.csv")
     numeric, categorical = scans.read_metadata(spark, f"{tree}/POP/metadata.json")
-    stages = audit.Stages(spark, str(tmp_path / "stages"))
+    stages = audit.Stages(spark, str(tmp_path / "stages"), buckets=4)
 
     def run():
         audit.novelty_stage(stages, records, training, population, numeric, categorical, [5])
         audit.rule_stage(stages, records)
-        audit.trajectory_stage(stages, records)
+        audit.trajectory_stage(stages, records, records.filter("ID = 7 AND generation = 1"))
         auroc = records.groupBy("generator", "dseed", "mseed", "generation").agg((F.lit(0.7) - F.col("generation") * 0.5).alias("value"))
         audit.event_stage(stages, auroc)
         names = ["flags", "rule_detail", "summary", "trajectories", "onsets", "failure_events", "dissociation"]
@@ -98,6 +98,8 @@ def test_stage_flow_is_rerunnable(spark, tree, schema, tmp_path):
     assert steps == {"novelty", "rules"}
     rates = {(r["generation"], r["mseed"]): r["value"] for r in stages.read("trajectories").filter("metric = 'expert_any'").collect()}
     assert rates[(0, 7)] == 0.0 and rates[(1, 7)] == pytest.approx(1 / 12)
+    both = {(r["generation"], r["mseed"]): r["n_flagged"] for r in stages.read("trajectories").filter("metric = 'expert_llm'").collect()}
+    assert both == {(1, 7): 2, (1, 8): 2}
     crossed = {(r["metric"], r["crossed"]) for r in stages.read("onsets").filter("metric = 'expert_any'").collect()}
     assert crossed == {("expert_any", True)}
 
