@@ -148,6 +148,31 @@ def op12_spotsigs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return compared.select(F.col("id").alias("doc_id"), "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "n_signatures")
 
 
+_ANCHOR_LIST = ", ".join(f"'{w}'" for w in sorted(spotsigs.ANCHORS))
+#: Signatures from positions of words: an anchor's chain begins at the first content word behind it.
+SQL["op12_spotsigs"] = rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+o AS (SELECT *, coalesce(lead(doc_id) OVER q, first_value(doc_id) OVER q) AS next_id, coalesce(lead(t) OVER q, first_value(t) OVER q) AS f FROM d WINDOW q AS (ORDER BY doc_id DESC)),
+e AS (SELECT *, left(t, length(t) - length(t) // 3) || left(f, length(t) // 3) AS changed FROM o),
+texts AS (SELECT doc_id, 'own' AS kind, t FROM e UNION ALL SELECT doc_id, 'edited', changed FROM e),
+w AS (SELECT doc_id, kind, regexp_extract_all(translate(t, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[a-z0-9\x{{80}}-\x{{10FFFF}}]+') AS w FROM texts),
+r AS (SELECT doc_id, kind, unnest(w) AS word, unnest(range(len(w))) AS i FROM w),
+m AS (SELECT *, count_if(NOT spot) OVER (PARTITION BY doc_id, kind ORDER BY i) AS behind FROM (SELECT *, word IN ({_ANCHOR_LIST}) AS spot FROM r) a),
+c AS (SELECT doc_id, kind, behind AS k, word || ' ' || lead(word) OVER p || ' ' || lead(word, 2) OVER p AS chain FROM m WHERE NOT spot WINDOW p AS (PARTITION BY doc_id, kind ORDER BY i)),
+s AS (SELECT DISTINCT m.doc_id, m.kind, m.word || ' ' || c.chain AS sig FROM m JOIN c ON c.doc_id = m.doc_id AND c.kind = m.kind AND c.k = m.behind + 1 WHERE m.spot AND c.chain IS NOT NULL),
+z AS (SELECT DISTINCT doc_id, kind, array_to_string(w[i + 1:i + 4], ' ') AS sig FROM (SELECT *, unnest(range(greatest(1, len(w) - 3))) AS i FROM w ANTI JOIN s USING (doc_id, kind) WHERE len(w) > 0) y),
+x AS (SELECT * FROM s UNION ALL SELECT * FROM z),
+p AS (SELECT doc_id, kind, sha256(string_agg(sig, chr(10) ORDER BY sig)) AS print, count(*) AS n FROM x GROUP BY ALL),
+t2 AS (SELECT e.*, coalesce(a.print, sha256('')) AS own_print, coalesce(a.n, 0) AS own_n, coalesce(b.print, sha256('')) AS new_print, coalesce(b.n, 0) AS new_n, coalesce(f.n, 0) AS next_n
+       FROM e LEFT JOIN p a ON a.doc_id = e.doc_id AND a.kind = 'own' LEFT JOIN p b ON b.doc_id = e.doc_id AND b.kind = 'edited' LEFT JOIN p f ON f.doc_id = e.next_id AND f.kind = 'own'),
+be AS (SELECT a.doc_id, count(*) AS k FROM x a JOIN x b ON a.doc_id = b.doc_id AND a.sig = b.sig WHERE a.kind = 'own' AND b.kind = 'edited' GROUP BY a.doc_id),
+bn AS (SELECT e.doc_id, count(*) AS k FROM e JOIN x a ON a.doc_id = e.doc_id AND a.kind = 'own' JOIN x b ON b.doc_id = e.next_id AND b.kind = 'own' AND b.sig = a.sig GROUP BY e.doc_id)
+SELECT doc_id, length(t) AS n_chars, sha256(changed) AS edited_sha256, own_print AS fingerprint, new_print AS edited_fingerprint,
+  CASE WHEN own_n + new_n = 0 THEN 1.0 ELSE coalesce(be.k, 0) / (own_n + new_n - coalesce(be.k, 0)) END AS near_edited,
+  CASE WHEN own_n + next_n = 0 THEN 1.0 ELSE coalesce(bn.k, 0) / (own_n + next_n - coalesce(bn.k, 0)) END AS near_next, own_n AS n_signatures
+FROM t2 LEFT JOIN be USING (doc_id) LEFT JOIN bn USING (doc_id)"""
+
+
 def repeating_tail(ids: pa.Array, n_words: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """The edit of the contract: every tenth document by the checksum of its id repeats a period from some word on; null ids stay."""
     h = np.array([1 if i is None else zlib.crc32(str(i).encode()) for i in ids.to_pylist()], np.int64)

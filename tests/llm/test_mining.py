@@ -127,6 +127,11 @@ def test_fingerprints_equal_plain_python(spark):
     assert sorted(map(tuple, again.collect())) == sorted(want)
 
 
+def test_fingerprints_equal_sql(spark):
+    name = "op12_spotsigs"
+    assert compare.compare(spark, compare.connect(FOLDER), name, queries.QUERIES[name], queries.SQL[name], FOLDER) is None
+
+
 def test_fingerprints_of_odd_tables(spark):
     assert spotsigs.against_next(empty(spark)).count() == 0
     single = spotsigs.against_next(documents(spark, [row(1, "the cat sat on the warm mat")])).collect()
