@@ -26,6 +26,7 @@ from __future__ import annotations
 import random
 import re
 import string
+from bisect import bisect_left
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -105,16 +106,31 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(found)
 
 
+def covered(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts and ends of the stretches that spans, in order of their starts, cover together."""
+    starts: list[int] = []
+    ends: list[int] = []
+    for start, _, end in spans:
+        if ends and start <= ends[-1]:
+            ends[-1] = max(ends[-1], end)
+        else:
+            starts.append(start)
+            ends.append(end)
+    return starts, ends
+
+
 def novel_spans(text: str, base: list[tuple[int, int, int]], novelty: Novelty, least: float = NOVELTY) -> list[tuple[int, int, int]]:
     """Spans of incompressible strings in a sensitive context, outside the base spans."""
     found, upto = [], None  # the end of the last run in such a context
+    starts, ends = covered(base)
     for m in CANDIDATE.finditer(text):
         begin, end = m.span()
         goes_on = upto is not None and CONTINUED.fullmatch(text, upto, begin)
         if not goes_on and not SENSITIVE.search(text, max(0, begin - REACH), begin):
             continue
         upto = end
-        if any(a < end and begin < b for a, _, b in base):
+        before = bisect_left(starts, end)
+        if before and ends[before - 1] > begin:
             continue
         around = (text[max(0, begin - AROUND) : begin] + "\n" + text[end : end + AROUND]).replace(m[0], "\n")
         cost = novelty.cost(m[0], around)
