@@ -52,8 +52,8 @@ ANCHORS = frozenset(
 #: Content words of a chain, and how many content words further each is than the one before.
 CHAIN, DISTANCE = 3, 1
 THRESHOLD = 0.8
-#: Bytes of text of a bucket of the order.
-BUCKET_BYTES = 16 << 20
+#: Bytes of text of a bucket of the order, and buckets at most, since every task knows where each begins; beyond, buckets grow.
+BUCKET_BYTES, MOST_BUCKETS = 16 << 20, 50_000
 _ANCHORS = frozenset(w.encode() for w in ANCHORS)
 #: Lower-case ASCII letters and digits stay, as do all bytes of other characters; the rest is blank.
 _SPELLED = bytes(b if b >= 128 or chr(b).isalnum() else 32 for b in bytes(range(256)).lower())
@@ -169,7 +169,7 @@ def against_next(docs: DataFrame, id_column: str = "doc_id", text_column: str =
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0]
     if total is None:
         return spark.createDataFrame([], _COMPARED).drop("copies")
-    buckets = max(spark.sparkContext.defaultParallelism, -(-total // bucket_bytes))
+    buckets = min(MOST_BUCKETS, max(spark.sparkContext.defaultParallelism, -(-total // bucket_bytes)))
     # the least key of each range: as many rows as there are buckets
     least = rows.select(*key).repartitionByRange(buckets, *key).groupBy(F.spark_partition_id()).agg(F.min(F.struct(*key)).alias("least")).collect()
     cuts = sorted(tuple(r["least"]) for r in least)
