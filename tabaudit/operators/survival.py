@@ -258,8 +258,9 @@ def cox_time_varying(joined: DataFrame, intervals: DataFrame, strata: list[str]
     The likelihood is concave, so its maximum lies where the score changes its
     sign.  One aggregation gives score, information and likelihood for a whole
     grid of coefficients; three finer grids and a Newton step close in on the
-    root, five small jobs however the search goes.  ``joined`` (one row per
-    chain) supplies the chain counts of the report.
+    root, five small jobs however the search goes.  A likelihood without a finite
+    maximum has no coefficient.  ``joined`` (one row per chain) supplies the chain
+    counts of the report.
     """
     sets = interval_risk_sets(intervals, strata).groupBy("n0", "n1", "d0", "d1").agg(
         F.count(F.lit(1)).cast("double").alias("weight")
@@ -292,8 +293,8 @@ def cox_time_varying(joined: DataFrame, intervals: DataFrame, strata: list[str]
     usable = null is not None and null[2] > 0
     beta, se, loglik, converged = None, None, None, False
     if usable:
-        if grid[0][1] < 0 or grid[-1][1] > 0:  # still rising at the edge
-            best = grid[0] if grid[0][1] < 0 else grid[-1]
+        if grid[0][1] < 0 or grid[-1][1] > 0:  # still rising at the edge: no finite maximum
+            loglik = (grid[0] if grid[0][1] < 0 else grid[-1])[3]
         else:
             for _ in range(3):
                 k = max(i for i, r in enumerate(grid) if r[1] >= 0)
@@ -304,8 +305,8 @@ def cox_time_varying(joined: DataFrame, intervals: DataFrame, strata: list[str]
             nearest = min(grid, key=lambda r: abs(r[1]))
             best = at([nearest[0] + nearest[1] / nearest[2]])[0]
             converged = abs(best[1] / best[2]) < 1e-6
-        beta, info, loglik = best[0] + (best[1] / best[2] if converged else 0.0), best[2], best[3]
-        se = 1.0 / math.sqrt(info) if info > 0 else None
+            beta, loglik = best[0] + best[1] / best[2], best[3]
+            se = 1.0 / math.sqrt(best[2])
     facts = joined.agg(
         F.count(F.lit(1)).alias("n_chains"), F.count_if(F.col("failure_time") > 0).alias("n_chains_in_model"),
         F.count_if((F.col("failure_time") > 0) & (F.col("failure_event") == 1)).alias("n_events"),

@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tabaudit import model as m
 from tabaudit.operators import events, onset, paired, ranking, subsets, survival
 from tabaudit.plans import views as v
 from tabaudit.plans.base import Registry, chi2_tail_sql, long_of, r6, s6
@@ -449,14 +448,15 @@ cox_terms AS (SELECT n0 - l / (d0 + d1) * d0 AS a, n1 - l / (d0 + d1) * d1 AS b,
 newton AS (
   SELECT 0 AS k, 0.0::DOUBLE AS beta
   UNION ALL SELECT k + 1, any_value(beta) + greatest(-2.0, least(2.0, sum(o - {_RISK} / (a + {_RISK})) / sum({_RISK} / (a + {_RISK}) * a / (a + {_RISK})))) FROM newton, cox_terms WHERE k < 40 GROUP BY k),
-cox_fit AS (SELECT beta, 1 / sqrt(sum({_RISK} / (a + {_RISK}) * a / (a + {_RISK}))) AS se, sum(o * beta - ln(a + {_RISK})) AS loglik, sum(-ln(a + b)) AS null_loglik FROM newton, cox_terms WHERE k = 40 GROUP BY beta),
+cox_at AS (SELECT beta, 1 / sqrt(sum({_RISK} / (a + {_RISK}) * a / (a + {_RISK}))) AS se, sum(o * beta - ln(a + {_RISK})) AS loglik, sum(-ln(a + b)) AS null_loglik FROM newton, cox_terms WHERE k = 40 GROUP BY beta),
+cox_fit AS (SELECT CASE WHEN abs(beta) <= 20 THEN beta END AS beta, CASE WHEN abs(beta) <= 20 THEN se END AS se, loglik, null_loglik, abs(beta) <= 20 AS converged FROM cox_at),
 cox_facts AS (SELECT count(*) AS n_chains, count_if(time > 0) AS n_chains_in_model, count_if(time > 0 AND event = 1) AS n_events FROM joined)"""
 
 
 @query(f"""WITH RECURSIVE {COX_SQL}
 SELECT 'onset_active' AS covariate, {s6('beta', 'coef')}, {s6('exp(beta)', 'hazard_ratio')}, {s6('se')}, {s6('exp(beta - 1.959963984540054 * se)', 'ci_low')},
   {s6('exp(beta + 1.959963984540054 * se)', 'ci_high')}, {s6('beta / se', 'z')}, {s6(chi2_tail_sql('(beta / se) * (beta / se)', '1'), 'p')},
-  n_chains, n_chains_in_model, n_events, {s6('null_loglik', 'log_likelihood_null')}, {s6('loglik', 'log_likelihood')}, TRUE AS converged FROM cox_fit, cox_facts""")
+  n_chains, n_chains_in_model, n_events, {s6('null_loglik', 'log_likelihood_null')}, {s6('loglik', 'log_likelihood')}, converged FROM cox_fit, cox_facts""")
 def cox_time_varying(spark: SparkSession, folder: str) -> DataFrame:
     joined = _joined(spark, folder)
     out = survival.cox_time_varying(joined, events.risk_intervals(joined))
@@ -464,11 +464,30 @@ def cox_time_varying(spark: SparkSession, folder: str) -> DataFrame:
     return out.select("covariate", *[r6(c) for c in doubles], "n_chains", "n_chains_in_model", "n_events", "converged")
 
 
-# The stratified models: one coefficient per generator but the first, improved in turn by Newton steps.
-_NAMED = list(enumerate(m.BASE_GENERATORS, 1))
-_SUM = " + ".join(f"x{j} * exp(b{j})" for j, _ in _NAMED)
-_STEP = "coalesce(greatest(-2.0, least(2.0, sum(o{j} - x{j} * exp(b{j}) / ({s})) / nullif(sum(x{j} * exp(b{j}) / ({s}) * (1 - x{j} * exp(b{j}) / ({s}))), 0))), 0)"
-_STEPS = 240
+# The stratified models: up to three coefficients, relative to the first generator of a model, by Newton steps in closed form.
+_PLACES = (1, 2, 3, 4)
+_SUM = "(x1 + x2 * exp(b2) + x3 * exp(b3) + x4 * exp(b4))"
+
+
+def _share(j: int) -> str:
+    return f"(x{j} * exp(b{j}) / {_SUM})"
+
+
+# a place that a model lacks has no score; its information is set to one
+_SUMS = ", ".join(
+    [f"sum(o{j} - {_share(j)}) AS g{j}" for j in (2, 3, 4)]
+    + [f"sum({_share(j)} * (1 - {_share(j)})) + CASE WHEN any_value(size) < {j} THEN 1 ELSE 0 END AS h{j}{j}" for j in (2, 3, 4)]
+    + [f"sum(-{_share(i)} * {_share(j)}) AS h{i}{j}" for i, j in ((2, 3), (2, 4), (3, 4))]
+)
+_DET = "(h22 * (h33 * h44 - h34 * h34) - h23 * (h23 * h44 - h24 * h34) + h24 * (h23 * h34 - h24 * h33))"
+_STEPS = {
+    2: "g2 * (h33 * h44 - h34 * h34) - h23 * (g3 * h44 - h34 * g4) + h24 * (g3 * h34 - h33 * g4)",
+    3: "h22 * (g3 * h44 - h34 * g4) - g2 * (h23 * h44 - h34 * h24) + h24 * (h23 * g4 - g3 * h24)",
+    4: "h22 * (h33 * g4 - g3 * h34) - h23 * (h23 * g4 - g3 * h24) + g2 * (h23 * h34 - h33 * h24)",
+}
+_NEXT = ", ".join(
+    f"b{j} + CASE WHEN greatest(abs(b2), abs(b3), abs(b4)) > 30 OR greatest(abs(g2), abs(g3), abs(g4)) < 1e-12 THEN 0 ELSE coalesce(greatest(-2.0, least(2.0, ({step}) / nullif({_DET}, 0))), 0) END AS b{j}" for j, step in _STEPS.items()
+)
 STRATIFIED_SQL = f"""{LOGRANK_SQL},
 status AS (SELECT "group", subset, generator, count(*) = count_if(event = 1) AS always FROM used GROUP BY ALL),
 models AS (
@@ -476,17 +495,16 @@ models AS (
   UNION ALL SELECT "group", subset, 'Stratified Cox LRT (excluding ' || string_agg(generator, ', ' ORDER BY generator) FILTER (always) || ')', list(generator ORDER BY generator) FILTER (NOT always)
   FROM status GROUP BY "group", subset HAVING count_if(always) > 0 AND count_if(NOT always) >= 2),
 pair_times AS (SELECT DISTINCT "group", subset, dseed, mseed, time AS t FROM used WHERE event = 1),
-pair_sets AS (SELECT "group", subset, test, live, dseed, mseed, t, {', '.join(f"count_if(generator = '{g}' AND time >= t AND list_contains(live, '{g}')) AS n{j}, count_if(generator = '{g}' AND time = t AND event = 1 AND list_contains(live, '{g}')) AS d{j}" for j, g in _NAMED)}
+pair_sets AS (SELECT "group", subset, test, len(live) AS size, dseed, mseed, t, {', '.join(f"count_if(coalesce(live[{j}] = generator, FALSE) AND time >= t) AS n{j}, count_if(coalesce(live[{j}] = generator, FALSE) AND time = t AND event = 1) AS d{j}" for j in _PLACES)}
               FROM models JOIN pair_times USING ("group", subset) JOIN used USING ("group", subset, dseed, mseed) GROUP BY ALL),
-pair_terms AS (SELECT "group", subset, test, {', '.join(f"n{j} - l / d * d{j} AS x{j}, CASE WHEN l = 0 THEN d{j} ELSE 0 END AS o{j}" for j, _ in _NAMED)},
-               {', '.join(f"list_contains(live, '{g}') AND live[1] <> '{g}' AS free{j}" for j, g in _NAMED)}
+pair_terms AS (SELECT "group", subset, test, size, {', '.join(f"n{j} - l / d * d{j} AS x{j}, CASE WHEN l = 0 THEN d{j} ELSE 0 END AS o{j}" for j in _PLACES)}
                FROM (SELECT *, unnest(range(CAST(d AS BIGINT))) AS l FROM (SELECT *, d1 + d2 + d3 + d4 AS d FROM pair_sets) y) z),
 newton AS (
-  SELECT 0 AS k, "group", subset, test, {', '.join(f'0.0::DOUBLE AS b{j}' for j, _ in _NAMED)} FROM models
-  UNION ALL SELECT k + 1, "group", subset, test, {', '.join(f"b{j} + CASE WHEN k % 4 = {j - 1} AND bool_or(free{j}) THEN {_STEP.format(j=j, s=_SUM)} ELSE 0 END" for j, _ in _NAMED)}
-  FROM newton JOIN pair_terms USING ("group", subset, test) WHERE k < {_STEPS} GROUP BY k, "group", subset, test, b1, b2, b3, b4),
-pair_fit AS (SELECT "group", subset, test, 2 * (sum({' + '.join(f'o{j} * b{j}' for j, _ in _NAMED)} - ln({_SUM})) - sum(-ln({' + '.join(f'x{j}' for j, _ in _NAMED)}))) AS statistic, max(greatest(abs(b1), abs(b2), abs(b3), abs(b4))) <= 25 AS converged
-             FROM newton JOIN pair_terms USING ("group", subset, test) WHERE k = {_STEPS} GROUP BY "group", subset, test),
+  SELECT 0 AS k, "group", subset, test, 0.0::DOUBLE AS b2, 0.0::DOUBLE AS b3, 0.0::DOUBLE AS b4 FROM models
+  UNION ALL SELECT k + 1, "group", subset, test, {_NEXT}
+  FROM (SELECT k, "group", subset, test, b2, b3, b4, {_SUMS} FROM newton JOIN pair_terms USING ("group", subset, test) WHERE k < 60 GROUP BY k, "group", subset, test, b2, b3, b4) q),
+pair_fit AS (SELECT "group", subset, test, 2 * (sum(o2 * b2 + o3 * b3 + o4 * b4 - ln({_SUM})) - sum(-ln(x1 + x2 + x3 + x4))) AS statistic, max(greatest(abs(b2), abs(b3), abs(b4))) <= 25 AS converged
+             FROM newton JOIN pair_terms USING ("group", subset, test) WHERE k = 60 GROUP BY "group", subset, test),
 stratified AS (SELECT "group", subset, test, array_to_string(live, ' vs ') AS comparison, coalesce(statistic, 0) AS statistic, len(live) - 1 AS df, coalesce(converged, FALSE) AS converged FROM models LEFT JOIN pair_fit USING ("group", subset, test))"""
 
 
