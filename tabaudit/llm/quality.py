@@ -229,12 +229,12 @@ def learn(docs: DataFrame, labels: DataFrame, label_column: str = "quality", col
             order = pa.array(text.sum(axis=1))
             yield pa.RecordBatch.from_arrays([batch.column("key").cast(pa.string()), batch.column("label"), pa.array(text.tolist(), pa.list_(pa.float64())), pa.array(meta.tolist(), pa.list_(pa.float64())), order], names=["key", "label", "text", "meta", "tie"])
 
-    found = rows.mapInArrow(features, "key string, label double, text array<double>, meta array<double>, tie double").collect()
-    # the same order in every run, whatever partition a row came from; repeated ids count once
-    unique = {}
-    for r in sorted(found, key=lambda r: (zlib.crc32(r["key"].encode()), r["key"], r["tie"])):
-        unique.setdefault(r["key"], r)
-    parts = [[r for r in unique.values() if (r["label"] is None) == unknown] for unknown in (False, True)]
+    featured = rows.mapInArrow(features, "key string, label double, text array<double>, meta array<double>, tie double")
+    # repeated ids count once, by the least of their rows; tasks reduce them first, so an id with very many rows sends few
+    least = featured.groupBy("key").agg(F.min(F.struct("tie", "text", "meta", "label")).alias("row")).select("key", "row.*")
+    # the same order in every run, whatever partition a row came from
+    unique = sorted(least.collect(), key=lambda r: (zlib.crc32(r["key"].encode()), r["key"]))
+    parts = [[r for r in unique if (r["label"] is None) == unknown] for unknown in (False, True)]
     views, open_pool = [[np.array([r[k] for r in part], np.float64).reshape(len(part), n) for k, n in (("text", TEXT_FEATURES), ("meta", LANGUAGES + SOURCES + 2))] for part in parts]
     return co_train(views, np.array([float(r["label"] > 0) for r in parts[0]]), open_pool)
 
