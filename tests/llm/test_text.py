@@ -145,6 +145,31 @@ def test_refinement_sorts_and_common_prefixes():
         assert shared[k] == want
 
 
+def test_secrets_of_a_text_with_very_many_spans():
+    import time
+
+    rng = random.Random(12)
+    lines = [f"{k} {'%032x' % rng.getrandbits(128)} ok" for k in range(50_000)]
+    lines[25_000] += " api secret: Zx9-" + "".join(rng.choices("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghjkmnpqrstuvwxyz23456789", k=40))
+    text, began = "\n".join(lines), time.process_time()
+    base = secrets.base_spans(text)
+    assert len(base) >= 50_000
+    novel = secrets.novel_spans(text, base, secrets.Novelty([]))
+    assert time.process_time() - began < 20
+    assert all(not any(a < end and begin < b for a, _, b in base[-3:] + base[:3]) for begin, _, end in novel)
+    # overlapping spans of several kinds cover together
+    assert secrets.covered([(0, 0, 9), (4, 2, 20), (20, 1, 22), (30, 2, 31)]) == ([0, 30], [22, 31])
+
+
+def test_quality_learns_the_same_from_repeated_ids(spark):
+    docs, labels = spark.read.parquet(f"{FOLDER}/documents.parquet"), spark.read.parquet(f"{FOLDER}/labels.parquet")
+    many = docs.unionByName(docs.where("doc_id % 3 = 0")).unionByName(docs.where("doc_id = 6").crossJoin(spark.range(40)).drop("id")).repartition(5)
+    text = np.array([quality.text_features("some words"), quality.text_features("<<>> 00 11 !!")])
+    meta = np.array([quality.metadata_features("en", "src1", 10), quality.metadata_features("de", None, None)])
+    one, two = (quality.learn(d, labels).scores(text, meta) for d in (docs, many))
+    assert all((a == b).all() for a, b in zip(one, two))
+
+
 def plain_tokens(rows):
     """Rows in order of the files."""
     tokenizer, start, out = Tokenizer.from_file(queries.tokenizer_path()), 0, []
