@@ -259,7 +259,8 @@ def cox_time_varying(joined: DataFrame, intervals: DataFrame, strata: list[str]
     sign.  One aggregation gives score, information and likelihood for a whole
     grid of coefficients; three finer grids and a Newton step close in on the
     root, five small jobs however the search goes.  A likelihood without a finite
-    maximum has no coefficient.  ``joined`` (one row per chain) supplies the chain
+    maximum has no coefficient; where all at risk share one state it is flat, and its
+    maximum is the null value.  ``joined`` (one row per chain) supplies the chain
     counts of the report.
     """
     sets = interval_risk_sets(intervals, strata).groupBy("n0", "n1", "d0", "d1").agg(
@@ -291,7 +292,8 @@ def cox_time_varying(joined: DataFrame, intervals: DataFrame, strata: list[str]
     grid = at([float(x) for x in range(-_EDGE, _EDGE + 1)])
     null = next((r for r in grid if r[0] == 0.0), None)
     usable = null is not None and null[2] > 0
-    beta, se, loglik, converged = None, None, None, False
+    # without information every coefficient gives the same likelihood
+    beta, se, loglik, converged = None, None, None if null is None else null[3], False
     if usable:
         if grid[0][1] < 0 or grid[-1][1] > 0:  # still rising at the edge: no finite maximum
             loglik = (grid[0] if grid[0][1] < 0 else grid[-1])[3]

@@ -388,6 +388,14 @@ def test_cox_maximises_the_brute_force_likelihood(spark):
     assert ll(fit["coef"]) >= max(ll(fit["coef"] + 0.01), ll(fit["coef"] - 0.01))
 
 
+def test_cox_of_one_state_only_has_a_flat_likelihood(spark):
+    schema = "generator string, dseed long, mseed long, failure_time int, failure_event int, onset_generation int, onset_crossed boolean"
+    joined = spark.createDataFrame([("A", 0, s, 3 + s, 1, 0, True) for s in range(4)], schema)
+    fit = survival.cox_time_varying(joined, events.risk_intervals(joined)).first()
+    assert fit["coef"] is None and not fit["converged"]
+    assert near(fit["log_likelihood"], -math.log(24), 1e-12) and fit["log_likelihood_null"] == fit["log_likelihood"]
+
+
 def test_logrank_with_absent_generators(spark):
     groups = {"g": ["A", "B", "C"]}
     data = [(g, d, s, (d + 2 * s + (3 if g == "B" else 0)) % 7, int(s != 2)) for g in "AB" for d in range(2) for s in range(5)]
