@@ -24,11 +24,13 @@ def _folder(spark: SparkSession, name: str) -> str:
     return f"{sinks.checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def _arrivals(rows: DataFrame, name: str, parts: list[str]) -> DataFrame:
-    """A stream of ``rows``: the rows of each condition come together, one after the other."""
+def _arrivals(rows: DataFrame, name: str, parts: list[str], whole: list[str] = []) -> DataFrame:
+    """A stream of ``rows``: the rows of each condition come together, one after the other, those equal in ``whole`` in one file."""
     spark, path = rows.sparkSession, _folder(rows.sparkSession, name)
     for part in parts:
-        rows.filter(part).write.mode("append").parquet(path)
+        some = rows.filter(part)
+        some = some.repartition(*whole) if whole else some
+        some.write.mode("append").parquet(path)
     return spark.readStream.schema(rows.schema).option("maxFilesPerTrigger", 40).parquet(path)
 
 
@@ -39,7 +41,7 @@ def stream_membership(spark: SparkSession, folder: str) -> DataFrame:
     named = F.concat_ws("_", "generator", F.col("dseed").cast("string"), F.col("mseed").cast("string"))
     rows = sinks.reliable(v.profile(spark, folder, "synthetic", ids=True).withColumn("folder", named))
     # last generations first, some of them once more
-    arrivals = _arrivals(rows, "arrivals", ["generation >= 4", "generation IN (1, 5)", "generation < 4"])
+    arrivals = _arrivals(rows, "arrivals", ["generation >= 4", "generation IN (1, 5)", "generation < 4"], membership.FILE)
     pop = novelty.Population.learn(v.profile(spark, folder, "population"), v.PROFILE_NUMERIC, v.PROFILE_CATEGORICAL)
     target = _folder(spark, "flags")
     membership.flag_arrivals(arrivals, pop, sinks.reliable(v.profile(spark, folder, "training")), v.CHAIN, target, _folder(spark, "state"))

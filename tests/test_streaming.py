@@ -96,3 +96,15 @@ def test_membership_is_the_batch_result_whatever_the_order(spark, tmp_path, broa
     got = [tuple(r) for r in spark.read.parquet(f"{tmp_path}/flags").select(*key).collect()]
     assert sorted(got) == sorted(tuple(r) for r in want.select(*key).collect())
     assert {m for *_, m in got} == {"HR_b5", "HR_b10", "Copy"} and ("f2", 2, 1, "Copy") in got
+
+
+def test_membership_of_a_file_that_comes_in_parts_is_whole(spark, tmp_path):
+    box = Arrivals(spark, str(tmp_path), "folder string, generation int, ID bigint, n double, c string")
+    pop = novelty.Population.learn(spark.createDataFrame([(0.0, "a"), (9.0, "a")], "n double, c string"), ["n"], ["c"])
+    training = spark.createDataFrame([("7", 3.0, "b")], "folder string, n double, c string")
+    box.send([("7", 0, 1, 0.0, "z"), ("7", 0, 2, 0.0, "a")])
+    box.send([("7", 0, 3, 3.0, "b"), ("8", 0, 1, 0.0, "z")])  # the rest of the first file, in another batch
+    box.send([("7", 0, 1, 0.0, "a"), ("7", 0, 4, 0.0, "y")])  # record 1 once more, no longer novel
+    membership.flag_arrivals(box.stream(), pop, training, ["folder"], f"{tmp_path}/flags", f"{tmp_path}/cp", resolutions=[5])
+    got = sorted(tuple(r) for r in spark.read.parquet(f"{tmp_path}/flags").selectExpr("CAST(folder AS STRING)", "ID", "metric").collect())
+    assert got == [("7", 3, "Copy"), ("7", 3, "HR_b5"), ("7", 4, "HR_b5"), ("8", 1, "HR_b5")]
