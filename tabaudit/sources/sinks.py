@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -35,6 +36,13 @@ def reliable(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """``df`` as Parquet below the checkpoint folder: for wide tables, of which readers take some columns."""
+    path = f"{checkpoint_folder(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, replace_all: bool = False) -> None:
     """Parquet stage table; a rerun replaces only the partitions it produces."""
     writer = df.write.mode("overwrite")

@@ -90,3 +90,19 @@ def test_panels_are_resolved_by_name_and_prefix():
     assert pooling.resolve_panel(there, [("metric", "alpha"), ("metric", "ks"), ("metric", "ks")]) == (["ks"], ["alpha"])
     with pytest.raises(ValueError):
         pooling.resolve_panel(there, [("suffix", "a")])
+
+
+def test_a_tree_query_writes_only_what_it_reads(spark, tmp_path):
+    from tabaudit.plans import tree_queries as tree
+    from tabaudit.sources.tree_index import listing
+
+    key = (spark.sparkContext.applicationId, "/root/testdata/sf0.001")
+    held = tree._TREES.pop(key, None)
+    try:
+        assert tree.tree_patches(spark, key[1]).count() > 0
+        roles = {r["role"] for r in listing(spark, tree._TREES[key][0]).select("role").distinct().collect()}
+        assert roles == {"quality", "utility", "other"}
+    finally:
+        tree._TREES.pop(key, None)
+        if held:
+            tree._TREES[key] = held
