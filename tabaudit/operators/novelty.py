@@ -48,6 +48,7 @@ class Population:
     bounds: dict[str, tuple[float | None, float | None]] = field(default_factory=dict)
     cardinality: dict[str, int] = field(default_factory=dict)
     rows: int = 0
+    cell_counts: dict[tuple[int, ...], int] = field(default_factory=dict)
 
     @classmethod
     def learn(cls, frame: DataFrame, numeric: list[str], categorical: list[str]) -> "Population":
@@ -65,9 +66,14 @@ class Population:
         return self
 
     def cells_fit_broadcast(self, resolutions: list[int]) -> bool:
-        """Distinct cells never outnumber rows, so this bound needs no extra job."""
+        """Whether the distinct cells are small; they never outnumber rows, so only a large population has them counted."""
         width = _BYTES_PER_VALUE * (len(self.numeric) + len(self.categorical) + 1)
-        return self.rows * len(resolutions) * width <= BROADCAST_BYTES
+        if self.rows * len(resolutions) * width <= BROADCAST_BYTES:
+            return True
+        key = tuple(resolutions)
+        if key not in self.cell_counts:
+            self.cell_counts[key] = population_cells(self, resolutions).count()
+        return self.cell_counts[key] * width <= BROADCAST_BYTES
 
     @property
     def cell_columns(self) -> list[str]:

@@ -106,3 +106,24 @@ def test_a_tree_query_writes_only_what_it_reads(spark, tmp_path):
         tree._TREES.pop(key, None)
         if held:
             tree._TREES[key] = held
+
+
+def test_few_distinct_cells_are_broadcast_however_many_rows(spark, monkeypatch):
+    from tabaudit.operators import novelty
+
+    pop = novelty.Population.learn(spark.range(5000).selectExpr("CAST(id % 7 AS DOUBLE) AS n", "'a' AS c"), ["n"], ["c"])
+    monkeypatch.setattr(novelty, "BROADCAST_BYTES", 10_000)
+    assert pop.rows == 5000 and pop.cells_fit_broadcast([5, 10])
+    wide = novelty.Population.learn(spark.range(5000).selectExpr("CAST(id AS DOUBLE) AS n", "CAST(id AS STRING) AS c"), ["n"], ["c"])
+    assert not wide.cells_fit_broadcast([5, 10])
+
+
+def test_buckets_grow_with_the_lines_and_records_are_numbered_once(spark, monkeypatch):
+    from tabaudit.plans import stage_queries as stages
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(stages, "_STORES", {})
+    monkeypatch.setattr(stages, "_NUMBERED", {})
+    monkeypatch.setattr(stages, "BUCKET_LINES", 300)
+    assert stages._store(spark, folder).contract("flags").buckets == 20
+    assert stages._numbered(spark, folder) is stages._numbered(spark, folder)
