@@ -13,7 +13,7 @@ from tabaudit.plans import tables
 from tabaudit.plans import statistic_queries as tq
 from tabaudit.plans import views as v
 from tabaudit.plans.base import Registry, T_CTE, chi2_tail_sql, long_of, r6, s6
-from tabaudit.sources.sinks import reliable
+from tabaudit.sources.sinks import reliable, stored
 
 registry = Registry()
 query = registry.query
@@ -104,7 +104,8 @@ def overlap_by_rule(spark: SparkSession, folder: str) -> DataFrame:
 @query(f"WITH {OVERLAP_SQL}, {_RULE_ROWS_SQL} {_pooled_sql('rule_rows', 'generator, category, rule', 'dseed, mseed, generation')}")
 def overlap_by_generator_rule(spark: SparkSession, folder: str) -> DataFrame:
     """The same numbers from stored flag tables, met by a join on the record."""
-    records = v.records(spark, folder, "synthetic", ids=True, inputs=v.FOLDED)
+    # numbered once, for both sides of the join
+    records = stored(v.records(spark, folder, "synthetic", ids=True, inputs=v.FOLDED), "numbered")
     detail = rules.rule_rows(rules.apply_rules(records), [*KEYS, "ID"])
     novel = _novel_clinical(spark, folder, records, [*KEYS, "ID"]).filter(_NOVEL)
     keys = ["generator", "category", "rule"]
