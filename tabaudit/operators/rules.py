@@ -403,6 +403,7 @@ def out_of_population(
     feature that the population never fills has no level, so any value offends;
     a column that the population lacks is left out of ``categorical``.
     """
+    jit_friendly(df.sparkSession)
     source, record, types = with_readable(df)
     numeric = [c for c in m.RANGE_CHECK_NUMERIC if bounds.get(c, (None,))[0] is not None and c in types]
     found = [
@@ -436,7 +437,10 @@ def out_of_population(
                 side = unseen.filter(F.col("feature") == c).selectExpr(f"level AS __level_{c}", f"true AS __strange_{c}")
                 source = source.join(F.broadcast(side) if small else side, F.col(c).cast("string") == F.col(f"__level_{c}"), "left")
                 found.append(f"CASE WHEN __strange_{c} THEN '{c}' END")
-    return source.selectExpr(*keep, f"array_join(array_compact(array({', '.join(found)})), '; ') AS offenders")
+    # nulls are skipped; unlike a lambda over an array, this is compiled
+    checked = source.selectExpr(*keep, f"concat_ws('; ', {', '.join(found) or 'NULL'}) AS __offenders")
+    # a barrier: a filter on the offenders must not be pushed down, with every feature written out in it
+    return checked.selectExpr(*keep, "inline(array(named_struct('offenders', __offenders)))")
 
 
 # ------------------------------------------------------------ silent files

@@ -84,6 +84,17 @@ def test_strange_levels_offend_in_every_form(spark):
         assert {r["ID"]: r["offenders"] for r in out.collect()} == want, limits
 
 
+@pytest.mark.parametrize("name", ["out_of_population", "out_of_population_joined"])
+def test_a_filter_on_offenders_copies_no_feature(spark, name):
+    from tabaudit.plans import catalogue
+
+    found = catalogue.QUERIES[name].run(spark, "/root/testdata/sf0.001")
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    filters = [line for line in plan.splitlines() if line.lstrip(" :+-").startswith("Filter")]
+    assert any("offenders" in f for f in filters) and not any("round(" in f or "CASE" in f for f in filters)
+    assert "lambdafunction" not in plan
+
+
 def test_panels_are_resolved_by_name_and_prefix():
     there = ["detection_xgb", "alpha_b", "alpha_a", "detection_avg", "ks"]
     assert pooling.resolve_panel(there, [("prefix", "detection"), ("metric", "ks"), ("prefix", "alpha")], {"detection_avg"}) == (["detection_xgb", "ks", "alpha_a", "alpha_b"], [])
