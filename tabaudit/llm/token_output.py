@@ -20,7 +20,6 @@ other columns are ignored.
 from __future__ import annotations
 
 import json
-import sys
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -43,8 +42,8 @@ MEMO_BYTES = 64 << 20
 KEPT = 0.6
 LONGEST_WORD = 256
 SLICE_BYTES = 4 << 20
-#: Bytes of a remembered word beside its characters and ids: places in the dictionary and the arrays.
-_ENTRY = 120
+#: Bytes of a remembered word beside its characters (held twice while words are looked up) and ids: places in the arrays and the lookup.
+_ENTRY = 72
 MANIFEST = "part int, n_documents long, n_tokens long, width int"
 _DOCUMENT = np.dtype([("id", "<i8"), ("known", "u1")])
 
@@ -59,8 +58,9 @@ class PieceEncoder:
     encoded whole; so is every text if the file describes another tokenizer.
 
     Words are remembered as they follow a blank, with their line feed, or with
-    a zero character where they begin the text; ``pool`` holds their ids one
-    after the other, ``at`` where each begins, ``uses`` how often each was met.
+    a zero character where they begin the text; ``words`` holds them as one
+    Arrow array, ``pool`` their ids one after the other, ``at`` where each
+    begins, ``uses`` how often each was met.
     Where all that takes more than ``MEMO_BYTES``, the words used most stay, in
     the share ``KEPT`` of it.
     """
@@ -86,59 +86,69 @@ class PieceEncoder:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.words = pa.array([], pa.string())
         self.pool, self.at = np.zeros(0, self.kind), np.zeros(1, np.int64)
-        self.uses, self.sizes, self.size = np.zeros(0, np.int32), np.zeros(0, np.int32), 0
+        self.uses, self.size = np.zeros(0, np.int32), 0
+
+    @property
+    def known(self) -> set[str]:
+        """The remembered words."""
+        return set(self.words.to_pylist())
+
+    def _sizes(self, first: int = 0) -> np.ndarray:
+        """Bytes that each word takes, from the word numbered ``first`` on."""
+        return 2 * pc.binary_length(self.words[first:]).to_numpy(zero_copy_only=False) + np.diff(self.at[first:]) * self.pool.itemsize + _ENTRY
 
     def _keep_most_used(self, limit: int) -> None:
         """Forget all words but those used most, as many as ``limit`` bytes hold; what is kept ages."""
-        by_use = np.argsort(-self.uses, kind="stable")
-        kept = np.sort(by_use[np.cumsum(self.sizes[by_use].astype(np.int64)) <= limit])
-        words = list(self.known)
-        self.known = {words[k]: i for i, k in enumerate(kept.tolist())}
+        sizes, by_use = self._sizes(), np.argsort(-self.uses, kind="stable")
+        kept = np.sort(by_use[np.cumsum(sizes[by_use]) <= limit])
+        self.words = self.words.take(pa.array(kept))
         n = np.diff(self.at)[kept]
         ends = np.cumsum(n)
         self.pool = self.pool[np.repeat(self.at[kept] - ends + n, n) + np.arange(n.sum())]
         self.at = np.r_[0, ends]
-        self.uses, self.sizes = self.uses[kept] // 2, self.sizes[kept]
-        self.size = int(self.sizes.sum())
+        self.uses = self.uses[kept] // 2
+        self.size = int(sizes[kept].sum())
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, self.kind)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, words: pa.Array) -> None:
         """Encode joined words, some thousands at once, and part the ids by their bytes."""
         pools, ends, held = [self.pool], [self.at], len(self.pool)
+        first = pc.starts_with(words, "\0")
+        tail = pc.utf8_slice_codeunits(words, 1)
+        spelled = pc.if_else(first, pc.binary_join_element_wise("\n", tail, ""), pc.if_else(pc.starts_with(words, "\n"), words, pc.binary_join_element_wise(" ", words, "")))
+        sizes, first = pc.binary_length(spelled).to_numpy(zero_copy_only=False), first.to_numpy(zero_copy_only=False)
         for begin in range(0, len(words), 5000):
-            own = words[begin : begin + 5000]
-            spelled = [w if w[0] == "\n" else f"\n{w[1:]}" if w[0] == "\0" else f" {w}" for w in own]
-            ids = self.whole("".join(spelled))
-            marks = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum([len(w.encode()) for w in spelled])) + 1
-            first = np.array([w[0] == "\0" for w in own])
-            if first.any():  # the line feed before it stood for the start of the text
+            own = slice(begin, begin + 5000)
+            ids = self.whole("".join(spelled[own].to_pylist()))
+            marks = np.searchsorted(np.cumsum(self.n_bytes[ids]), np.cumsum(sizes[own], dtype=np.int64)) + 1
+            if first[own].any():  # the line feed before it stood for the start of the text
                 keep = np.ones(len(ids), bool)
-                keep[np.r_[0, marks[:-1]][first]] = False
-                ids, marks = ids[keep], marks - np.cumsum(first)
+                keep[np.r_[0, marks[:-1]][first[own]]] = False
+                ids, marks = ids[keep], marks - np.cumsum(first[own])
             pools.append(ids)
             ends.append(marks + held)
             held += len(ids)
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        first_new = len(self.at) - 1
+        first_new = len(self.words)
+        self.words = pa.concat_arrays([self.words, words])
         self.pool, self.at = np.concatenate(pools), np.concatenate(ends)
-        sizes = np.array([sys.getsizeof(w) for w in words], np.int32) + np.diff(self.at[first_new:]).astype(np.int32) * self.pool.itemsize + _ENTRY
-        self.uses, self.sizes = np.r_[self.uses, np.zeros(len(words), np.int32)], np.r_[self.sizes, sizes]
-        self.size += int(sizes.sum())
+        self.uses = np.r_[self.uses, np.zeros(len(words), np.int32)]
+        self.size += int(self._sizes(first_new).sum())
 
-    def _places(self, words: list[str]) -> np.ndarray:
+    def _places(self, words: pa.Array) -> np.ndarray:
         """The number of each distinct word, learned where it is new."""
         if self.size > MEMO_BYTES:
             self._keep_most_used(int(MEMO_BYTES * KEPT))
-        found = list(map(self.known.get, words))
-        missing = [w for w, f in zip(words, found) if f is None]
-        if missing:
-            self._learn(missing)
-            found = [self.known[w] if f is None else f for w, f in zip(words, found)]
-        return np.array(found, np.int64)
+        found = pc.fill_null(pc.index_in(words, value_set=self.words), -1).to_numpy(zero_copy_only=False)
+        missing = found < 0
+        if missing.any():
+            places, found = len(self.words), found.copy()
+            self._learn(words.filter(pa.array(missing)))
+            found[missing] = np.arange(places, len(self.words))
+        return found
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """The ids of all texts, one text after the other, and how many each has."""
@@ -160,7 +170,7 @@ class PieceEncoder:
             plain = pa.array(held)
             words = split(plain)
         coded = words.flatten().dictionary_encode()
-        places = self._places(coded.dictionary.to_pylist())
+        places = self._places(coded.dictionary.cast(pa.string()))
         sizes = np.diff(self.at)[places]
         which = coded.indices.to_numpy(zero_copy_only=False)
         self.uses[places] += np.bincount(which, minlength=len(places)).astype(np.int32)

@@ -231,6 +231,20 @@ def test_encoder_memory_is_bounded_by_bytes(monkeypatch):
     assert all(f"often{i}" in encoder.known for i in range(1, 300))
 
 
+def test_encoder_remembers_words_closely_packed(monkeypatch):
+    import pyarrow as pa
+
+    monkeypatch.setattr(token_output, "MEMO_BYTES", 1 << 20)
+    encoder = token_output.PieceEncoder(queries.tokenizer_path(), 2)
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    words = [f"w{i:06d}a" for i in range(8000)]
+    for texts in ([" ".join(words)], ["again w000001a\nw007999a", None, "\u00e9t\u00e9 w000002a"]):
+        ids, counts = encoder.encode(pa.array(texts))
+        assert [p.tolist() for p in np.split(ids, np.cumsum(counts)[:-1])] == [tokenizer.encode(t or "", add_special_tokens=False).ids for t in texts]
+    assert set(words[1:]) <= set(encoder.known)
+    assert sum(x.nbytes for x in (encoder.words, encoder.pool, encoder.at, encoder.uses)) <= encoder.size <= 1 << 20
+
+
 def test_encoder_of_another_tokenizer_takes_texts_whole():
     import public_tokenizers
     import pyarrow as pa
