@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+
 from pyspark.sql import SparkSession
 
 _LIMIT = "spark.sql.codegen.hugeMethodLimit"
 # HotSpot does not compile methods above this many bytes of bytecode.
 _HOTSPOT_LIMIT = 8000
+_DROP_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
 
 def jit_friendly(spark: SparkSession) -> None:
@@ -18,3 +22,14 @@ def jit_friendly(spark: SparkSession) -> None:
     """
     if int(spark.conf.get(_LIMIT)) > _HOTSPOT_LIMIT:
         spark.conf.set(_LIMIT, str(_HOTSPOT_LIMIT))
+
+
+@contextmanager
+def shuffles_dropped(spark: SparkSession) -> Iterator[None]:
+    """Within it the shuffle files of a query go when it ends, not when the driver happens to collect its garbage."""
+    before = spark.conf.get(_DROP_SHUFFLES)
+    spark.conf.set(_DROP_SHUFFLES, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(_DROP_SHUFFLES, before)

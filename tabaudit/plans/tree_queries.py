@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tabaudit import model as m
+from tabaudit.functions.session import jit_friendly, shuffles_dropped
 from tabaudit.operators import novelty
 from tabaudit.plans import report_queries as report
 from tabaudit.plans import views as v
@@ -36,6 +37,9 @@ _FOLDER_SQL = _FOLDER.replace("STRING", "VARCHAR")
 _LABELS = {0: "readmission", 1: "Readmitted", 2: " TARGET "}
 _PRINTED = {clean: raw for raw, clean in m.RENAMED_AT_INGEST.items()}
 _TREES: dict[tuple[str, str], tuple[str, set[str]]] = {}
+_LINES: dict[tuple[str, str], DataFrame] = {}
+#: Buckets of the stored lines at least, and lines for one more.
+BUCKETS, BUCKET_LINES = 16, 1 << 19
 #: Parts that the index of a tree knows.
 _SEEN: dict[str, set[str]] = {}
 
@@ -45,13 +49,37 @@ def _chain_path(root: str, tail: str) -> Column:
 
 
 def _run(*written: DataFrame) -> None:
+    """Write files; two tasks that wrote the same one are an error."""
     for w in written:
-        w.write.format("noop").mode("overwrite").save()
+        jit_friendly(w.sparkSession)
+        with shuffles_dropped(w.sparkSession):
+            twice = w.groupBy("path").agg(F.count(F.lit(1)).alias("__n")).filter("__n > 1").first()
+        if twice is not None:
+            raise RuntimeError(f"{twice['path']}: written by {twice['__n']} tasks")
 
 
-def _numbered(spark: SparkSession, folder: str, role: str, *columns: str) -> DataFrame:
-    """Rows of one role under their printed names; with ``columns`` only these features."""
-    rows = v.records(spark, folder, role, ids=True)
+def _lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines of all files with their IDs; they are shuffled once per session, and stored by file."""
+    key = (spark.sparkContext.applicationId, folder)
+    if key not in _LINES:
+        # a bucket is one task, so their number grows with the table
+        buckets = max(BUCKETS, v.table(spark, folder, "lineitem").count() // BUCKET_LINES)
+        with shuffles_dropped(spark):
+            _LINES[key] = sinks.stored_in_buckets(v.file_lines(spark, folder), "lines", v.FILE, v.LINE_ORDER, buckets)
+    return v.numbered(_LINES[key])
+
+
+def _numbered(spark: SparkSession, folder: str, role: str, *columns: str, by: list[str] | None = None, order: list[str] | None = None) -> DataFrame:
+    """Rows of one role under their printed names, file by file; with ``columns`` only these features.
+
+    Other files than the records' have their rows dealt ``by`` these expressions and sorted in ``order``, before the
+    features are worked out: a shuffle moves lines, not records or text.
+    """
+    lines = _lines(spark, folder).filter(F.col("role") == role)
+    if by:
+        keys = [F.expr(e) for e in by]
+        lines = lines.repartition(*keys).sortWithinPartitions(*keys, *order)
+    rows = v.features(lines)
     if columns:
         rows = rows.select(*v.FILE, "base_generator", "variant", "ID", *columns)
     return rows.withColumnsRenamed(_PRINTED)
@@ -62,9 +90,9 @@ _COLUMNS = ["ID", *[_PRINTED.get(c, c) for c in m.FEATURES]]
 
 def _write_records(spark: SparkSession, folder: str, root: str) -> None:
     _run(
-        write_csv_files(_numbered(spark, folder, "synthetic"), _chain_path(root, "'SD/synthetic_gen_' || generation || '_clin.csv'"), _COLUMNS, ["ID"]),
+        write_csv_files(_numbered(spark, folder, "synthetic"), _chain_path(root, "'SD/synthetic_gen_' || generation || '_clin.csv'"), _COLUMNS, ["ID"], dealt=True),
         # no scan may take these
-        write_csv_files(_numbered(spark, folder, "training", "age"), _chain_path(root, "'SD/notes.csv'"), ["ID", "age"], ["ID"]),
+        write_csv_files(_numbered(spark, folder, "training", "age", by=v.CHAIN, order=["ID"]), _chain_path(root, "'SD/notes.csv'"), ["ID", "age"], ["ID"], dealt=True),
     )
 
 

@@ -15,6 +15,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from tabaudit.functions.keys import chain_label
 from tabaudit.operators.ids import number_within
@@ -33,12 +34,12 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
 _BASE = "CASE l_returnflag WHEN 'A' THEN 'ARF' WHEN 'N' THEN 'CTGAN' ELSE 'DDPM' END"
 _VARIANT = "CASE l_linestatus WHEN 'O' THEN 'full' ELSE 'core' END"
 _ROLE = "CASE l_orderkey % 10 WHEN 0 THEN 'population' WHEN 1 THEN 'training' ELSE 'synthetic' END"
-_LINE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
+LINE_ORDER = ["l_orderkey", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_discount", "l_tax"]
 
 
 def _keyed_lines(spark: SparkSession, folder: str, columns: list[str], ids: bool, generations: list[int] | None = None) -> DataFrame:
     lines = table(spark, folder, "lineitem").selectExpr(
-        *_LINE_ORDER, f"{_BASE} AS base_generator", f"{_VARIANT} AS variant",
+        *LINE_ORDER, f"{_BASE} AS base_generator", f"{_VARIANT} AS variant",
         "l_suppkey % 3 AS dseed", "l_suppkey % 5 AS mseed", "CAST(l_linenumber - 1 AS BIGINT) AS generation",
         f"{_ROLE} AS role", f"{_BASE} || CASE WHEN l_linestatus = 'O' THEN '' ELSE '_CORE' END AS generator",
     )
@@ -48,7 +49,7 @@ def _keyed_lines(spark: SparkSession, folder: str, columns: list[str], ids: bool
     if not ids:
         numbered = spread(lines, "l_orderkey", "l_partkey").withColumn("ID", F.lit(None).cast("bigint"))
     else:
-        numbered = number_within(lines, FILE, _LINE_ORDER, f"floor(l_orderkey / {ORDER_SLICE})")
+        numbered = number_within(lines, FILE, LINE_ORDER, f"floor(l_orderkey / {ORDER_SLICE})")
     orders = table(spark, folder, "orders").select("o_orderkey", *columns)
     return numbered.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
 
@@ -114,8 +115,38 @@ _CALM = "(dseed + mseed) % 3 = 2 AND generation % 4 < 3"
 CALM = {n: f"CASE WHEN {_CALM} THEN {e} ELSE {n} END" for n, e in {"o": "4", "p": "5", "q": "0", "c": "CASE generation % 4 WHEN 0 THEN 5 WHEN 1 THEN 1 + c % 16 ELSE 23 END"}.items()}
 
 
+def file_lines(spark: SparkSession, folder: str) -> DataFrame:
+    """The lines that have an order, by file, in the columns that ``numbered`` and ``features`` need.
+
+    Where every line has exactly one order, as it should, the join changes nothing: only keys are shuffled to see that.
+    """
+    lines, orders = table(spark, folder, "lineitem"), table(spark, folder, "orders").select("o_orderkey")
+    met = F.col("l_orderkey") == F.col("o_orderkey")
+    counted = orders.groupBy("o_orderkey").agg(F.count(F.lit(1)).alias("__n"))
+    if not lines.select("l_orderkey").distinct().join(counted, met, "left").filter("__n IS NULL OR __n > 1").isEmpty():
+        lines = lines.join(orders, met)
+    return lines.selectExpr(
+        f"{_BASE} || CASE WHEN {_VARIANT} = 'core' THEN '_CORE' ELSE '' END AS generator",
+        "l_suppkey % 3 AS dseed", "l_suppkey % 5 AS mseed", "CAST(l_linenumber - 1 AS BIGINT) AS generation", *LINE_ORDER,
+    )
+
+
+def numbered(lines: DataFrame) -> DataFrame:
+    """``file_lines`` with their IDs, file by file in the order of IDs; a file is numbered in one task, as it is written in one."""
+    return lines.withColumns({
+        "ID": F.row_number().over(Window.partitionBy(*FILE).orderBy(*LINE_ORDER)).cast("bigint"),
+        "base_generator": F.split_part("generator", F.lit("_"), F.lit(1)),
+        "variant": F.expr("CASE WHEN generator LIKE '%CORE' THEN 'core' ELSE 'full' END"), "role": F.expr(_ROLE),
+    })
+
+
 def records(spark: SparkSession, folder: str, role: str | None = None, ids: bool = False, inputs: dict[str, str] | None = None, generations: list[int] | None = None) -> DataFrame:
-    rows = _keyed_lines(spark, folder, [], ids, generations).selectExpr(
+    return features(_keyed_lines(spark, folder, [], ids, generations), role, inputs)
+
+
+def features(lines: DataFrame, role: str | None = None, inputs: dict[str, str] | None = None) -> DataFrame:
+    """The records that numbered lines stand for."""
+    rows = lines.selectExpr(
         *FILE, "base_generator", "variant", "role", "ID", "l_orderkey AS o", "l_partkey AS p", "l_suppkey AS s",
         "CAST(l_quantity AS BIGINT) AS q", "CAST(round(l_extendedprice * 100) AS BIGINT) AS c",
     )

@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -52,14 +53,17 @@ def with_header(files: DataFrame, path: str = "path") -> DataFrame:
     return files.mapInArrow(read, f"{fields}, header array<string>")
 
 
-def write_files(rows: DataFrame, path: Column, line: Column, order: list[str | Column], header: str | None = None) -> DataFrame:
+def write_files(rows: DataFrame, path: Column, line: Column, order: list[str | Column], header: str | None = None, dealt: bool = False) -> DataFrame:
     """Write one text file per value of ``path``, its lines in ``order``; returns (``path``, ``lines``).
 
     All lines of a file come to one task, which streams them into it; a file
     appears under its name when it is whole, so a repeated task does no harm.
+    ``dealt`` rows lie so already, file by file and each file in one partition:
+    then no text is shuffled.  Their order goes to the tasks too, so that what
+    makes it is not pruned from the plan, and the dealing with it.
     """
     listed = rows.select(path.alias("path"), line.alias("line"), *[(F.col(o) if isinstance(o, str) else o).alias(f"order_{i}") for i, o in enumerate(order)])
-    sorted_rows = listed.repartition("path").sortWithinPartitions("path", *[f"order_{i}" for i in range(len(order))]).select("path", "line")
+    sorted_rows = listed if dealt else listed.repartition("path").sortWithinPartitions("path", *[f"order_{i}" for i in range(len(order))]).select("path", "line")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, stream, written, done = None, None, 0, []
@@ -70,7 +74,8 @@ def write_files(rows: DataFrame, path: Column, line: Column, order: list[str | C
             done.append((current, written))
 
         for batch in batches:
-            for uri, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            first, runs = 0, pc.run_end_encode(batch.column(0), run_end_type=pa.int64())
+            for uri, end in zip(runs.values.to_pylist(), runs.run_ends.to_pylist()):
                 if uri != current:
                     if stream is not None:
                         close()
@@ -81,8 +86,8 @@ def write_files(rows: DataFrame, path: Column, line: Column, order: list[str | C
                     current, stream, written = uri, store.open_output_stream(temporary), 0
                     if header is not None:
                         stream.write(f"{header}\n".encode())
-                stream.write(f"{text}\n".encode())
-                written += 1
+                stream.write("".join(f"{text}\n" for text in batch.column(1).slice(first, end - first).to_pylist()).encode())
+                written, first = written + end - first, end
         if stream is not None:
             close()
         if done:
@@ -91,7 +96,7 @@ def write_files(rows: DataFrame, path: Column, line: Column, order: list[str | C
     return sorted_rows.mapInArrow(write, "path string, lines bigint")
 
 
-def write_csv_files(rows: DataFrame, path: Column, columns: list[str], order: list[str | Column]) -> DataFrame:
+def write_csv_files(rows: DataFrame, path: Column, columns: list[str], order: list[str | Column], dealt: bool = False) -> DataFrame:
     """One CSV file with header per value of ``path``."""
     line = F.to_csv(F.struct(*[F.col(c) for c in columns]), {"nullValue": "", "emptyValue": "\"\""})
-    return write_files(rows, path, line, order, ",".join(columns))
+    return write_files(rows, path, line, order, ",".join(columns), dealt)

@@ -43,6 +43,16 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def stored_in_buckets(df: DataFrame, name: str, by: list[str], order: list[str], buckets: int) -> DataFrame:
+    """``df`` as a table below the checkpoint folder, dealt ``by`` these columns: windows over them read it without a shuffle."""
+    spark, table = df.sparkSession, f"{name}_{uuid.uuid4().hex}"
+    path = f"{checkpoint_folder(spark).rstrip('/')}/{table}"
+    # sorted files are smaller
+    dealt = df.repartition(buckets, *by).write.bucketBy(buckets, *by).sortBy(*by, *order)
+    dealt.format("parquet").option("compression", "zstd").option("path", path).saveAsTable(table)
+    return spark.table(table)
+
+
 def write_stage(df: DataFrame, path: str, partition_by: list[str] | None = None, replace_all: bool = False) -> None:
     """Parquet stage table; a rerun replaces only the partitions it produces."""
     writer = df.write.mode("overwrite")

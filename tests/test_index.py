@@ -95,3 +95,11 @@ def test_written_files_hold_their_lines_in_order(spark, tmp_path):
     assert [int(r["id"]) for r in again] == list(range(3, 3000, 7))
     assert {r["t"] for r in again} == {None, 'a,"b', "x"} or {r["t"] for r in again} == {None, 'a,\\"b', "x"}
     assert files.first_line(f"file://{tmp_path}/out/3/rows.csv") == "id,t"
+
+
+def test_dealt_rows_are_written_as_they_lie_and_their_order_keeps_the_dealing(spark, tmp_path):
+    rows = spark.range(3000).selectExpr("id % 7 AS k", "id").repartition(3, "k").sortWithinPartitions("k", "id")
+    made = files.write_csv_files(rows, F.concat(F.lit(f"file://{tmp_path}/out/"), F.col("k"), F.lit("/rows.csv")), ["id"], ["id"], dealt=True)
+    assert made._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    assert sorted(r["lines"] for r in made.collect()) == [428] * 3 + [429] * 4
+    assert [int(r["id"]) for r in spark.read.option("header", True).csv(f"{tmp_path}/out/3").collect()] == list(range(3, 3000, 7))

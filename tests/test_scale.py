@@ -1,5 +1,6 @@
 """Forms for large inputs, forced on small ones: sketches, selected percentiles, binned densities, strange levels."""
 
+import os
 import random
 
 import numpy as np
@@ -119,6 +120,55 @@ def test_a_tree_query_writes_only_what_it_reads(spark, tmp_path):
             tree._TREES[key] = held
 
 
+def _shuffle_bytes(spark):
+    blocks = spark._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager()
+    found = [os.path.join(d, n) for top in blocks.localDirs() for d, _, names in os.walk(str(top)) for n in names if n.startswith("shuffle_")]
+    return sum(os.path.getsize(f) for f in found if os.path.exists(f))
+
+
+def _plans(spark, monkeypatch, write, folder="/root/testdata/sf0.001"):
+    """The plans by which a part of the tree is written; nothing is written."""
+    from tabaudit.plans import tree_queries as tree
+
+    seen = []
+    monkeypatch.setattr(tree, "_run", lambda *written: seen.extend(w._jdf.queryExecution().executedPlan().toString() for w in written))
+    write(spark, folder, "/nowhere")
+    return seen
+
+
+def test_record_files_are_written_without_a_shuffle_of_records(spark, monkeypatch):
+    from tabaudit.plans import tree_queries as tree
+
+    records, notes = _plans(spark, monkeypatch, tree._write_records)
+    assert "Exchange" not in records and "Window" in records and "Bucketed: true" in records
+    # lines are dealt to their chain before features are worked out of them
+    assert notes.count("Exchange ") == 1 and "% 92" in notes.split("Exchange ")[0] and "% 92" not in notes.split("Exchange ")[1]
+
+
+def test_record_files_number_lines_that_have_an_order_and_leave_no_shuffle_files(spark, tmp_path):
+    import time
+
+    import compare
+    import duckdb
+
+    from tabaudit.plans import tree_queries as tree
+
+    at, folder = "/root/testdata/sf0.001", str(tmp_path)
+    con = duckdb.connect()
+    con.execute(f"COPY (SELECT * FROM '{at}/lineitem.parquet') TO '{folder}/lineitem.parquet'")
+    con.execute(f"COPY (SELECT * FROM '{at}/orders.parquet' WHERE o_orderkey % 5 <> 2 UNION ALL SELECT * FROM '{at}/orders.parquet' WHERE o_orderkey % 7 = 3) TO '{folder}/orders.parquet'")
+    for t in ("lineitem", "orders"):
+        con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{folder}/{t}.parquet'")
+    before = _shuffle_bytes(spark)
+    tree.tree(spark, folder, "records")
+    until = time.time() + 10
+    while _shuffle_bytes(spark) > before and time.time() < until:  # executors drop them in their own time
+        time.sleep(0.2)
+    assert _shuffle_bytes(spark) <= before
+    query = tree.registry.entries["tree_records"]
+    assert compare.compare(spark, con, query.name, query.run, query.sql, folder) is None
+
+
 def test_few_distinct_cells_are_broadcast_however_many_rows(spark, monkeypatch):
     from tabaudit.operators import novelty
 
