@@ -99,24 +99,26 @@ def _write_records(spark: SparkSession, folder: str, root: str) -> None:
 def _write_training(spark: SparkSession, folder: str, root: str) -> None:
     # the reference of generation 0 is the one to take
     path = _chain_path(root, "'RD/reference_gen_' || CASE WHEN generation % 2 = 0 THEN '0' ELSE '3' END || '_clin.csv'")
-    _run(write_csv_files(_numbered(spark, folder, "training"), path, _COLUMNS, ["generation", "ID"]))
+    rows = _numbered(spark, folder, "training", by=[*v.CHAIN, "generation % 2"], order=["generation", "ID"])
+    _run(write_csv_files(rows, path, _COLUMNS, ["generation", "ID"], dealt=True))
 
 
 def _write_population(spark: SparkSession, folder: str, root: str) -> None:
     path = F.expr(f"'{root}/POP/population_' || generator || '_' || ID % 16 || '.csv'")
-    _run(write_csv_files(_numbered(spark, folder, "population"), path, _COLUMNS, ["dseed", "mseed", "generation", "ID"]))
+    rows = _numbered(spark, folder, "population", by=["generator", "ID % 16"], order=["dseed", "mseed", "generation", "ID"])
+    _run(write_csv_files(rows, path, _COLUMNS, ["dseed", "mseed", "generation", "ID"], dealt=True))
     kinds = {_PRINTED.get(c, c): {"sdtype": "numerical" if c in m.NUMERIC_FEATURES else "boolean" if c in m.BOOLEAN_FEATURES else "categorical"} for c in m.FEATURES}
     sinks.write_text(spark, f"{root}/POP/metadata.json", json.dumps({"columns": {"ID": {"sdtype": "id"}} | kinds}))
 
 
 def _write_labels(spark: SparkSession, folder: str, root: str) -> None:
-    generated = sinks.stored(_numbered(spark, folder, "synthetic", "readmission", "age", "icd9"), "label-rows")
+    generated = _numbered(spark, folder, "synthetic", "readmission", "age", "icd9")
     # no scan may take these
-    _run(write_csv_files(generated, _chain_path(root, "'metrics/synthetic_synthcity_x_gen_' || generation || '_decoded.csv'"), ["readmission"], ["ID"]))
+    _run(write_csv_files(generated, _chain_path(root, "'metrics/synthetic_synthcity_x_gen_' || generation || '_decoded.csv'"), ["readmission"], ["ID"], dealt=True))
     for k, name in _LABELS.items():
         rows = generated.filter(f"generation % 3 = {k}").withColumnRenamed("readmission", name)
         path = _chain_path(root, "'data/decoded/synthetic_synthcity_' || lower(base_generator) || '_gen_' || generation || '_decoded.csv'")
-        _run(write_csv_files(rows, path, ["age", name, "icd9"] if k else [name, "ID"], ["ID"]))
+        _run(write_csv_files(rows, path, ["age", name, "icd9"] if k else [name, "ID"], ["ID"], dealt=True))
 
 
 def _write_tables(spark: SparkSession, folder: str, root: str) -> None:
@@ -136,14 +138,15 @@ def _write_tables(spark: SparkSession, folder: str, root: str) -> None:
 
 
 def _write_raw(spark: SparkSession, folder: str, root: str) -> None:
-    generated = sinks.stored(_numbered(spark, folder, "synthetic", "age", "icd9"), "raw-rows")
-    taught = _numbered(spark, folder, "training", "age", "icd9")
+    generated = _numbered(spark, folder, "synthetic", "age", "icd9")
+    # chains of data seed 1 have two references, which is one too many
+    part = "CASE WHEN dseed = 1 THEN generation % 2 ELSE 0 END"
+    taught = _numbered(spark, folder, "training", "age", "icd9", by=[*v.CHAIN, part], order=["generation", "ID"])
     export = f"'{root}-raw/Step7pf' || CASE variant WHEN 'core' THEN 'p' ELSE 'a' END || '_' || lower(base_generator) || '_export/' || {_FOLDER} || '/data/decoded/' || "
     _run(
-        write_csv_files(generated.filter("variant = 'full'"), F.expr(export + "'synthetic_gen_' || generation || '_x.csv'"), ["ID", "age", "icd9"], ["ID"]),
-        write_csv_files(generated.filter("variant = 'core'"), F.expr(export + "'synthetic_gen_' || generation || '_x.csv'"), ["age", "ID"], ["ID"]),
-        # chains of data seed 1 have two references, which is one too many
-        write_csv_files(taught.filter("variant = 'full'"), F.expr(export + "'reference_gen_0_' || CASE WHEN dseed = 1 THEN generation % 2 ELSE 0 END || '.csv'"), ["ID", "age", "icd9"], ["generation", "ID"]),
+        write_csv_files(generated.filter("variant = 'full'"), F.expr(export + "'synthetic_gen_' || generation || '_x.csv'"), ["ID", "age", "icd9"], ["ID"], dealt=True),
+        write_csv_files(generated.filter("variant = 'core'"), F.expr(export + "'synthetic_gen_' || generation || '_x.csv'"), ["age", "ID"], ["ID"], dealt=True),
+        write_csv_files(taught.filter("variant = 'full'"), F.expr(f"{export}'reference_gen_0_' || {part} || '.csv'"), ["ID", "age", "icd9"], ["generation", "ID"], dealt=True),
     )
 
 

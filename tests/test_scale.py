@@ -169,6 +169,35 @@ def test_record_files_number_lines_that_have_an_order_and_leave_no_shuffle_files
     assert compare.compare(spark, con, query.name, query.run, query.sql, folder) is None
 
 
+def test_other_files_of_a_tree_shuffle_lines_once_at_most(spark, monkeypatch):
+    from tabaudit.plans import tree_queries as tree
+
+    found = {write.__name__: _plans(spark, monkeypatch, write) for write in (tree._write_labels, tree._write_training, tree._write_raw)}
+    exchanges = {name: [p.count("Exchange ") for p in plans] for name, plans in found.items()}
+    assert exchanges == {"_write_labels": [0] * 4, "_write_training": [1], "_write_raw": [0, 0, 1]}
+    # what no ID is written of is numbered too, else its files would be split
+    assert all("Window" in p and "Bucketed: true" in p for p in found["_write_labels"])
+    text = [p.split("Exchange ") for p in (found["_write_training"][0], found["_write_raw"][2])]
+    assert all("% 92" in above and "% 92" not in below for above, below in text)
+
+
+def test_label_files_are_whole_when_stored_lines_are_read_in_many_splits(spark, monkeypatch):
+    from tabaudit.plans import tree_queries as tree
+
+    folder = "/root/testdata/sf0.001"
+    monkeypatch.setattr(tree, "_TREES", {})
+    monkeypatch.setattr(tree, "_SEEN", {})
+    was = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1k")
+    try:
+        root = tree.tree(spark, folder, "labels")
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", was)
+    n = tree.v.records(spark, folder, "synthetic").count()
+    for below in ("metrics", "data/decoded"):
+        assert spark.read.text(f"{root}/*/*/{below}/*.csv").filter("value NOT RLIKE '(?i)readm|target'").count() == n
+
+
 def test_few_distinct_cells_are_broadcast_however_many_rows(spark, monkeypatch):
     from tabaudit.operators import novelty
 
